@@ -77,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keys = checkpoint(keys.select(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "item", "ih", F.col("x.at").alias("item_at"), "item_words"))
     ident = F.col(id_col)
     source = docs.select(ident.alias("i"), F.xxhash64(text_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    exploded = source.select("i", "d", F.explode(_windows(template_words(F.col("t")), sizes)).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    exploded = source.select("i", "d", template_words(F.col("t")).alias("tw")).select("i", "d", F.explode(_windows(F.col("tw"), sizes)).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
     hits = exploded.join(broadcast_if_small(keys, broadcast_rows), ["h", "w"]).select("i", "d", "item", "ih", "at", "item_at", "w", "item_words").distinct()
     hits = checkpoint(hits.groupBy("i", "d", "item", "ih").agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))
     held = hits.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct()

@@ -95,12 +95,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), ident.alias("i"), F.xxhash64(F.col(text_col)).alias("d"))
-    text = F.col(f"row.`{text_col}`")
-    parts = F.split(text, "\n", -1)
+    text, parts = F.col(f"row.`{text_col}`"), F.col("parts")
     count = F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("cut"))
     joined = F.array_join(F.transform(kept, lambda p: F.element_at(parts, p + 1)), "\n")
-    out = whole.join(cut, ["i", "d"], "left")
+    out = whole.join(cut, ["i", "d"], "left").withColumn("parts", F.split(text, "\n", -1))
     new = F.when(F.col("cut").isNull(), text).otherwise(joined)
     columns = [new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names]
     return out.select(*columns, count.alias("lines_in"), (count - F.coalesce(F.size("cut"), F.lit(0))).cast("long").alias("lines_out"))

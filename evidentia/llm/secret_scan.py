@@ -5,6 +5,8 @@ DataFrame functions only. Spans are code points, end exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,26 +51,32 @@ def _plogp(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
+#: Characters that a candidate can hold; an index of 0 stands for any other.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+
+
 def window_entropy(word: Column, window: int) -> Column:
     """The largest Shannon entropy (bits a character) of any window of a word
-    of at least window characters. Counts of the window's characters and the
-    sum of c log2 c are carried along and changed by the character that enters
-    and the one that leaves."""
-    chars = F.split(word, "")
-    alphabet = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int"))
-    state = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-
-    def slide(acc, i):
-        enter = F.element_at(codes, i)
-        leave = F.when(i > window, F.element_at(codes, i - window)).otherwise(F.lit(0))
-        more, less = F.element_at(acc["n"], enter), F.when(leave > 0, F.element_at(acc["n"], F.greatest(leave, F.lit(1)))).otherwise(F.lit(0))
-        changed = acc["sum"] + F.when(enter == leave, F.lit(0.0)).otherwise(_plogp(more + 1) - _plogp(more) + F.when(leave > 0, _plogp(less - 1) - _plogp(less)).otherwise(F.lit(0.0)))
+    over ALPHABET; 0 for a word shorter than window. Counts of the window's
+    characters and the sum of c log2 c are carried along and changed by the
+    character that enters and the one that leaves."""
+    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    steps = F.arrays_zip(codes.alias("enter"), F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), 1, F.length(word)).alias("leave"))
+    state = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).alias("seen"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def count(acc, code):
+        return F.coalesce(F.try_element_at(acc["n"], F.nullif(code, F.lit(0))), F.lit(0))
+
+    def slide(acc, x):
+        enter, leave = x["enter"], x["leave"]
+        more, less = count(acc, enter), count(acc, leave)
+        gain = _plogp(more + 1) - _plogp(more) - F.when(leave > 0, _plogp(less) - _plogp(less - 1)).otherwise(F.lit(0.0))
+        changed = acc["sum"] + F.when(enter == leave, F.lit(0.0)).otherwise(gain)
         counts = F.transform(acc["n"], lambda c, k: c + (k + 1 == enter).cast("int") - (k + 1 == leave).cast("int"))
-        here = F.when(i >= window, F.log2(F.lit(float(window))) - changed / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("n"), changed.alias("sum"), F.greatest(acc["best"], here).alias("best"))
+        here = F.when(acc["seen"] + 1 >= window, F.lit(math.log2(window)) - changed / window).otherwise(F.lit(0.0))
+        return F.struct(counts.alias("n"), (acc["seen"] + 1).alias("seen"), changed.alias("sum"), F.greatest(acc["best"], here).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), state, slide, lambda acc: acc["best"])
+    return F.aggregate(steps, state, slide, lambda acc: acc["best"])
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = 20, hex_bits: float = 2.8, mixed_bits: float = 3.8, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
