@@ -34,7 +34,7 @@ def plain_words(text: Column) -> Column:
 
 
 def template_words(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}]+", NAME)
+    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*", NAME)
     t = F.regexp_replace(t, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
     return _split(_bare(t))
@@ -57,10 +57,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows (number of windows of the item found), covered (words of the item
     in them), item_words, exact (no slot has another value).
 
-    An item is held if windows of `window` template words that agree with the
-    document's, with slots that map one to one and at least half of the words
-    literal, cover a share `cover` of the item's words, or most_cover words. Items shorter than the
-    window are matched whole.
+    An item is held if windows of `window` template words, at least half of
+    them literal, agree with the document's and cover a share `cover` of the
+    item's words, or most_cover words. The windows of one stretch of the
+    document count only if their slots' values map one to one over the whole
+    stretch. Items shorter than the window are matched whole.
 
     Null and blank texts hold nothing and are held by nothing. A null id is
     returned as null where its text holds an item. Repeated rows of documents
@@ -79,7 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source = docs.select(ident.alias("i"), F.xxhash64(text_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     exploded = source.select("i", "d", template_words(F.col("t")).alias("tw")).select("i", "d", F.explode(_windows(F.col("tw"), sizes)).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
     hits = exploded.join(broadcast_if_small(keys, broadcast_rows), ["h", "w"]).select("i", "d", "item", "ih", "at", "item_at", "w", "item_words").distinct()
-    hits = checkpoint(hits.groupBy("i", "d", "item", "ih").agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))
+    stretch = (F.col("at") - F.col("item_at")).alias("stretch")
+    hits = checkpoint(hits.groupBy("i", "d", "item", "ih", stretch).agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))
     held = hits.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct()
     again = source.join(broadcast_if_small(held, broadcast_rows), F.col("i").eqNullSafe(F.col("hi")) & (F.col("d") == F.col("hd")), "left_semi").dropDuplicates(["i", "d"])
     again = again.select("i", "d", template_words(F.col("t")).alias("dt"), plain_words(F.col("t")).alias("dp"))
@@ -90,17 +92,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         each = F.transform(F.sequence(F.lit(0), x["w"] - 1), lambda k: F.struct(F.element_at("dt", x["at"] + k).rlike(f"[{NAME}-{UNIT}]").alias("slot"), F.element_at("pw", x["item_at"] + k).alias("a"), F.element_at("dp", x["at"] + k).alias("b")))
         return F.filter(each, lambda y: y["slot"])
 
-    judged = F.transform("hits", lambda x: F.struct(x["item_at"].alias("item_at"), x["w"].alias("w"), pairs(x).alias("p")))
+    both = both.withColumn("hits", F.transform("hits", lambda x: F.struct(x["item_at"].alias("item_at"), x["w"].alias("w"), pairs(x).alias("p"))))
+    both = both.withColumn("hits", F.filter("hits", lambda x: F.size(x["p"]) * 2 <= x["w"]))
+    both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(x["p"], lambda y: F.struct(y["a"], y["b"]))))))
 
-    def fits(x: Column) -> Column:
-        distinct = F.size(F.array_distinct(F.transform(x["p"], lambda y: F.struct(y["a"], y["b"]))))
-        left = F.size(F.array_distinct(F.transform(x["p"], lambda y: y["a"])))
-        right = F.size(F.array_distinct(F.transform(x["p"], lambda y: y["b"])))
-        return (distinct == left) & (distinct == right) & (F.size(x["p"]) * 2 <= x["w"])
+    def kinds(side: str) -> Column:
+        return F.size(F.array_distinct(F.transform("slots", lambda y: y[side])))
 
-    both = both.withColumn("good", F.filter(judged, fits))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("good", lambda x: F.sequence(x["item_at"], x["item_at"] + x["w"] - 1)))))
-    exact = F.forall("good", lambda x: F.forall(x["p"], lambda y: y["a"] == y["b"]))
-    both = both.select(F.col("i").alias(id_col), F.col("item").alias(item_col), F.size("good").alias("windows"), covered.alias("covered"), "item_words", exact.alias("exact"))
-    both = both.filter(F.col("covered") >= F.least(F.ceil(F.col("item_words") * cover), F.lit(most_cover)))
+    both = both.filter((F.size("slots") == kinds("a")) & (F.size("slots") == kinds("b")))
+    words = F.flatten(F.transform("hits", lambda x: F.sequence(x["item_at"], x["item_at"] + x["w"] - 1)))
+    both = both.select("i", "d", "item", "ih", "item_words", F.size("hits").alias("windows"), F.array_distinct(words).alias("words"), F.forall("slots", lambda y: y["a"] == y["b"]).alias("exact"))
+    both = both.groupBy("i", "d", "item", "ih").agg(F.max("item_words").alias("item_words"), F.sum("windows").cast("int").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.min("exact").alias("exact"))
+    both = both.filter(F.col("covered") >= F.least(F.ceil(F.col("item_words") * cover), F.lit(most_cover))).select(F.col("i").alias(id_col), F.col("item").alias(item_col), "windows", "covered", "item_words", "exact")
     return both.groupBy(id_col, item_col).agg(F.max("windows").alias("windows"), F.max("covered").alias("covered"), F.max("item_words").alias("item_words"), F.max("exact").alias("exact"))
