@@ -95,14 +95,14 @@ w as (
   select *, [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 as int) + 1] as weight, source_size * 2.0::double as cap
   from s),
 l as (
-  select *, cap / weight as at,
+  select *, cap / weight as lv,
          (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
          / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level
   from w),
 t as (
   select source, source_size,
          case when cap <= level * weight then cap
-              else (select arg_min(level, at) from l where cap > level * weight) * weight end as target
+              else (select arg_min(level, lv) from l where cap > level * weight) * weight end as target
   from l),
 c as (
   select d.doc_id, d.size, t.source_size, t.target,
