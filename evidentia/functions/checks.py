@@ -71,7 +71,7 @@ def kpp_valid(col) -> Column:
     """Tax-reason code: 4 digits, 2 digits or capital letters, 3 digits, and a
     nonzero office."""
     col = _col(col)
-    return col.rlike("^[0-9]{4}[0-9A-Z]{2}[0-9]{3}$") & (F.substring(col, 3, 2) != "00")
+    return col.rlike("^[0-9]{4}[0-9A-Z]{2}[0-9]{3}$") & (F.substring(col, 5, 2) != "00")
 
 
 def bik_valid(col) -> Column:

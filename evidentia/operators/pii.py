@@ -6,6 +6,7 @@ place of a match's text after the match before is where it matched.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +93,6 @@ def scrub(col: Column, size: int = 180) -> Column:
 def fold_confusables(texts: Column) -> Column:
     """NFKC, format characters dropped, and Cyrillic look-alikes in words with
     Latin letters folded to Latin (Spark has no normal forms, so Arrow batches)."""
-    import pandas as pd
-
     def run(s: pd.Series) -> pd.Series:
         import re
         import unicodedata

@@ -58,7 +58,7 @@ def tiered_duty(claims: DataFrame, price_col: str, tiers: DataFrame) -> DataFram
     price = F.col(price_col)
     rows = claims.join(t, (price > t["lower"]) & (t["upto"].isNull() | (price <= t["upto"])), "left")
     duty = F.least(F.col("base") + F.greatest(price - F.col("over"), F.lit(0.0)) * F.col("pct"), F.coalesce("cap", F.lit(1e18)))
-    return rows.withColumn("duty", F.bround(duty, 2)).drop("upto", "lower", "base", "pct", "over", "cap")
+    return rows.withColumn("duty", F.when(F.col("base").isNotNull(), F.bround(duty, 2))).drop("upto", "lower", "base", "pct", "over", "cap")
 
 
 def flat_duty(claims: DataFrame, fees: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def parse_statement(lines: DataFrame, doc: str, pos: str, line: str) -> DataFram
     w = Window.partitionBy(doc).orderBy(pos)
     rows = lines.filter(~F.col(line).rlike(r"^\s*$|^(?i)(page|страница)\b")).withColumn("op", F.sum(start.cast("int")).over(w)).filter("op > 0")
     rows = rows.groupBy(doc, "op").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, line))), lambda x: x[line]), " ").alias("text"))
-    amount = F.regexp_extract("text", r"([+-]?\d{1,3}(?:[  ]\d{3})*[.,]\d{2})", 1)
+    amount = F.regexp_extract(F.substring("text", 11, 2**31 - 12), r"([+-]?\d{1,3}(?:[  ]\d{3})*[.,]\d{2})", 1)
     value = F.translate(F.regexp_replace(amount, r"[  ]", ""), ",", ".").try_cast("decimal(18,2)")
     return rows.select(doc, "op", F.try_to_date(F.left("text", F.lit(10)), "dd.MM.yyyy").alias("day"), value.alias("amount"), "text")
 
