@@ -51,14 +51,16 @@ def accrue(debts: DataFrame, rates: DataFrame, days_in_year: Column) -> DataFram
 
 def tiered_duty(claims: DataFrame, price_col: str, tiers: DataFrame) -> DataFrame:
     """tiers: upto (null: open), base, pct, over, cap. The first tier whose upto
-    is not under the price: base + (price - over) * pct, capped, half to even.
+    is not under the price: base + (price - over) * pct, capped, as DECIMAL(18,2), half to even.
     Prices that are not positive are rejected (null)."""
+    money = {c: F.col(c).cast("decimal(18,2)") for c in ("upto", "base", "over", "cap")}
+    tiers = tiers.withColumns(money | {"pct": F.col("pct").cast("decimal(9,6)")})
     lower = F.lag("upto").over(Window.orderBy(F.col("upto").asc_nulls_last()))
-    t = F.broadcast(tiers.withColumn("lower", F.coalesce(lower, F.lit(0.0))))
-    price = F.col(price_col)
+    t = F.broadcast(tiers.withColumn("lower", F.coalesce(lower, F.lit(0))))
+    price = F.col(price_col).cast("decimal(18,2)")
     rows = claims.join(t, (price > t["lower"]) & (t["upto"].isNull() | (price <= t["upto"])), "left")
-    duty = F.least(F.col("base") + F.greatest(price - F.col("over"), F.lit(0.0)) * F.col("pct"), F.coalesce("cap", F.lit(1e18)))
-    return rows.withColumn("duty", F.when(F.col("base").isNotNull(), F.bround(duty, 2))).drop("upto", "lower", "base", "pct", "over", "cap")
+    duty = F.least(F.col("base") + F.greatest(price - F.col("over"), F.lit(0)) * F.col("pct"), F.coalesce("cap", F.lit(10**15).cast("decimal(18,2)")))
+    return rows.withColumn("duty", F.when(F.col("base").isNotNull(), F.bround(duty, 2).cast("decimal(18,2)"))).drop("upto", "lower", "base", "pct", "over", "cap")
 
 
 def flat_duty(claims: DataFrame, fees: DataFrame, keys: list[str]) -> DataFrame:

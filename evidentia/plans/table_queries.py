@@ -214,7 +214,9 @@ def j02_accrue(spark, d):
 TIERS = [(100000.0, 4000.0, 0.0, 0.0, None), (300000.0, 4000.0, 0.03, 100000.0, None), (None, 10000.0, 0.005, 300000.0, 12000.0)]
 
 
-@q("""select o_orderkey, round_even(case when o_totalprice <= 0 then null when o_totalprice <= 100000 then 4000.0::double when o_totalprice <= 300000 then 4000.0::double + greatest(o_totalprice - 100000.0::double, 0) * 0.03::double else least(10000.0::double + greatest(o_totalprice - 300000.0::double, 0) * 0.005::double, 12000.0::double) end, 2) as duty from orders""")
+@q("""with p as (select o_orderkey, cast(o_totalprice as decimal(18, 2)) as p from orders),
+v as (select o_orderkey, cast(1000000 * case when p <= 0 then null when p <= 100000 then 4000.0 when p <= 300000 then 4000.0 + (p - 100000.0) * 0.03 else least(10000.0 + (p - 300000.0) * 0.005, 12000.0) end as bigint) as v from p)
+select o_orderkey, cast((v // 10000 + case when v % 10000 > 5000 or (v % 10000 = 5000 and (v // 10000) % 2 = 1) then 1 else 0 end) / 100 as decimal(18, 2)) as duty from v""")
 def j03_tiered_duty(spark, d):
     tiers = spark.createDataFrame(TIERS, "upto double, base double, pct double, over double, cap double")
     return R.tiered_duty(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", tiers).select("o_orderkey", "duty")
