@@ -21,7 +21,7 @@ def search(postings: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2
     need = q.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
     lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    own = postings.join(F.broadcast(q.select("term").distinct()), "term", "left_semi") if queries.isEmpty() else postings.join(q.select("term").distinct(), "term", "left_semi")
+    own = postings.join(q.select("term").distinct(), "term", "left_semi")
     df_ = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = own.join(q, "term").join(df_, "term").join(lengths, "id").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -32,11 +32,14 @@ def search(postings: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2
 
 
 def name_pairs(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """a, b: pairs of different normal names within one edit, or one the other's
-    beginning, by equal keys: the name, and each name less one character."""
+    """a, b (a < b): pairs of normal names within one edit, by equal keys (the
+    name, and each name less one character), or where one begins the other, by
+    equal beginnings."""
     names = df.select(F.col(id_col).alias("id"), norm_words(name_col).alias("name")).filter("name <> ''")
     cut = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.length("name"))))
     keys = names.select("id", "name", F.explode(F.array_distinct(F.concat(F.array("name"), cut))).alias("key"))
     left, right = keys.select(F.col("id").alias("a"), F.col("name").alias("na"), "key"), keys.select(F.col("id").alias("b"), F.col("name").alias("nb"), "key")
     near = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.levenshtein("na", "nb", 1) >= 0)).select("a", "b").distinct()
-    return near
+    begins = names.select(F.col("id").alias("x"), F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("name"))
+    begun = begins.join(names, "name").filter("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    return near.union(begun).distinct()
