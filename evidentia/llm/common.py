@@ -39,8 +39,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint behind a counted bound; beyond it Spark shuffles."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    """A broadcast hint behind a counted bound; beyond it Spark shuffles. df is
+    a table in the shared folder, so counting it is cheap."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 # --------------------------------------------------------------------- hashes

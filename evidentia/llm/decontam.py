@@ -82,7 +82,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = exploded.join(broadcast_if_small(keys, broadcast_rows), ["h", "w"]).select("i", "d", "item", "ih", "at", "item_at", "w", "item_words").distinct()
     stretch = (F.col("at") - F.col("item_at")).alias("stretch")
     hits = checkpoint(hits.groupBy("i", "d", "item", "ih", stretch).agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))
-    held = hits.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct()
+    held = checkpoint(hits.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct())
     again = source.join(broadcast_if_small(held, broadcast_rows), F.col("i").eqNullSafe(F.col("hi")) & (F.col("d") == F.col("hd")), "left_semi").dropDuplicates(["i", "d"])
     again = again.select("i", "d", template_words(F.col("t")).alias("dt"), plain_words(F.col("t")).alias("dp"))
     both = hits.join(again.withColumnsRenamed({"i": "i2", "d": "d2"}), F.col("i").eqNullSafe(F.col("i2")) & (F.col("d") == F.col("d2"))).join(items.select("ih", "pw"), "ih")
