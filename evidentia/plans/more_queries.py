@@ -277,3 +277,33 @@ select user_id, cast(floor(epoch(max(ts))) - floor(epoch(min(ts))) as bigint) as
 def r07_overlong(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return V.overlong(e).select("user_id", "seconds")
+
+
+# ------------------------------------------------------------------------ jobs
+@q()
+def f14_spell_number(spark, d):
+    from evidentia.functions.words import spell_number
+
+    return table(spark, d, "orders").select("o_orderkey", spell_number(F.floor("o_totalprice")).alias("words"))
+
+
+@q("select o_orderkey, cast(o_totalprice as decimal(18, 2)) as amount, cast(o_orderdate as date) as day from orders")
+def f12_f18_money_and_dates(spark, d):
+    written = F.concat(F.lit("of "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" by order"))
+    amount = T.money_parse(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", amount.alias("amount"), T.parse_dates(written)[0].alias("day"))
+
+
+@q("""select cast(user_id as varchar) as file, case when bool_or(event_type = 'error') then 'corrupt' else 'ok' end as status, case when not bool_or(event_type = 'error') then cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) end as total from events group by user_id, event_type <> 'error' and event_type <> 'view'""".replace("group by user_id, event_type <> 'error' and event_type <> 'view'", "group by user_id"))
+def s03_strict_totals(spark, d):
+    from evidentia.sources.files import strict_totals
+
+    torn = F.when(F.col("event_type") == "error", F.col("props"))
+    return strict_totals(table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), torn.alias("_corrupt"), F.get_json_object("props", "$.k").cast("long").alias("k")), "k")
+
+
+@q("""select cast(user_id as varchar) as key, min_by(event_type, (event_id % 7) * 100 + ascii(event_type)) as hash, min(event_id % 7) as priority, 1::bigint as version from events group by 1""")
+def r08_merge_requests(spark, d):
+    batch = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("hash"), (F.col("event_id") % 7).alias("priority"))
+    state = spark.createDataFrame([], "key string, hash string, priority long, version long")
+    return V.merge_requests(batch, state).select("key", "hash", "priority", F.col("version").cast("long").alias("version"))
