@@ -38,9 +38,8 @@ def _bucket_counts(low_n, high_n):
         for b in batches:
             texts, label = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             counts = np.zeros((2, 1 << BITS), np.int64)
-            found = [np.unique((d << BITS) | g) for d, g in _ngrams(texts, low_n, high_n)]
-            if found:
-                every = np.unique(np.concatenate(found))
+            for d, g in _ngrams(texts, low_n, high_n):  # a text is whole within a stretch
+                every = np.unique((d << BITS) | g)
                 side = label[every >> BITS]
                 for c in (0, 1):
                     counts[c] += np.bincount(every[side == c] & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -91,28 +90,50 @@ def _scores(low_n, high_n, model):
     return run
 
 
-def _fit(rows, at, feature, label, scale, penalty, steps):
-    """Logistic regression on scaled presence features, by accelerated
-    gradient descent from zero; the same result for the same rows."""
+def _fit(at, feature, label, scale, penalty, steps):
+    """Logistic regression on scaled presence features with an L2 penalty, by
+    L-BFGS from zero; the same result for the same rows."""
     n, k = len(label), len(scale)
     owner = np.repeat(np.arange(n), np.diff(at))
     value = scale[feature]
-    norm = np.bincount(owner, weights=value**2, minlength=n).max(initial=0) + 1
-    rate = 1 / (0.25 * norm + penalty)
-    w, look, bias_look, bias = np.zeros(k), np.zeros(k), 0.0, 0.0
-    bias = bias_look = float(np.log((label.sum() + 1) / (n - label.sum() + 1)))
-    for s in range(steps):
-        z = bias_look + np.bincount(owner, weights=value * look[feature], minlength=n)
-        off = 1 / (1 + np.exp(-z)) - label
-        grad = np.bincount(feature, weights=value * off[owner], minlength=k) / n + penalty * look
-        w_new, b_new = look - rate * grad, bias_look - rate * off.mean()
-        move = s / (s + 3)
-        look, bias_look = w_new + move * (w_new - w), b_new + move * (b_new - bias)
-        w, bias = w_new, b_new
-    return w, bias
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", low_n: int = 3, high_n: int = 6, most_rows: int = 30_000, features: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 300):
+
+    def cost(x):
+        z = x[k] + np.bincount(owner, weights=value * x[feature], minlength=n)
+        off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label
+        loss = np.mean(np.logaddexp(0, z) - label * z) + penalty / 2 * (x[:k] @ x[:k])
+        grad = np.append(np.bincount(feature, weights=value * off[owner], minlength=k) / n + penalty * x[:k], off.mean())
+        return loss, grad
+
+    x = np.append(np.zeros(k), np.log((label.sum() + 1) / (n - label.sum() + 1)))
+    loss, grad = cost(x)
+    moves = []  # the last ten steps and changes of the gradient
+    for _ in range(steps):
+        way, kept = grad.copy(), []
+        for s, y in reversed(moves):
+            a = (s @ way) / (s @ y)
+            way -= a * y
+            kept.append(a)
+        if moves:
+            s, y = moves[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), a in zip(moves, reversed(kept), strict=True):
+            way += s * (a - (y @ way) / (s @ y))
+        length, slope = 1.0 if moves else 1 / max(1.0, float(np.linalg.norm(grad))), grad @ way
+        while True:
+            new_loss, new_grad = cost(x - length * way)
+            if new_loss <= loss - 1e-4 * length * slope or length < 1e-8:
+                break
+            length /= 2
+        s, y = -length * way, new_grad - grad
+        x, done, loss, grad = x + s, loss - new_loss < 1e-9, new_loss, new_grad
+        if s @ y > 1e-12:
+            moves = [*moves[-9:], (s, y)]
+        if done:
+            break
+    return x[:k], x[k]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", low_n: int = 3, high_n: int = 6, most_rows: int = 30_000, features: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 100):
     """Fit on the rows of labels that docs has, at most `most_rows` of them,
     those with the smallest hash of the id. Ids with several labels count as 1
     if any is 1; ids labelled null are left out; equal texts are one row.
@@ -145,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = sample.mapInArrow(_features(low_n, high_n, spark.sparkContext.broadcast(chosen)), "f array<int>, label int").toPandas()  # at most most_rows short lists
     at = np.concatenate([[0], np.cumsum(rows["f"].map(len).to_numpy())]).astype(np.int64)
     feature = np.concatenate([np.asarray(f, np.int64) for f in rows["f"]]) if len(rows) else np.zeros(0, np.int64)
-    weight, bias = _fit(rows, at, feature, rows["label"].to_numpy(np.float64), scale, penalty, steps)
+    weight, bias = _fit(at, feature, rows["label"].to_numpy(np.float64), scale, penalty, steps)
     return chosen, weight * scale, bias
 
 
