@@ -94,15 +94,20 @@ def _fit(at, feature, label, scale, penalty, steps):
     """Logistic regression on scaled presence features with an L2 penalty, by
     L-BFGS from zero; the same result for the same rows."""
     n, k = len(label), len(scale)
-    owner = np.repeat(np.arange(n), np.diff(at))
-    value = scale[feature]
 
     def cost(x):
-        z = x[k] + np.bincount(owner, weights=value * x[feature], minlength=n)
-        off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label
-        loss = np.mean(np.logaddexp(0, z) - label * z) + penalty / 2 * (x[:k] @ x[:k])
-        grad = np.append(np.bincount(feature, weights=value * off[owner], minlength=k) / n + penalty * x[:k], off.mean())
-        return loss, grad
+        loss, grad, w = 0.0, np.zeros(k + 1), scale * x[:k]
+        for low in range(0, n, 2000):  # some rows at a time, for memory
+            high = min(low + 2000, n)
+            f = feature[at[low] : at[high]]
+            owner = np.repeat(np.arange(high - low), np.diff(at[low : high + 1]))
+            z = x[k] + np.bincount(owner, weights=w[f], minlength=high - low)
+            off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label[low:high]
+            loss += np.sum(np.logaddexp(0, z) - label[low:high] * z)
+            grad[:k] += np.bincount(f, weights=off[owner], minlength=k)
+            grad[k] += off.sum()
+        grad[:k] = grad[:k] * scale + n * penalty * x[:k]
+        return loss / n + penalty / 2 * (x[:k] @ x[:k]), grad / n
 
     x = np.append(np.zeros(k), np.log((label.sum() + 1) / (n - label.sum() + 1)))
     loss, grad = cost(x)
@@ -165,8 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen, scale = top["g"].to_numpy(np.int64), top["r"].to_numpy(np.float64)
     rows = sample.mapInArrow(_features(low_n, high_n, spark.sparkContext.broadcast(chosen)), "f array<int>, label int").toPandas()  # at most most_rows short lists
     at = np.concatenate([[0], np.cumsum(rows["f"].map(len).to_numpy())]).astype(np.int64)
-    feature = np.concatenate([np.asarray(f, np.int64) for f in rows["f"]]) if len(rows) else np.zeros(0, np.int64)
-    weight, bias = _fit(at, feature, rows["label"].to_numpy(np.float64), scale, penalty, steps)
+    label, feature = rows["label"].to_numpy(np.float64), np.concatenate(rows["f"].to_list()).astype(np.int32, copy=False)
+    del rows
+    weight, bias = _fit(at, feature, label, scale, penalty, steps)
     return chosen, weight * scale, bias
 
 
