@@ -1,42 +1,95 @@
-"""Whole numbers in Russian words, nominative, as a column expression."""
+"""Whole numbers in Russian words, six cases and three genders, as columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import plural_form
+CASES = ("nom", "gen", "dat", "acc", "ins", "pre")
 
-# Number words and scale words (one, few, many).
-UNITS = ("", "один", "два", "три", "четыре", "пять", "шесть", "семь", "восемь", "девять", "десять", "одиннадцать", "двенадцать", "тринадцать", "четырнадцать", "пятнадцать", "шестнадцать", "семнадцать", "восемнадцать", "девятнадцать")
-FEMININE = {1: "одна", 2: "две"}
-NEUTER = {1: "одно"}
-TENS = ("", "", "двадцать", "тридцать", "сорок", "пятьдесят", "шестьдесят", "семьдесят", "восемьдесят", "девяносто")
-HUNDREDS = ("", "сто", "двести", "триста", "четыреста", "пятьсот", "шестьсот", "семьсот", "восемьсот", "девятьсот")
-SCALES = (("миллиард", "миллиарда", "миллиардов"), ("миллион", "миллиона", "миллионов"), ("тысяча", "тысячи", "тысяч"))
+
+def _soft(stem: str) -> tuple[str, ...]:
+    return (stem + "ь", stem + "и", stem + "и", stem + "ь", stem + "ью", stem + "и")
+
+
+# Number words by case; regular ones are built from their stems.
+ZERO = ("ноль", "ноля", "нолю", "ноль", "нолем", "ноле")
+ONE = {
+    "m": ("один", "одного", "одному", "один", "одним", "одном"),
+    "f": ("одна", "одной", "одной", "одну", "одной", "одной"),
+    "n": ("одно", "одного", "одному", "одно", "одним", "одном"),
+}
+TWO = {
+    "m": ("два", "двух", "двум", "два", "двумя", "двух"),
+    "f": ("две", "двух", "двум", "две", "двумя", "двух"),
+    "n": ("два", "двух", "двум", "два", "двумя", "двух"),
+}
+THREE = ("три", "трех", "трем", "три", "тремя", "трех")
+FOUR = ("четыре", "четырех", "четырем", "четыре", "четырьмя", "четырех")
+EIGHT = ("восемь", "восьми", "восьми", "восемь", "восемью", "восьми")
+FIVE_TO_NINE = (_soft("пят"), _soft("шест"), _soft("сем"), EIGHT, _soft("девят"))
+TEENS = tuple(_soft(s) for s in ("десят", "одиннадцат", "двенадцат", "тринадцат", "четырнадцат", "пятнадцат", "шестнадцат", "семнадцат", "восемнадцат", "девятнадцат"))
+FORTY = ("сорок", "сорока", "сорока", "сорок", "сорока", "сорока")
+NINETY = ("девяносто", "девяноста", "девяноста", "девяносто", "девяноста", "девяноста")
+HUNDRED = ("сто", "ста", "ста", "сто", "ста", "ста")
+TWO_TO_FOUR_HUNDRED = (
+    ("двести", "двухсот", "двумстам", "двести", "двумястами", "двухстах"),
+    ("триста", "трехсот", "тремстам", "триста", "тремястами", "трехстах"),
+    ("четыреста", "четырехсот", "четыремстам", "четыреста", "четырьмястами", "четырехстах"),
+)
+TEN_ENDS = ("десят", "десяти", "десяти", "десят", "десятью", "десяти")
+HUNDRED_ENDS = ("сот", "сот", "стам", "сот", "стами", "стах")
+#: (gender, singular by case, few, plural by case)
+SCALES = (
+    ("m", ("миллиард", "миллиарда", "миллиарду", "миллиард", "миллиардом", "миллиарде"), "миллиарда", ("миллиардов", "миллиардов", "миллиардам", "миллиардов", "миллиардами", "миллиардах")),
+    ("m", ("миллион", "миллиона", "миллиону", "миллион", "миллионом", "миллионе"), "миллиона", ("миллионов", "миллионов", "миллионам", "миллионов", "миллионами", "миллионах")),
+    ("f", ("тысяча", "тысячи", "тысяче", "тысячу", "тысячей", "тысяче"), "тысячи", ("тысяч", "тысяч", "тысячам", "тысяч", "тысячами", "тысячах")),
+)
+
+
+def _lists(gender: str, c: int) -> tuple[list[str], list[str], list[str]]:
+    """Words of 0..19, of the tens and of the hundreds in one case."""
+    units = ["", ONE[gender][c], TWO[gender][c], THREE[c], FOUR[c], *[w[c] for w in FIVE_TO_NINE], *[w[c] for w in TEENS]]
+    tens = ["", "", _soft("двадцат")[c], _soft("тридцат")[c], FORTY[c], *[w[c] + TEN_ENDS[c] for w in FIVE_TO_NINE[:4]], NINETY[c]]
+    hundreds = ["", HUNDRED[c], *[w[c] for w in TWO_TO_FOUR_HUNDRED], *[w[c] + HUNDRED_ENDS[c] for w in FIVE_TO_NINE]]
+    return units, tens, hundreds
 
 
 def _pick(words, at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), at.cast("int") + 1)
+    return F.nullif(F.element_at(F.array(*[F.lit(w) for w in words]), at.cast("int") + 1), F.lit(""))
 
 
-def _triple(n: Column, gender: str) -> Column:
+def _triple(n: Column, gender: str, c: int) -> Column:
     """Words of 0..999; empty for 0."""
-    other = {"f": FEMININE, "n": NEUTER}.get(gender, {})
-    units = [other.get(i, w) for i, w in enumerate(UNITS)]
+    units, tens, hundreds = _lists(gender, c)
     rest = n % 100
-    low = F.when(rest < 20, _pick(units, F.least(rest, F.lit(19)))).otherwise(F.concat_ws(" ", _pick(TENS, F.floor(rest / 10)), F.nullif(_pick(units, rest % 10), F.lit(""))))
-    return F.concat_ws(" ", F.nullif(_pick(HUNDREDS, F.floor(n / 100)), F.lit("")), F.nullif(low, F.lit("")))
+    low = F.when(rest < 20, _pick(units, F.least(rest, F.lit(19)))).otherwise(F.concat_ws(" ", _pick(tens, F.floor(rest / 10)), _pick(units, rest % 10)))
+    return F.concat_ws(" ", _pick(hundreds, F.floor(n / 100)), low)
 
 
-def spell_number(col, gender: str = "m") -> Column:
+def spell_number(col, gender: str = "m", case: str = "nom") -> Column:
     """0 to 999 999 999 999 in words; NULL outside. gender (m, f, n) is that of
-    the thing counted."""
+    the thing counted, case one of CASES (the accusative of things)."""
     n = (F.col(col) if isinstance(col, str) else col).cast("bigint")
+    c = CASES.index(case)
     parts = []
-    for i, scale in enumerate(SCALES):
+    for i, (own, one, few, many) in enumerate(SCALES):
         group = F.floor(n / 10 ** (9 - 3 * i)) % 1000
-        parts.append(F.when(group > 0, F.concat_ws(" ", _triple(group, "f" if i == 2 else "m"), plural_form(group, *[F.lit(w) for w in scale]))))
-    parts.append(F.nullif(_triple(n % 1000, gender), F.lit("")))
-    words = F.concat_ws(" ", *parts)
-    return F.when(n == 0, "ноль").when(n.between(1, 999_999_999_999), words)
+        teen = (group % 100).between(11, 14)
+        some = F.when((group % 10).between(2, 4) & ~teen, few).otherwise(many[0]) if case in ("nom", "acc") else F.lit(many[c])
+        scale = F.when((group % 10 == 1) & ~teen, one[c]).otherwise(some)
+        parts.append(F.when(group > 0, F.concat_ws(" ", _triple(group, own, c), scale)))
+    parts.append(F.nullif(_triple(n % 1000, gender, c), F.lit("")))
+    return F.when(n == 0, ZERO[c]).when(n.between(1, 999_999_999_999), F.concat_ws(" ", *parts))
+
+
+def check_amount_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, amount, words, ok for each number with words in brackets after it:
+    whether the words, without a currency after them, spell the number in some
+    case and gender."""
+    pattern = r"(?iuU)([0-9]{1,3}(?:[ \x{A0}\x{202F}]?[0-9]{3})*)(?:[.,][0-9]{2})? ?\(([а-яё ]+)\)"
+    text = F.col(text_col)
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("w"))
+    rows = df.select(id_col, F.explode(pairs).alias("x")).select(id_col, F.regexp_replace("x.a", r"[^0-9]", "").cast("bigint").alias("amount"), F.trim(F.regexp_replace(F.translate(F.lower("x.w"), "ё", "е"), r"\s+", " ")).alias("words"))
+    spelled = F.array(*[spell_number("amount", g, c) for g in ("m", "f", "n") for c in CASES])
+    return rows.withColumn("ok", F.coalesce(F.array_contains(spelled, F.regexp_replace("words", r" (рубл|коп|доллар|евро|тенге).*$", "")), F.lit(False)))

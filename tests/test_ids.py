@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from evidentia.functions import checks as C
-from evidentia.functions.words import spell_number
+from evidentia.functions.words import check_amount_words, spell_number
 from evidentia.operators import ids as I
 
 
@@ -27,6 +27,19 @@ def test_spelled_numbers(spark):
     assert spark.range(1).select(spell_number(F.lit(22), "f")).first()[0] == "двадцать две"
 
 
+def test_spelled_cases(spark):
+    want = {"nom": "две тысячи пятьсот сорок один", "gen": "двух тысяч пятисот сорока одного", "dat": "двум тысячам пятистам сорока одному", "acc": "две тысячи пятьсот сорок один", "ins": "двумя тысячами пятьюстами сорока одним", "pre": "двух тысячах пятистах сорока одном"}
+    row = spark.range(1).select(*[spell_number(F.lit(2541), "m", c).alias(c) for c in want]).first()
+    assert row.asDict() == want
+    assert spark.range(1).select(spell_number(F.lit(51_000_080), "m", "ins")).first()[0] == "пятьюдесятью одним миллионом восемьюдесятью"
+
+
+def test_amounts_against_their_words(spark):
+    text = "сумма 38 998,29 (Тридцать восемь тысяч девятьсот девяносто восемь) рублей; 5000 (шесть тысяч); о 21 (двадцати одном) рубле"
+    got = check_amount_words(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()
+    assert [(r.amount, r.ok) for r in got] == [(38998, True), (5000, False), (21, True)]
+
+
 def test_date_before_a_number(spark):
     df = spark.createDataFrame([(1, "от 01.02.2024, от 03.04.2024 № 77"), (2, "№ 77 от 01.02.2024"), (3, "nothing")], "id long, t string")
     assert {r.id: str(r.near) for r in I.date_near(df, "id", "t", F.lit("№ 77")).collect()} == {1: "2024-04-03", 2: "None", 3: "None"}
