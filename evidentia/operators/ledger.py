@@ -67,7 +67,7 @@ def over_limit(df: DataFrame, key: str, value: str, limit: int) -> DataFrame:
 
 def budget_verdict(totals: DataFrame, budgets: DataFrame, key: str) -> DataFrame:
     """key, verdict: no_data where nothing was measured, no_budget, over, within."""
-    rows = totals.join(F.broadcast(budgets), key, "full")
+    rows = totals.join(budgets, key, "full")
     verdict = F.when(F.coalesce("total", F.lit(0)) == 0, "no_data").when(F.col("budget").isNull(), "no_budget").when(F.col("total") > F.col("budget"), "over").otherwise("within")
     return rows.select(key, verdict.alias("verdict"))
 

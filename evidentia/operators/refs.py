@@ -50,7 +50,7 @@ def conflict_check(queries: DataFrame, parties: DataFrame) -> DataFrame:
 def license_gate(items: DataFrame, exceptions: DataFrame) -> DataFrame:
     """items: item, license; exceptions: item. copyleft blocks unless excepted,
     unknown blocks."""
-    rows = items.join(F.broadcast(exceptions.select("item", F.lit(True).alias("ex")).distinct()), "item", "left")
+    rows = items.join(exceptions.select("item", F.lit(True).alias("ex")).distinct(), "item", "left")
     verdict = F.when(F.col("license") == "unknown", "blocked").when((F.col("license") == "copyleft") & F.col("ex").isNull(), "blocked").when(F.col("ex"), "excepted").otherwise("ok")
     return rows.select("item", "license", verdict.alias("verdict"))
 
