@@ -21,40 +21,56 @@ SEGMENTS = 4
 ROUND = 8
 
 
-def _stretches(line: Column, with_text: bool) -> Column:
-    """Array of (key, seg): each coarse key and, if asked for, the stretch it
-    leaves out. Where rounding parts a line from those one shorter, the bounds
-    of the shorter ones are added."""
-    size = F.length(line)
-
-    def under(q: Column) -> list[Column]:
-        found = []
-        for j in range(SEGMENTS):
-            low, high = F.floor(q * j / SEGMENTS).cast("int"), F.floor(q * (j + 1) / SEGMENTS).cast("int")
-            after = q - high
-            rest = F.xxhash64(q, F.lit(j), F.substring(line, F.lit(1), low), F.substring(line, size - after + 1, after))
-            seg = F.substring(line, low + 1, size - low - after)
-            found.append(F.struct(rest.alias("key"), seg.alias("seg")) if with_text else rest)
-        return found
-
-    own, less = size - size % ROUND, (size - 1) - (size - 1) % ROUND
-    return F.concat(F.array(*under(own)), F.when(own != less, F.array(*under(less))).otherwise(F.array()))
+def _bound(q: Column, j: int) -> Column:
+    return F.floor(q * j / SEGMENTS).cast("int")
+
+
+def _pieces(q: Column) -> Column:
+    """Hashes of a line's stretches for rounded length q: all but the last
+    counted from the left end, then all but the first from the right end."""
+    line, extra = F.col("line"), F.length("line") - q
+
+    def piece(j: int, shift) -> Column:
+        return F.xxhash64(F.substring(line, _bound(q, j) + shift + 1, _bound(q, j + 1) - _bound(q, j)))
+
+    return F.array(*[piece(j, 0) for j in range(SEGMENTS - 1)], *[piece(j, extra) for j in range(1, SEGMENTS)])
+
+
+def _with_keys(lines: DataFrame) -> DataFrame:
+    """Adds key, q, j: the hash of all stretches but the j-th, for the rounded
+    length q of the line and, where rounding parts it from those one shorter,
+    of theirs."""
+    size = F.length("line")
+    rows = lines.withColumn("q1", size - size % ROUND).withColumn("q2", (size - 1) - (size - 1) % ROUND)
+    rows = rows.withColumn("p1", _pieces(F.col("q1"))).withColumn("p2", F.when(F.col("q1") != F.col("q2"), _pieces(F.col("q2"))))
+
+    def keys(q: str, p: str) -> Column:
+        def key(j: int) -> Column:
+            return F.xxhash64(F.col(q), F.lit(j), *[F.col(p)[i] for i in range(j)], *[F.col(p)[SEGMENTS - 2 + i] for i in range(j + 1, SEGMENTS)])
+
+        return F.array(*[F.struct(key(j).alias("key"), F.col(q).alias("q"), F.lit(j).alias("j")) for j in range(SEGMENTS)])
+
+    both = F.when(F.col("p2").isNull(), keys("q1", "p1")).otherwise(F.concat(keys("q1", "p1"), keys("q2", "p2")))
+    return rows.select(*lines.columns, F.inline(both))
+
+
+def _stretch() -> Column:
+    """The stretch that (q, j) leaves out."""
+    low, high = F.floor(F.col("q") * F.col("j") / SEGMENTS).cast("int"), F.floor(F.col("q") * (F.col("j") + 1) / SEGMENTS).cast("int")
+    return F.substring(F.col("line"), low + 1, F.length("line") - low - (F.col("q") - high))
 
 
 def _variants(seg: Column) -> Column:
     """Array of (v, p): hash of the stretch whole (p = 0) and without its
     character p."""
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.length(seg)),
-        lambda p: F.struct(F.xxhash64(F.substring(seg, F.lit(1), p - 1), F.lit("|"), F.substring(seg, p + 1, F.length(seg))).alias("part"), F.concat(F.substring(seg, F.lit(1), p - 1), F.substring(seg, p + 1, F.length(seg))).alias("t"), p.alias("p")),
-    )
-    deleted = F.when(F.length(seg) > 0, F.transform(shorter, lambda x: F.struct(F.xxhash64(x["t"]).alias("v"), x["p"].alias("p")))).otherwise(F.array())
+    less = F.transform(F.sequence(F.lit(1), F.length(seg)), lambda p: F.struct(F.xxhash64(F.concat(F.substring(seg, F.lit(1), p - 1), F.substring(seg, p + 1, F.length(seg)))).alias("v"), p.alias("p")))
+    deleted = F.when(F.length(seg) > 0, less).otherwise(F.array())
     return F.concat(F.array(F.struct(F.xxhash64(seg).alias("v"), F.lit(0).alias("p"))), deleted)
 
 
 def _lines(source: DataFrame) -> DataFrame:
     lines = source.select("i", "d", F.posexplode(F.split("t", "\n", -1)).alias("pos", "raw"))
-    lines = lines.select("i", "d", "pos", F.trim(F.col("raw")).alias("line")).filter(F.col("line").rlike(r"\S"))
+    lines = lines.select("i", "d", "pos", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line")).filter("line <> ''")
     return lines.select("i", "d", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
@@ -62,8 +78,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text_col stripped of lines that repeat an earlier line, and
     two more columns, lines_in and lines_out (long).
 
-    A line is what stands between line feeds, compared without outer spaces. It
-    goes if the same line, or for lines of min_chars and more one within
+    A line is what stands between line feeds, compared without outer ASCII white
+    space. It goes if the same line, or for lines of min_chars and more one within
     max_edits (0 or 1) insertions, deletions or substitutions of a character,
     comes earlier in the corpus. Earlier is by id (null last), then text hash,
     then place in the text. Blank lines always stay. A line counts as earlier
@@ -108,10 +124,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _near_lines(lines: DataFrame, exact: DataFrame, broadcast_rows: int) -> DataFrame:
     """h, g, first, gone (true) of lines that have an earlier line within one
     edit, but not equal."""
-    keys = lines.select("h", F.explode(_stretches(F.col("line"), False)).alias("key"))
-    shared = checkpoint(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"))
-    segs = lines.select("h", "g", F.inline(_stretches(F.col("line"), True)))
-    segs = segs.join(broadcast_if_small(shared, broadcast_rows), "key").groupBy("key", "h", "g").agg(F.first("seg").alias("seg"))
+    keyed = _with_keys(lines.select("h", "g", "line"))
+    shared = checkpoint(keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"))
+    segs = keyed.join(broadcast_if_small(shared, broadcast_rows), "key").select("key", "h", "g", _stretch().alias("seg"))
+    segs = segs.groupBy("key", "h", "g").agg(F.first("seg").alias("seg"))
     segs = segs.join(exact.select("h", "g", "first"), ["h", "g"])
     made = segs.select("*", F.inline(_variants(F.col("seg")))).repartition("key", "v")
     # Lines of one key, variant and deleted place differ in that one character,
