@@ -87,6 +87,21 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return doc, mix64(sums + length * _U(0xD6E8FEB86659FD93))
 
 
+def slices(batches, column: int, most_chars: int = 3_000_000):
+    """Arrow batches cut so that each has about most_chars bytes in a text
+    column, whatever the lengths of its texts; a text is never cut."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < b.num_rows:
+            before = size[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(size, before + most_chars, side="right")))
+            yield b.slice(low, high - low)
+            low = high
+
+
 def chunks(texts: list[str | None], most_chars: int = 1_500_000):
     """Index ranges of texts that hold about most_chars characters each."""
     low, held = 0, 0

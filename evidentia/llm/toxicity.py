@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import checkpoint, chunks, stage
+from evidentia.llm.common import checkpoint, chunks, slices, stage
 
 _U = np.uint64
 BITS = 20
@@ -17,7 +17,7 @@ BITS = 20
 def _ngrams(texts, low_n, high_n):
     """Text index and bucket (BITS bits) of every n-gram of lower-cased code
     points, of low_n to high_n. Yields a pair for each n and stretch of texts."""
-    for low, high in chunks(texts, 1_000_000):
+    for low, high in chunks(texts, 500_000):
         part = [" " + (t or "").lower() + " " for t in texts[low:high]]
         size = np.fromiter(map(len, part), np.int64, len(part))
         code = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -35,16 +35,16 @@ def _ngrams(texts, low_n, high_n):
 
 def _bucket_counts(low_n, high_n):
     def run(batches):
-        for b in batches:
+        counts = np.zeros((2, 1 << BITS), np.int64)
+        for b in slices(batches, 0):
             texts, label = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = np.zeros((2, 1 << BITS), np.int64)
             for d, g in _ngrams(texts, low_n, high_n):  # a text is whole within a stretch
                 every = np.unique((d << BITS) | g)
                 side = label[every >> BITS]
                 for c in (0, 1):
                     counts[c] += np.bincount(every[side == c] & ((1 << BITS) - 1), minlength=1 << BITS)
-            held = np.flatnonzero(counts.sum(0))
-            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[0, held]), pa.array(counts[1, held])], ["g", "clean", "toxic"])
+        held = np.flatnonzero(counts.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[0, held]), pa.array(counts[1, held])], ["g", "clean", "toxic"])
 
     return run
 
@@ -69,20 +69,20 @@ def _chosen_ids(low_n, high_n, chosen):
 def _features(low_n, high_n, chosen):
     def run(batches):
         of = _chosen_ids(low_n, high_n, chosen.value)
-        for b in batches:
+        for b in slices(batches, 0):
             d, f = of(b.column(0).to_pylist())
-            at = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=b.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32))), b.column(1)], ["f", "label"])
+            lists = np.split(f.astype(np.uint16), np.cumsum(np.bincount(d, minlength=b.num_rows))[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in lists], pa.binary()), b.column(1)], ["f", "label"])
 
     return run
 
 
-def _scores(low_n, high_n, model):
+def _scores(low_n, high_n, model, last):
     def run(batches):
         chosen, weight, bias = model.value
         of = _chosen_ids(low_n, high_n, chosen)
-        for b in batches:
-            d, f = of(b.column(b.num_columns - 1).to_pylist())
+        for b in slices(batches, last):
+            d, f = of(b.column(last).to_pylist())
             z = bias + np.bincount(d, weights=weight[f], minlength=b.num_rows)
             score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "score"])
@@ -166,12 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     q = (F.col("c0") + smoothing) / F.lit(clean + 2 * smoothing)
     error = F.sqrt(1 / (F.col("c1") + smoothing) + 1 / (F.col("c0") + smoothing))
     ratio = counts.filter("c0 + c1 >= 5").select("g", F.log(p / q).alias("r"), F.abs(F.log(p / q) / error).alias("z"))
-    top = ratio.orderBy(F.desc("z"), "g").limit(features).toPandas().sort_values("g")  # at most `features` rows
-    chosen, scale = top["g"].to_numpy(np.int64), top["r"].to_numpy(np.float64)
-    rows = sample.mapInArrow(_features(low_n, high_n, spark.sparkContext.broadcast(chosen)), "f array<int>, label int").toPandas()  # at most most_rows short lists
-    at = np.concatenate([[0], np.cumsum(rows["f"].map(len).to_numpy())]).astype(np.int64)
-    label, feature = rows["label"].to_numpy(np.float64), np.concatenate(rows["f"].to_list()).astype(np.int32, copy=False)
-    del rows
+    top = ratio.orderBy(F.desc("z"), "g").limit(features).toArrow().sort_by("g")  # at most `features` rows
+    chosen, scale = top["g"].to_numpy().astype(np.int64), top["r"].to_numpy().astype(np.float64)
+    if features > 1 << 16:
+        raise ValueError("features is at most 65536")
+    rows = sample.mapInArrow(_features(low_n, high_n, spark.sparkContext.broadcast(chosen)), "f binary, label int").toArrow()  # at most most_rows short lists
+    lists = rows["f"].to_pylist()
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 2)])
+    feature, label = np.frombuffer(b"".join(lists), np.uint16), rows["label"].to_numpy().astype(np.float64)
+    del rows, lists
     weight, bias = _fit(at, feature, label, scale, penalty, steps)
     return chosen, weight * scale, bias
 
@@ -185,4 +188,4 @@ def score(docs: DataFrame, model, text_col: str = "text", low_n: int = 3, high_n
     kept = [c for c in docs.columns if c != "score"]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scores(low_n, high_n, docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return rows.mapInArrow(_scores(low_n, high_n, docs.sparkSession.sparkContext.broadcast(model), len(kept)), schema)
