@@ -8,8 +8,10 @@ Branches of low importance are cut from each page.
 A tree needs many pages with the same template, and boilerplate whose words
 change from page to page looks important to it. So what a page says about
 itself comes first: elements whose tag, role, class or id names them as menus,
-headers, footers, adverts, forms, comments and so on are cut on any page, and
-what stands in an article or main element is never cut for its entropy.
+headers, footers, adverts, forms, comments and so on are cut on any page. The
+tree judges all that is left. What stands in an article or main element is cut
+only where it is as good as equal on all pages, and pages with equal texts
+count once, so that copies don't make a text look unimportant.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +59,7 @@ def _is_bad(tag: str, attrs: dict, in_main: bool) -> bool:
 
 class PageParser(HTMLParser):
     """Collects blocks (path numbers of the open elements, in main, bad, text)
-    and for each style node its children's tags and its text."""
+    and for each style node its children's tags and its text that isn't bad."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -70,9 +72,10 @@ class PageParser(HTMLParser):
         self.text = []
         if text:
             chain = tuple(x[1] for x in self.open)
-            for path in chain:
-                self.held.setdefault(path, []).append(text)
             bad = bool(self.open) and self.open[-1][2]
+            if not bad:
+                for path in dict.fromkeys(chain):
+                    self.held.setdefault(path, []).append(text)
             main = bool(self.open) and self.open[-1][3]
             self.blocks.append((chain, bad, main, text))
 
@@ -117,7 +120,7 @@ class PageParser(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in ("script", "style"):
+        if self.open and (self.open[-1][0] in ("script", "style") or self.open[-1][2] and any(x[0] == "title" for x in self.open)):
             return
         self.text.append(data)
 
@@ -149,16 +152,15 @@ def _trees(batches):
     for b in batches:
         for low in range(0, b.num_rows, 500):
             part = b.slice(low, 500)
-            nodes, blocks = [], []
+            nodes, blocks, texts = [], [], []
             for html in part.column(part.num_columns - 1).to_pylist():
                 page, numbers = parse_page(html), {}
                 number = lambda p, numbers=numbers: numbers.setdefault(p, _stable(p))
                 good = [x for x in page.blocks if not x[1]]
-                if any(x[2] for x in good):
-                    good = [x for x in good if x[2]]
+                texts.append(_stable("\n".join([x[3] for x in good if x[2]] or [x[3] for x in good])))
                 blocks.append([{"chain": [number(p) for p in chain], "main": main, "text": text} for chain, _, main, text in good])
                 nodes.append([{"path": number(p), "shape": _stable(" ".join(page.shape.get(p, ()))), "held": _stable("\n".join(t))} for p, t in page.held.items()])
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(nodes, _NODE), pa.array(blocks, _BLOCK)], [*part.schema.names[:-1], "__nodes", "__blocks"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(nodes, _NODE), pa.array(blocks, _BLOCK), pa.array(texts, pa.int64())], [*part.schema.names[:-1], "__nodes", "__blocks", "__text"])
 
 
 def style_tree(nodes: DataFrame, look: float = 0.1) -> DataFrame:
@@ -175,13 +177,15 @@ def style_tree(nodes: DataFrame, look: float = 0.1) -> DataFrame:
     return both.select("host", "path", "pages", (look * F.col("e_shape") + (1 - look) * F.col("e_held")).alias("importance"))
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, least_importance: float = 0.2, broadcast_rows: int = 200_000) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, least_importance: float = 0.2, main_importance: float = 0.05, broadcast_rows: int = 200_000) -> DataFrame:
     """pages with text: the main text, blocks in page order joined by a line
     feed, white space inside a block as one space, character references decoded.
 
     Style nodes on at least least_pages pages of a host with an importance under
-    least_importance are cut, with all below, except in article and main
-    elements. Null or empty html gives an empty text, and so does a page of
+    least_importance are cut, with all below; in article and main elements, such
+    under main_importance. Pages of a host with equal text in article and main
+    elements (without them, equal text) count as one there, unless the node
+    differs. Hosts of fewer pages lose only what names itself. Null or empty html gives an empty text, and so does a page of
     boilerplate alone. A null url, or one without a host, is a page of host ''.
     Equal rows get equal texts. Pages are parsed whole, once, into a table of
     blocks in the shared folder. Extra columns pass through; a column text is
@@ -193,12 +197,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     key = F.xxhash64(*[F.col(c).cast("string") for c in (id_col, url_col, html_col)])
     plain = [c for c in pages.columns if c not in ("text", html_col)]
     source = pages.select(*[F.col(f"`{c}`") for c in plain], key.alias("__k"), host_of(F.col(url_col)).alias("__host"), F.col(html_col).cast("string").alias("__html"))
-    schema = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(f"__nodes {NODES}, __blocks {BLOCKS}").fields])
+    schema = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(f"__nodes {NODES}, __blocks {BLOCKS}, __text bigint").fields])
     trees = stage(source.mapInArrow(_trees, schema), "trees")
-    nodes = trees.select("__k", F.col("__host").alias("host"), F.inline("__nodes"))
-    low = checkpoint(style_tree(nodes).filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path"))
-    free = trees.filter(F.exists("__blocks", lambda x: ~x["main"])).select("__k", F.col("__host").alias("host"), F.inline("__nodes"))  # a main element is never cut
-    cut = checkpoint(free.join(broadcast_if_small(low, broadcast_rows), ["host", "path"]).groupBy("__k").agg(F.collect_set("path").alias("__cut")))
+    seen = trees.select("__text", F.col("__host").alias("host"), F.inline("__nodes")).distinct()
+    low = style_tree(seen).filter((F.col("pages") >= least_pages) & (F.col("importance") < max(least_importance, main_importance)))
+    low = checkpoint(low.select("host", "path", "importance"))
+    found = trees.select("__k", F.col("__host").alias("host"), F.inline("__nodes")).join(broadcast_if_small(low, broadcast_rows), ["host", "path"])
+
+    def under(least: float) -> Column:
+        return F.collect_set(F.when(F.col("importance") < least, F.col("path")))
+
+    cut = checkpoint(found.groupBy("__k").agg(under(least_importance).alias("__cut"), under(main_importance).alias("__cut_main")))
     rows = trees.join(broadcast_if_small(cut, broadcast_rows), "__k", "left")
-    kept = F.when(F.col("__cut").isNull(), F.col("__blocks")).otherwise(F.filter("__blocks", lambda x: x["main"] | ~F.arrays_overlap(x["chain"], F.col("__cut"))))
+    kept = F.when(F.col("__cut").isNull(), F.col("__blocks")).otherwise(F.filter("__blocks", lambda x: ~F.arrays_overlap(x["chain"], F.when(x["main"], F.col("__cut_main")).otherwise(F.col("__cut")))))
     return rows.select(*[F.col(f"`{c}`") for c in plain], F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))

@@ -284,6 +284,15 @@ def test_style_tree_cuts_repeated_branches(spark):
     assert all(r["text"].startswith("Body number") and "Same" not in r["text"] for r in got) and len(got) == 12
 
 
+def test_style_tree_judges_inside_and_outside_main(spark):
+    page = "<title>T</title><div class=x><p>Same outside</p></div><article><div class=z>Same inside</div><p>Teaser {0}</p></article><div class=y><p>Body {0} stands outside</p></div>"
+    html = [(i, "http://h.example/x", page.format(f"number {i}")) for i in range(12)]
+    html += [(100 + i, "http://copies.example/x", page.format("of copies")) for i in range(30)]  # one text: nothing to judge by
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extract_text(spark.createDataFrame(html, "page_id long, url string, html string")))}
+    assert all(got[i] == f"Teaser number {i}\nBody number {i} stands outside" for i in range(12))
+    assert all(got[100 + i] == "Same outside\nSame inside\nTeaser of copies\nBody of copies stands outside" for i in range(30))
+
+
 # ------------------------------------------------------------------- 6
 def test_toxicity_held_out(spark, docs):
     sf = SF.replace("0.001", "0.01")
