@@ -119,6 +119,13 @@ class PageParser(HTMLParser):
                 del self.open[i:]
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """<![CDATA[ with its end as in html.parser; any other <![ goes up to
+        the next >, as a bogus comment (html.parser raises on unknown words)."""
+        if self.rawdata[i : i + 9].upper() == "<![CDATA[":
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if self.open and (self.open[-1][0] in ("script", "style") or self.open[-1][2] and any(x[0] == "title" for x in self.open)):
             return
@@ -127,11 +134,8 @@ class PageParser(HTMLParser):
 
 def parse_page(html: str | None) -> PageParser:
     page = PageParser()
-    try:
-        page.feed(html or "")
-        page.close()
-    except AssertionError:  # html.parser on some broken declarations; what came before counts
-        pass
+    page.feed(html or "")
+    page.close()
     page.flush()
     return page
 

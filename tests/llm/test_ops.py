@@ -278,6 +278,13 @@ def test_extract(spark, pages):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_text_after_broken_declarations():
+    for broken in ("<![foo>", "<![ endif]>", "<![if !IE]>", "<![endif]-->", "<![>", "<!foo>", "<!>", "<?x>", "<![CDATA[x]]>", "<![%x;[>"):
+        page = html_extract.parse_page(f"<article><p>Before</p>{broken}<p>After</p></article>")
+        assert [x[3] for x in page.blocks if "fore" in x[3] or "After" in x[3]] == ["Before", "After"], broken
+    assert [x[3] for x in html_extract.parse_page("<p>Before</p><p>end <![foo").blocks][0] == "Before"
+
+
 def test_style_tree_cuts_repeated_branches(spark):
     html = [(i, "http://h.example/x", f"<body><div class=x><p>Same on all pages</p></div><div class=y><p>Body number {i} {'word ' * i}</p></div>") for i in range(12)]
     got = rows(html_extract.extract_text(spark.createDataFrame(html, "page_id long, url string, html string")))
