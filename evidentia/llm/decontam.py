@@ -57,11 +57,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows (number of windows of the item found), covered (words of the item
     in them), item_words, exact (no slot has another value).
 
-    An item is held if windows of `window` template words, at least half of
-    them literal, agree with the document's and cover a share `cover` of the
-    item's words, or most_cover words. The windows of one stretch of the
-    document count only if their slots' values map one to one over the whole
-    stretch. Items shorter than the window are matched whole.
+    An item is held if windows of `window` template words agree with the
+    document's and cover a share `cover` of the item's words, or most_cover
+    words. Slots with another value than the item's may be half of a window's
+    words at most. Over one stretch of the document the values have to map one
+    to one: of pairs that contradict each other the one in most slots holds (an
+    equal value always does, of equally many none), and windows with another
+    one don't count. exact looks at all slots of the stretch. Items shorter than the window are matched whole.
 
     Null and blank texts hold nothing and are held by nothing. A null id is
     returned as null where its text holds an item. Repeated rows of documents
@@ -88,18 +90,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     both = hits.join(again.withColumnsRenamed({"i": "i2", "d": "d2"}), F.col("i").eqNullSafe(F.col("i2")) & (F.col("d") == F.col("d2"))).join(items.select("ih", "pw"), "ih")
 
     def pairs(x: Column) -> Column:
-        """(value in the item, value in the document) of a hit's slots."""
-        each = F.transform(F.sequence(F.lit(0), x["w"] - 1), lambda k: F.struct(F.element_at("dt", x["at"] + k).rlike(f"[{NAME}-{UNIT}]").alias("slot"), F.element_at("pw", x["item_at"] + k).alias("a"), F.element_at("dp", x["at"] + k).alias("b")))
+        """(place, value in the item, value in the document) of a hit's slots."""
+        each = F.transform(F.sequence(F.lit(0), x["w"] - 1), lambda k: F.struct(F.element_at("dt", x["at"] + k).rlike(f"[{NAME}-{UNIT}]").alias("slot"), (x["item_at"] + k).alias("k"), F.element_at("pw", x["item_at"] + k).alias("a"), F.element_at("dp", x["at"] + k).alias("b")))
         return F.filter(each, lambda y: y["slot"])
 
     both = both.withColumn("hits", F.transform("hits", lambda x: F.struct(x["item_at"].alias("item_at"), x["w"].alias("w"), pairs(x).alias("p"))))
-    both = both.withColumn("hits", F.filter("hits", lambda x: F.size(x["p"]) * 2 <= x["w"]))
-    both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(x["p"], lambda y: F.struct(y["a"], y["b"]))))))
-
-    def kinds(side: str) -> Column:
-        return F.size(F.array_distinct(F.transform("slots", lambda y: y[side])))
-
-    both = both.filter((F.size("slots") == kinds("a")) & (F.size("slots") == kinds("b")))
+    both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(x["p"], lambda y: F.struct(y["k"], y["a"], y["b"]))))))
+    pair = F.array_distinct(F.transform("slots", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"))))
+    both = both.withColumn("pairs", pair).withColumn("pairs", F.transform("pairs", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"), F.size(F.filter("slots", lambda z: (z["a"] == y["a"]) & (z["b"] == y["b"]))).alias("n"))))
+    wrong = F.filter("pairs", lambda y: (y["a"] != y["b"]) & F.exists("pairs", lambda z: ((z["a"] == y["a"]) != (z["b"] == y["b"])) & ((z["n"] >= y["n"]) | (z["a"] == z["b"]))))
+    both = both.withColumn("wrong", F.transform(wrong, lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"))))
+    both = both.withColumn("hits", F.filter("hits", lambda x: (F.size(F.filter(x["p"], lambda y: y["a"] != y["b"])) * 2 <= x["w"]) & ~F.exists(x["p"], lambda y: F.array_contains("wrong", F.struct(y["a"].alias("a"), y["b"].alias("b"))))))
+    both = both.filter(F.size("hits") > 0)
     words = F.flatten(F.transform("hits", lambda x: F.sequence(x["item_at"], x["item_at"] + x["w"] - 1)))
     both = both.select("i", "d", "item", "ih", "item_words", F.size("hits").alias("windows"), F.array_distinct(words).alias("words"), F.forall("slots", lambda y: y["a"] == y["b"]).alias("exact"))
     both = both.groupBy("i", "d", "item", "ih").agg(F.max("item_words").alias("item_words"), F.sum("windows").cast("int").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.min("exact").alias("exact"))

@@ -394,6 +394,16 @@ def test_templates(spark):
     assert decontam.contaminated(spark.createDataFrame(ODD, DOCS), b).count() == 0
 
 
+def test_slot_heavy_items_and_single_changed_slots(spark):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(100)]
+    long = words[:40] + ["77"] + words[40:70] + ["77"] + words[70:]
+    bench = [(1, "Compute 12 + 34 * 5 - 6"), (2, " ".join(long)), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    docs = [(1, "Please: compute 12 + 34 * 5 - 6 now"), (2, " ".join(["78" if i == 71 else w for i, w in enumerate(long)])), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 it is"), (4, "compute 99 + 98 * 97 - 96, and 21 22 23 24 25 26 27 28 29 30 31 32")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["covered"], r["exact"]) for r in rows(decontam.contaminated(d, b, cover=0.9, most_cover=1000)))
+    assert got == [(1, 1, 5, True), (2, 2, 101, False), (3, 3, 12, True)]
+
+
 def test_decontamination_finds_exact_passages(spark, docs):
     bench = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
     flat = lambda t: " ".join(re.sub(r"[^\w\s]", "", t or "").lower().split())
