@@ -1,7 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 DataFrame functions only. Words are lower-cased and stripped of punctuation;
-numbers, units after numbers and names become typed placeholders. Windows of
+numbers, number words, units after numbers and names become typed placeholders.
+A name is any word with a capital and a small letter first, also at the start of
+a sentence; as names are found by case, each text also has a second template
+whose names stay words, so that case can't hide a copy. Windows of
 such templates are joined by hash, and a hit counts if the values in its slots
 map one to one, so a question with other numbers or names is still caught.
 """
@@ -18,8 +21,12 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hz|khz|mhz|w|kw|v|a|j|kj|n|pa|kpa|k|c|f|mph|kmh|usd|eur|gbp|dollars?|euros?|cents?|pounds?|miles?|inch|inches|feet|foot|ft|yards?|ounces?|oz|lb|lbs|met(?:er|re)s?|kilomet(?:er|re)s?|centimet(?:er|re)s?|grams?|kilograms?|tons?|lit(?:er|re)s?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|percent"
 
 
+#: Number words; those that are often something else (un, ein, once) aren't.
+NUMBERS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty(?:one|two|three|four|five|six|seven|eight|nine)?|hundred|thousand|million|billion|dozen|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zehn|elf|zwölf|deux|trois|quatre|cinq|sept|huit|neuf|dix|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez"
+
+
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s\x{E001}-\x{E003}]+", "")
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")
 
 
 def _split(text: Column) -> Column:
@@ -30,14 +37,26 @@ def _split(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Lower-cased words without punctuation; as many as template_words has."""
-    return _split(_bare(text))
+    return _split(F.lower(_bare(text)))
+
+
+def _typed(text: Column) -> Column:
+    t = F.regexp_replace(_bare(text), r"\p{N}+", NUMBER)
+    t = F.regexp_replace(t, rf"(?iu)(?<!\S)(?:{NUMBERS})(?!\S)", NUMBER)
+    return F.regexp_replace(t, rf"(?i)({NUMBER}\s*)(?:{UNITS})(?!\S)", f"$1{UNIT}")
+
+
+def _named(typed: Column) -> Column:
+    return _split(F.lower(F.regexp_replace(typed, r"\p{Lu}(?<!\S.)\p{Ll}\p{L}*", NAME)))
 
 
 def template_words(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*", NAME)
-    t = F.regexp_replace(t, r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)(?<={NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    return _split(_bare(t))
+    return _named(_typed(text))
+
+
+def with_templates(df: DataFrame, text: str = "t") -> DataFrame:
+    """Adds tw, the template, and cw, the template whose names are words."""
+    return df.withColumn("__typed", _typed(F.col(text))).withColumn("tw", _named(F.col("__typed"))).withColumn("cw", _split(F.lower("__typed"))).drop("__typed")
 
 
 def _windows(tokens: Column, sizes: list[int]) -> Column:
@@ -74,13 +93,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     which are broadcast if they are counted to be few and else shuffled; the
     texts of documents with hits are then read again."""
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_col, item_text_col).alias("ih"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))
-    items = checkpoint(items.select("item", "ih", template_words(F.col("t")).alias("tw"), plain_words(F.col("t")).alias("pw")).filter(F.size("tw") > 0).dropDuplicates(["ih"]))
+    items = checkpoint(with_templates(items).select("item", "ih", "tw", "cw", plain_words(F.col("t")).alias("pw")).filter(F.size("tw") > 0).dropDuplicates(["ih"]))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("tw"), F.lit(window)).alias("w")).distinct().collect()) or [window]  # at most `window` numbers
-    keys = items.select("item", "ih", F.size("tw").alias("item_words"), F.explode(_windows(F.col("tw"), sizes)).alias("x")).filter(F.col("x.w") == F.least(F.col("item_words"), F.lit(window)))
+    keys = items.select("item", "ih", F.size("tw").alias("item_words"), F.explode(F.array_distinct(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes)))).alias("x")).filter(F.col("x.w") == F.least(F.col("item_words"), F.lit(window)))
     keys = checkpoint(keys.select(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "item", "ih", F.col("x.at").alias("item_at"), "item_words"))
     ident = F.col(id_col)
     source = docs.select(ident.alias("i"), F.xxhash64(text_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    exploded = source.select("i", "d", template_words(F.col("t")).alias("tw")).select("i", "d", F.explode(_windows(F.col("tw"), sizes)).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    exploded = with_templates(source).select("i", "d", F.explode(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes))).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
     hits = exploded.join(broadcast_if_small(keys, broadcast_rows), ["h", "w"]).select("i", "d", "item", "ih", "at", "item_at", "w", "item_words").distinct()
     stretch = (F.col("at") - F.col("item_at")).alias("stretch")
     hits = checkpoint(hits.groupBy("i", "d", "item", "ih", stretch).agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))

@@ -404,6 +404,17 @@ def test_slot_heavy_items_and_single_changed_slots(spark):
     assert got == [(1, 1, 5, True), (2, 2, 101, False), (3, 3, 12, True)]
 
 
+def test_names_anywhere_number_words_and_case(spark):
+    bench = [(1, "Tom has 5 apples. Tom gives 2 to Ann."), (2, "Each morning the driver hands over a parcel to Maria before Peter leaves the old depot"), (3, "In the yard there are seven red hens and three of them lay no eggs")]
+    docs = [
+        (1, "Bob has 7 apples. Bob gives 3 to Eve."), (2, "tom has 5 apples. tom gives 2 to ann."), (3, "EACH MORNING THE DRIVER HANDS OVER A PARCEL TO MARIA BEFORE PETER LEAVES THE OLD DEPOT"),
+        (4, "Each morning the driver hands over a parcel to\nMaria before\n Peter leaves the old depot"), (5, "In the yard there are nine red hens and 4 of them lay no eggs"), (6, "Bob has 7 pears. Eve takes all of them to Bob."),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["covered"] == r["item_words"], r["exact"]) for r in rows(decontam.contaminated(d, b)))
+    assert got == [(1, 1, True, False), (2, 1, True, True), (3, 2, True, True), (4, 2, True, True), (5, 3, True, False)]
+
+
 def test_decontamination_finds_exact_passages(spark, docs):
     bench = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
     flat = lambda t: " ".join(re.sub(r"[^\w\s]", "", t or "").lower().split())
