@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.sources.shared import cut
+
 
 def star_graph(df: DataFrame, nodes: dict[str, str], edges: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of rows. nodes: kind -> column with its key; edges:
@@ -24,8 +24,9 @@ def star_graph(df: DataFrame, nodes: dict[str, str], edges: list[tuple[str, str,
 
 def dedup_edges(edges: DataFrame, order: str) -> DataFrame:
     """The last edge of each source, target and relation."""
-    w = Window.partitionBy("source", "target", "relation").orderBy(F.desc(order))
-    return edges.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    names = edges.columns
+    last = edges.groupBy("source", "target", "relation").agg(F.max_by(F.struct(*names), F.col(order)).alias("x"))
+    return last.select(*[F.col(f"x.`{c}`") for c in names])
 
 
 def defects(nodes: DataFrame, edges: DataFrame, needs: dict[str, str]) -> DataFrame:
@@ -53,28 +54,52 @@ def neighbours(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.select("id").distinct().join(both, "id").groupBy("id").agg(F.array_sort(F.collect_set("o")).alias("neighbours"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
-    return df.checkpoint()
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    others = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
-def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """id, component: the least id reachable over edges, by passing minima to
-    neighbours and jumping to the label's label; checkpointed each round."""
-    both = _cut(edges.select("source", "target").union(edges.select(F.col("target"), F.col("source"))).distinct())
-    label = _cut(both.groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.first("source")).alias("component")))
+
+def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """edges: u, v of one type with an order. Returns node, component (the
+    least node), one row for each node that is not itself the least of its
+    component.
+
+    Alternating star joins: each round keeps only minima of neighbourhoods, so
+    hubs are never collected; rounds grow with the logarithm of the longest
+    path. Each round is checkpointed to the shared folder. Self-loops and nulls
+    are ignored; an empty table gives an empty table. Raises where most_rounds
+    don't suffice."""
+    edges = cut(edges.filter("u <> v").select("u", "v").distinct())
+    mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003))
+    seen = edges.agg(mark).first()[0]
     for _ in range(most_rounds):
-        seen = both.join(label, both["target"] == label["id"]).groupBy("source").agg(F.min("component").alias("m"))
-        new = label.join(seen, label["id"] == seen["source"]).select("id", F.least("component", "m").alias("c"))
-        jump = new.select(F.col("id").alias("k"), F.col("c").alias("c2"))
-        new = _cut(new.join(jump, new["c"] == jump["k"], "left").select("id", F.least("c", F.coalesce("c2", "c")).alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count()
-        label = new
-        if not changed:
+        if not seen[0]:
+            break
+        edges = cut(_small_star(_large_star(edges)))
+        now = edges.agg(mark).first()[0]
+        if now == seen:
             break
-    return label
+        seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component: the least id reachable over edges (source, target), a row
+    for each id of an edge."""
+    pairs = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
+    found = cut(connected_components(pairs))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).filter("id is not null").distinct()
+    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def cohesion(edges: DataFrame, label: DataFrame) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Personal data: spans, masking with a way back, and a gate on what is left.
-
-Patterns look at nothing around a match (no \\b, no lookaround), so the first
-place of a match's text after the match before is where it matched.
-"""
+"""Personal data: spans, masking with a way back, and a gate on what is left."""
 
 from __future__ import annotations
 
@@ -10,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.arrays import placed, scan
+
 #: Category -> pattern, in order of priority.
 CATEGORIES = {
     "EMAIL": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]",
@@ -24,32 +22,22 @@ LOOSE = {"AT": r"[^\s@]+@[^\s@]+\.[a-z]{2,}", "DIGITS": r"[0-9]{12,}"}
 SPANS = "array<struct<s:int,e:int,cat:string>>"
 
 
-def _placed(text: Column, found: Column, cat: str) -> Column:
-    start = F.struct(F.array().cast(SPANS).alias("done"), F.lit(0).alias("at"))
-
-    def step(acc, m):
-        s = F.call_function("locate", m, text, acc["at"] + 1) - 1
-        e = s + F.length(m)
-        return F.struct(F.concat(acc["done"], F.array(F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lit(cat).alias("cat")))).alias("done"), e.cast("int").alias("at"))
-
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: acc["done"])).otherwise(F.array().cast(SPANS))
-
-
 def find_spans(text: Column, categories: dict[str, str] = CATEGORIES) -> Column:
     """All matches (s, e, cat), code points, vetoed ones left out."""
-    each = [F.filter(_placed(text, F.regexp_extract_all(text, F.lit(p), F.lit(0)), k), lambda m: ~F.substring(text, m["s"] + 1, m["e"] - m["s"]).rlike(VETO)) for k, p in categories.items()]
-    return F.concat(*each)
+    none = F.array().cast(SPANS)
+
+    def of(cat: str, pattern: str) -> Column:
+        found = placed(text, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        return F.coalesce(F.transform(F.filter(found, lambda m: ~m["t"].rlike(VETO)), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(cat).alias("cat"))), none)
+
+    return F.concat(*[of(k, p) for k, p in categories.items()])
 
 
 def resolve_spans(spans: Column) -> Column:
     """By start, the longest first, each span that overlaps none kept before."""
     ordered = F.transform(F.array_sort(F.transform(spans, lambda m: F.struct(m["s"], (-m["e"]).alias("x"), m["e"], m["cat"]))), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["cat"].alias("cat")))
-    start = F.struct(F.array().cast(SPANS).alias("kept"), F.lit(0).alias("at"))
-
-    def step(acc, m):
-        return F.when(m["s"] >= acc["at"], F.struct(F.concat(acc["kept"], F.array(m)).alias("kept"), m["e"].alias("at"))).otherwise(acc)
-
-    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+    kept = scan(ordered, F.lit(0), lambda at, m: F.when(m["s"] >= at, m), lambda at, m: F.when(m["s"] >= at, m["e"]).otherwise(at), "struct<s:int,e:int,cat:string>")
+    return F.when(F.size(spans) > 0, F.filter(kept, lambda m: m.isNotNull())).otherwise(F.array().cast(SPANS))
 
 
 def mask(df: DataFrame, text_col: str) -> DataFrame:
@@ -58,19 +46,14 @@ def mask(df: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col)
     rows = df.withColumn("spans", resolve_spans(find_spans(text)))
 
-    def token(m, i):
-        n = F.size(F.filter(F.slice(F.col("spans"), 1, i + 1), lambda o: o["cat"] == m["cat"]))
-        return F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit("["), m["cat"], F.lit("_"), n.cast("string"), F.lit("]")).alias("token"), F.substring(text, m["s"] + 1, m["e"] - m["s"]).alias("original"))
-
-    rows = rows.withColumn("__t", F.transform("spans", token))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, m):
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["s"] - acc["at"]), m["token"]).alias("out"), m["e"].alias("at"))
+    def numbered(cat: str) -> Column:
+        return F.transform(F.filter("spans", lambda m: m["cat"] == cat), lambda m, i: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit(f"[{cat}_"), (i + 1).cast("string"), F.lit("]")).alias("token"), F.substring(text, m["s"] + 1, m["e"] - m["s"]).alias("original")))
 
-    masked = F.aggregate("__t", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("masked", F.when(F.size("spans") > 0, masked))
-    return rows.withColumn("mapping", F.transform("__t", lambda m: F.struct(m["token"].alias("token"), m["original"].alias("original")))).drop("__t")
+    rows = rows.withColumn("__t", F.array_sort(F.concat(*[numbered(c) for c in CATEGORIES])))
+    rows = rows.withColumn("__at", F.concat(F.array(F.lit(0)), F.transform("__t", lambda m: m["e"])))
+    pieces = F.transform(F.arrays_zip("__at", "__t"), lambda z: F.concat(F.substring(text, z["__at"] + 1, F.coalesce(z["__t"]["s"], F.length(text)) - z["__at"]), F.coalesce(z["__t"]["token"], F.lit(""))))
+    rows = rows.withColumn("masked", F.when(F.size("spans") > 0, F.array_join(pieces, "")))
+    return rows.withColumn("mapping", F.transform("__t", lambda m: F.struct(m["token"].alias("token"), m["original"].alias("original")))).drop("__t", "__at")
 
 
 def unmask(masked: Column, mapping: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from evidentia.operators import pii as P
 from evidentia.operators import refs as A
 from evidentia.operators import text as X
 from evidentia.plans.text_queries import LINES, NORM, docs
+from evidentia.sources.shared import shared_dir
 from evidentia.sources.tables import USAGE, table
 from evidentia.streaming import events as V
 
@@ -31,8 +31,7 @@ def q(sql: str | None = None):
 
 
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="evidentia-")
-    return f"{base}/evidentia/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/evidentia/stream-{uuid.uuid4().hex}"
 
 
 ANY = "|".join(f"(?:{p})" for p in P.CATEGORIES.values())
