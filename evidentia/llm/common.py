@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from evidentia.sources.shared import broadcast_if_small, shared_dir
+from evidentia.sources.shared import cut as checkpoint
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where
-    it is set, else a new temporary folder (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="evidentia-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+__all__ = ["broadcast_if_small", "checkpoint", "chunks", "mix64", "shared_dir", "shingle_sets", "slices", "stage", "table", "word_hashes"]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint (small tables)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +25,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint behind a counted bound; beyond it Spark shuffles. df is
-    a table in the shared folder, so counting it is cheap."""
-    return F.broadcast(df) if df.count() <= most_rows else df
-
-
 # --------------------------------------------------------------------- hashes
 _U = np.uint64
 

@@ -22,7 +22,7 @@ UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hz|khz|mhz|w|kw|v|a|j|kj|n|p
 
 
 #: Number words; those that are often something else (un, ein, once) aren't.
-NUMBERS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty(?:one|two|three|four|five|six|seven|eight|nine)?|hundred|thousand|million|billion|dozen|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zehn|elf|zwölf|deux|trois|quatre|cinq|sept|huit|neuf|dix|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez"
+NUMBERS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty(?:one|two|three|four|five|six|seven|eight|nine)?|hundred|thousand|million|billion|dozen|zwei|drei|vier|f[üÜ]nf|sechs|sieben|acht|neun|zehn|elf|zw[öÖ]lf|deux|trois|quatre|cinq|sept|huit|neuf|dix|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez"
 
 
 def _bare(text: Column) -> Column:
@@ -31,7 +31,7 @@ def _bare(text: Column) -> Column:
 
 def _split(text: Column) -> Column:
     """Words of a text; none for a blank one."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    t = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.length(t) > 0, F.split(t, r"\s+")).otherwise(F.array().cast("array<string>"))
 
 
@@ -42,7 +42,7 @@ def plain_words(text: Column) -> Column:
 
 def _typed(text: Column) -> Column:
     t = F.regexp_replace(_bare(text), r"\p{N}+", NUMBER)
-    t = F.regexp_replace(t, rf"(?iu)(?<!\S)(?:{NUMBERS})(?!\S)", NUMBER)
+    t = F.regexp_replace(t, rf"(?i)(?<!\S)(?:{NUMBERS})(?!\S)", NUMBER)
     return F.regexp_replace(t, rf"(?i)({NUMBER}\s*)(?:{UNITS})(?!\S)", f"$1{UNIT}")
 
 
@@ -71,14 +71,14 @@ def _windows(tokens: Column, sizes: list[int]) -> Column:
     return F.concat(*each) if len(each) > 1 else each[0]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, cover: float = 0.5, most_cover: int = 24, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, cover: float = 0.5, broadcast_rows: int = 1_000_000, by_text: bool = False) -> DataFrame:
     """One row for each document and benchmark item it holds: id_col, item_col,
     windows (number of windows of the item found), covered (words of the item
-    in them), item_words, exact (no slot has another value).
+    in them), item_words, exact (no slot has another value); by_text also tells
+    texts of one id apart by text_hash (xxhash64 of the text).
 
     An item is held if windows of `window` template words agree with the
-    document's and cover a share `cover` of the item's words, or most_cover
-    words. Slots with another value than the item's may be half of a window's
+    document's and cover a share `cover` of the item's words. Slots with another value than the item's may be half of a window's
     words at most. Over one stretch of the document the values have to map one
     to one: of pairs that contradict each other the one in most slots holds (an
     equal value always does, of equally many none), and windows with another
@@ -124,5 +124,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     words = F.flatten(F.transform("hits", lambda x: F.sequence(x["item_at"], x["item_at"] + x["w"] - 1)))
     both = both.select("i", "d", "item", "ih", "item_words", F.size("hits").alias("windows"), F.array_distinct(words).alias("words"), F.forall("slots", lambda y: y["a"] == y["b"]).alias("exact"))
     both = both.groupBy("i", "d", "item", "ih").agg(F.max("item_words").alias("item_words"), F.sum("windows").cast("int").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.min("exact").alias("exact"))
-    both = both.filter(F.col("covered") >= F.least(F.ceil(F.col("item_words") * cover), F.lit(most_cover))).select(F.col("i").alias(id_col), F.col("item").alias(item_col), "windows", "covered", "item_words", "exact")
-    return both.groupBy(id_col, item_col).agg(F.max("windows").alias("windows"), F.max("covered").alias("covered"), F.max("item_words").alias("item_words"), F.max("exact").alias("exact"))
+    both = both.filter(F.col("covered") >= F.ceil(F.col("item_words") * cover))
+    keys = [F.col("i").alias(id_col), F.col("item").alias(item_col), *([F.col("d").alias("text_hash")] if by_text else [])]
+    return both.groupBy(*keys).agg(F.max("windows").alias("windows"), F.max("covered").alias("covered"), F.max("item_words").alias("item_words"), F.max("exact").alias("exact"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, queries, secret_scan, toxicity, url_filter, warc
-from evidentia.llm.components import connected_components
+from evidentia.operators.graph import connected_components
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long"
@@ -96,7 +96,36 @@ def test_jaccard_odd_rows(spark):
     assert [r["links"] for r in by[4]] == [1, 1] and by[4][0]["component"] == 4
     assert by[None][0]["component"] is None
     assert rows(jaccard_join.jaccard_components(df.limit(0))) == []
-    assert jaccard_join.keep_one_of_each(df).count() == len(ODD)
+    kept = jaccard_join.keep_one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == len(ODD) - 1  # the repeated row is a copy
+    assert jaccard_join.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_jaccard_frequent_tokens(spark):
+    """Tokens that hundreds of sets share: near copies, and other texts around
+    the same passage."""
+    base = [f"w{i}" for i in range(60)]
+    items = []
+    for i in range(300):
+        w = list(base)
+        w[i % 60] = f"changed{i}"
+        w[(i * 7) % 60] = f"also{i % 9}"
+        items.append((i, " ".join(w)))
+    items += [(1000 + i, " ".join([*base[:30], *[f"own{i}x{j}" for j in range(8 + i % 30)]])) for i in range(80)]
+    got = rows(jaccard_join.jaccard_components(spark.createDataFrame(items, "doc_id long, text string"), percent=85))
+    assert {r["id"]: (r["n"], r["component"]) for r in got} == brute_components(items, 4, 85)
+    sets = {i: shingles(t, 4) for i, t in items}
+    for r in got[::17]:
+        mine = sets[r["id"]]
+        assert r["links"] == sum(i != r["id"] and 100 * len(mine & x) >= 85 * len(mine | x) for i, x in sets.items())
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    items = [(1, a, "s"), (2, a + " more", "s"), (2, b, "s"), (None, c, "s"), (None, c, "t"), (None, a, "s"), (None, "quite other words here in this row", "s"), (7, b, "s"), (7, b, "s"), (None, None, "s"), (None, None, "s")]
+    got = jaccard_join.keep_one_of_each(spark.createDataFrame(items, "doc_id long, text string, stays string"))
+    want = [(1, a), (2, b), (None, c), (None, "quite other words here in this row"), (None, None), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(got)), key=str) == sorted(want, key=str)
 
 
 def test_components(spark):
@@ -400,7 +429,7 @@ def test_slot_heavy_items_and_single_changed_slots(spark):
     bench = [(1, "Compute 12 + 34 * 5 - 6"), (2, " ".join(long)), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
     docs = [(1, "Please: compute 12 + 34 * 5 - 6 now"), (2, " ".join(["78" if i == 71 else w for i, w in enumerate(long)])), (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 it is"), (4, "compute 99 + 98 * 97 - 96, and 21 22 23 24 25 26 27 28 29 30 31 32")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], r["covered"], r["exact"]) for r in rows(decontam.contaminated(d, b, cover=0.9, most_cover=1000)))
+    got = sorted((r["doc_id"], r["item_id"], r["covered"], r["exact"]) for r in rows(decontam.contaminated(d, b, cover=0.9)))
     assert got == [(1, 1, 5, True), (2, 2, 101, False), (3, 3, 12, True)]
 
 
