@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import checkpoint
+from evidentia.llm.common import checkpoint, stage
 
 #: Fixed values: (verdict, rule). A rule is host/path-prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -54,35 +54,56 @@ def host_graph(pages: DataFrame, html_col: str) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """Personalised PageRank with the seeds' mass. edges: kind, src, dst,
-    weight; seeds: kind, host, mass. Returns kind, host, mass. Kinds are
-    separate walks carried in one join a round. Mass at hosts without edges out
-    is lost, as it would return to the seeds in proportion."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most_rounds: int = 200) -> DataFrame:
+    """Personalised PageRank. edges: kind, src, dst, weight; seeds: kind, host,
+    mass. Returns kind, host, mass, where each kind's masses add up to 1. Kinds
+    are separate walks carried in one join a round. A walk that comes to a host
+    without edges out goes on from the seeds.
+
+    Each round moves what arrived in the round before, damped, along the edges.
+    Rounds go on until what is left to move is under tolerance of a kind's
+    mass; raises if most_rounds don't suffice. What walks lose at hosts without
+    edges would go out from the seeds again in the same proportions, so dividing
+    by the sum in the end gives the same."""
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     steps = checkpoint(edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")))
-    mass = seeds
-    base = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    for r in range(rounds):
-        moved = mass.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        mass = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if r % 2 == 1:
-            mass = checkpoint(mass)
-    return mass
-
-
-def filter_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, rounds: int = 8, ratio: float = 1.0, default: str = "allow") -> DataFrame:
+    sums = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
+    new = checkpoint(seeds.join(F.broadcast(sums), "kind").groupBy("kind", "host").agg(F.sum(F.col("mass") / F.col("all")).alias("mass")))  # a row for each kind
+    mass, rounds = new, 0
+    while True:
+        left = new.groupBy("kind").agg(F.sum("mass").alias("m")).agg(F.max("m")).first()[0] or 0.0
+        if left / (1 - damping) <= tolerance:
+            break
+        if rounds >= most_rounds:
+            raise RuntimeError(f"the walks did not settle in {most_rounds} rounds")
+        moves = []
+        for _ in range(4):  # between two cuts of the lineage
+            moved = new.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
+            new = checkpoint(moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
+            moves.append(new)
+            rounds += 1
+        for m in moves:
+            mass = mass.unionByName(m)
+        mass = checkpoint(mass.groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
+    sums = mass.groupBy("kind").agg(F.sum("mass").alias("all"))
+    return mass.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass"))
+
+
+def filter_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, tolerance: float = 1e-3, ratio: float = 1.0, default: str = "allow") -> DataFrame:
     """pages with host, path, rule, verdict, trust and distrust.
 
     The longest rule that fits a url judges it. Other urls are judged by host:
     trust walks along links from hosts with allowed pages, distrust walks
-    against links from hosts with blocked pages, each seeded with its number of
-    such pages, and a host is blocked where distrust exceeds ratio times trust.
-    A host that neither walk reaches gets the default.
+    against links from hosts with blocked pages, each seeded in proportion to
+    their numbers of such pages and adding up to 1 over all hosts, and a host
+    is blocked where distrust exceeds ratio times trust. A host that neither
+    walk reaches gets the default.
 
-    A null url, or one without ://, has empty host and path and the default.
-    Null html has no links. Repeated rows count as pages each; columns named
-    like the new ones are replaced. An empty table gives an empty table.
+    Links are a elements with an absolute address (with or without a scheme);
+    a relative one stays on its host and gives no edge. A null url, or one
+    without ://, has empty host and path and the default. Null html has no
+    links. Repeated rows count as pages each; columns named like the new ones
+    are replaced. An empty table gives an empty table.
 
     Only host pairs, added up before the shuffle, and one row a host and walk
     enter the rounds; pages are joined to their host's verdict without html."""
@@ -93,9 +114,9 @@ def filter_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     seeds = rows.filter("__ruled is not null and host <> ''").groupBy(F.col("__ruled").alias("kind"), "host").agg(F.count(F.lit(1)).cast("double").alias("mass"))
     edges = checkpoint(host_graph(rows, html_col))
     walks = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    mass = spread(walks, checkpoint(seeds), damping, rounds)
+    mass = spread(walks, checkpoint(seeds), damping, tolerance)
     hosts = mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("mass"))).alias("distrust"))
-    hosts = checkpoint(hosts.select(F.col("host").alias("__host"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
+    hosts = stage(hosts.select(F.col("host").alias("__host"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "hosts")
     out = rows.drop("trust", "distrust", "verdict").join(hosts, F.col("host") == F.col("__host"), "left").drop("__host")
     judged = F.when(F.col("distrust") > ratio * F.col("trust"), "block").when(F.col("distrust").isNotNull(), "allow").otherwise(default)
     return out.withColumn("verdict", F.coalesce("__ruled", judged)).drop("__ruled")
