@@ -14,9 +14,12 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evidentia.llm.common import slices
 
 PACKET, BODY = 188, 184
 PAT_PID, PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 0, 0x100, 0x101, 0x06, 0xBD
@@ -95,16 +98,15 @@ def mux(payload: bytes) -> bytes:
     return np.concatenate(out).tobytes()
 
 
-def _read_section(packets: np.ndarray, table: int) -> bytes | None:
+def _read_section(p: np.ndarray, table: int) -> bytes | None:
     """The first section of a packet that starts one; None if its checksum or
     number of table is wrong."""
-    for p in packets:
-        at = 5 + int(p[4]) if not p[3] & 0x20 else 6 + int(p[4]) + int(p[5 + p[4]])
-        size = (int(p[at + 1]) & 15) << 8 | int(p[at + 2])
-        section = p[at : at + 3 + size].tobytes()
-        if section[0] == table and section[-4:] == struct.pack(">I", crc32_mpeg(section[:-4])):
-            return section
-    return None
+    at = 5 + int(p[4]) if not p[3] & 0x20 else 6 + int(p[4]) + int(p[min(5 + int(p[4]), PACKET - 1)])
+    if at + 3 > PACKET:
+        return None
+    size = (int(p[at + 1]) & 15) << 8 | int(p[at + 2])
+    section = p[at : at + 3 + size].tobytes()
+    return section if section[0] == table and len(section) > 7 and section[-4:] == struct.pack(">I", crc32_mpeg(section[:-4])) else None
 
 
 def demux(media: bytes) -> dict:
@@ -119,11 +121,11 @@ def demux(media: bytes) -> dict:
     found["lost"] += int((rows[:, 0] != 0x47).sum())
     pid = (rows[:, 1].astype(np.int64) & 31) << 8 | rows[:, 2]
     starts = (rows[:, 1] & 0x40) > 0
-    pat = _known_section(rows[(pid == PAT_PID) & starts][:1], 0)
+    pat = _first_section(rows[(pid == PAT_PID) & starts], 0)
     for i in range(8, len(pat or b"") - 4, 4):
         found["programs"][pat[i] << 8 | pat[i + 1]] = (pat[i + 2] & 31) << 8 | pat[i + 3]
     for map_pid in found["programs"].values():
-        pmt = _known_section(rows[(pid == map_pid) & starts][:1], 2)
+        pmt = _first_section(rows[(pid == map_pid) & starts], 2)
         at = 12 + ((pmt[10] & 15) << 8 | pmt[11]) if pmt else 0
         while pmt and at < len(pmt) - 4:
             found["streams"][(pmt[at + 1] & 31) << 8 | pmt[at + 2]] = pmt[at]
@@ -160,50 +162,54 @@ def demux(media: bytes) -> dict:
 _CHECKED: dict[tuple[bytes, int], bytes | None] = {}
 
 
-def _known_section(packets: np.ndarray, table: int) -> bytes | None:
-    """_read_section, remembered: nearly all streams have the same tables."""
-    key = (packets.tobytes(), table)
-    if key not in _CHECKED:
-        if len(_CHECKED) > 1000:
-            _CHECKED.clear()
-        _CHECKED[key] = _read_section(packets, table)
-    return _CHECKED[key]
+def _first_section(packets: np.ndarray, table: int) -> bytes | None:
+    """The first section that is whole among packets that start one. Packets
+    are remembered: nearly all streams have the same tables."""
+    for p in packets:
+        key = (p.tobytes(), table)
+        if key not in _CHECKED:
+            if len(_CHECKED) > 1000:
+                _CHECKED.clear()
+            _CHECKED[key] = _read_section(p, table)
+        if _CHECKED[key]:
+            return _CHECKED[key]
+    return None
 
 
 _PAT = _section(0, 1, struct.pack(">HH", 1, 0xE000 | PMT_PID))
 _PMT = _section(2, 1, struct.pack(">HH", 0xE000 | ES_PID, 0xF000) + bytes([STREAM_TYPE]) + struct.pack(">HH", 0xE000 | ES_PID, 0xF000))
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, n_programs int, n_packets long, n_pes long, first_pts long, last_pts long, random_access array<int>, lost long, clipped long, streams string"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+_READ = pa.struct([(name, _ARROW[kind]) for name, kind in (c.split() for c in READ.split(", "))])
 
 
-def to_stream(text: Column) -> Column:
-    """The transport stream (binary) of a text's UTF-8 bytes, padded with 255
-    to a positive multiple of FRAME bytes. A null text counts as empty."""
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: mux(pad((t or "").encode("utf-8", "surrogatepass"))))
-
-    return F.pandas_udf(run, "binary")(F.coalesce(text.cast("string"), F.lit("")))
-
-
-def read_stream(media: Column) -> Column:
-    """Struct READ of what a stored transport stream holds. Null media, or such
-    as is no stream, gives no payload, lost 1 if it isn't empty."""
+def read_back(media: bytes | None) -> tuple:
+    """READ of what a stored transport stream holds. Null media, or such as is
+    no stream, gives no payload, lost 1 if it isn't empty."""
+    x = demux(media or b"")
+    p, pts = x["payload"], x["pts"]
+    return (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(x["programs"]), x["packets"], x["pes"], pts[0] if pts else None, pts[-1] if pts else None, x["random_access"], x["lost"], x["clipped"], ",".join(f"{k}:{v}" for k, v in x["streams"].items()))
 
-    def run(streams: pd.Series) -> pd.DataFrame:
-        out = []
-        for m in streams:
-            x = demux(m or b"")
-            p = x["payload"]
-            out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(x["programs"]), x["packets"], x["pes"], x["pts"][0] if x["pts"] else None, x["pts"][-1] if x["pts"] else None, x["random_access"], x["lost"], x["clipped"], ",".join(f"{k}:{v}" for k, v in x["streams"].items())))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")]).astype({"first_pts": "Int64", "last_pts": "Int64"})
 
-    return F.pandas_udf(run, READ)(media)
+def _stored(batches):
+    for b in slices(batches, 0):
+        media = [mux(pad((t or "").encode("utf-8", "surrogatepass"))) for t in b.column(0).to_pylist()]
+        read = [dict(zip(_READ.names, read_back(m), strict=True)) for m in media]
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(media, pa.binary()), pa.array(read, _READ)], [*b.schema.names[1:], "media", "read"])
 
 
 def add_streams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with media (binary), its media_bytes and media_sha256, and read,
-    the struct READ parsed from the stored bytes. Columns named alike are
-    replaced. Each row by itself, equal texts alike, texts whole; no shuffle."""
-    rows = docs.withColumn("media", to_stream(F.col(text_col)))
-    return rows.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256), "read": read_stream(F.col("media"))})
+    """docs with media (binary): the transport stream of the UTF-8 bytes of a
+    text (null as empty), padded with 255 to a positive multiple of FRAME; its
+    media_bytes and media_sha256, and read, the struct READ parsed from the
+    stored bytes. Columns named alike are replaced.
+
+    Each row by itself, equal texts alike, texts whole; no shuffle. Tasks hold
+    some megabytes of texts and their streams at a time. An empty table gives an
+    empty table."""
+    kept = [c for c in docs.columns if c not in ("media", "media_bytes", "media_sha256", "read")]
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in kept])
+    schema = T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(f"media binary, read struct<{READ.replace(' ', ':').replace(',:', ',')}>").fields])
+    made = rows.mapInArrow(_stored, schema)
+    return made.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})

@@ -54,7 +54,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archives = stage(warc.write_warc(pages, warc.archive_folder(spark)), "archives")
-    return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("intact"), F.col("record_type")).otherwise(F.raise_error(F.lit("a record was read damaged")))
+    return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
 
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

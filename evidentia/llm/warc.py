@@ -198,7 +198,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).alias("n"))
     small = rows.select("page_id", "sha1", "n")
     first = small.filter(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    told = stage(small.join(first, "sha1", "left").select("page_id", "sha1", F.when(F.col("page_id") != F.col("first"), F.col("first")).when(F.col("page_id").isNull(), F.col("first")).alias("refers_to")).distinct(), "digests")
+    # rows of one payload are dealt by a salt, so very many copies are many tasks
+    small = small.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(64)))
+    first = small.select("sha1", "salt").distinct().join(first, "sha1")
+    told = stage(small.join(first, ["sha1", "salt"], "left").select("page_id", "sha1", F.when(F.col("page_id") != F.col("first"), F.col("first")).when(F.col("page_id").isNull(), F.col("first")).alias("refers_to")).distinct(), "digests")
     revisits = told.filter("refers_to is not null")
     key = (F.col("page_id").eqNullSafe(F.col("r_id"))) & (F.col("sha1") == F.col("r_sha"))
     out = rows.join(revisits.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha"), "refers_to"), key, "left")
