@@ -8,51 +8,70 @@ from pyspark.sql import functions as F
 CASES = ("nom", "gen", "dat", "acc", "ins", "pre")
 
 
-def _soft(stem: str) -> tuple[str, ...]:
-    return (stem + "ь", stem + "и", stem + "и", stem + "ь", stem + "ью", stem + "и")
-
-
-# Number words by case; regular ones are built from their stems.
-ZERO = ("ноль", "ноля", "нолю", "ноль", "нолем", "ноле")
-ONE = {
-    "m": ("один", "одного", "одному", "один", "одним", "одном"),
-    "f": ("одна", "одной", "одной", "одну", "одной", "одной"),
-    "n": ("одно", "одного", "одному", "одно", "одним", "одном"),
-}
-TWO = {
-    "m": ("два", "двух", "двум", "два", "двумя", "двух"),
-    "f": ("две", "двух", "двум", "две", "двумя", "двух"),
-    "n": ("два", "двух", "двум", "два", "двумя", "двух"),
-}
-THREE = ("три", "трех", "трем", "три", "тремя", "трех")
-FOUR = ("четыре", "четырех", "четырем", "четыре", "четырьмя", "четырех")
-EIGHT = ("восемь", "восьми", "восьми", "восемь", "восемью", "восьми")
-FIVE_TO_NINE = (_soft("пят"), _soft("шест"), _soft("сем"), EIGHT, _soft("девят"))
-TEENS = tuple(_soft(s) for s in ("десят", "одиннадцат", "двенадцат", "тринадцат", "четырнадцат", "пятнадцат", "шестнадцат", "семнадцат", "восемнадцат", "девятнадцат"))
-FORTY = ("сорок", "сорока", "сорока", "сорок", "сорока", "сорока")
-NINETY = ("девяносто", "девяноста", "девяноста", "девяносто", "девяноста", "девяноста")
-HUNDRED = ("сто", "ста", "ста", "сто", "ста", "ста")
-TWO_TO_FOUR_HUNDRED = (
-    ("двести", "двухсот", "двумстам", "двести", "двумястами", "двухстах"),
-    ("триста", "трехсот", "тремстам", "триста", "тремястами", "трехстах"),
-    ("четыреста", "четырехсот", "четыремстам", "четыреста", "четырьмястами", "четырехстах"),
-)
-TEN_ENDS = ("десят", "десяти", "десяти", "десят", "десятью", "десяти")
-HUNDRED_ENDS = ("сот", "сот", "стам", "сот", "стами", "стах")
-#: (gender, singular by case, few, plural by case)
-SCALES = (
-    ("m", ("миллиард", "миллиарда", "миллиарду", "миллиард", "миллиардом", "миллиарде"), "миллиарда", ("миллиардов", "миллиардов", "миллиардам", "миллиардов", "миллиардами", "миллиардах")),
-    ("m", ("миллион", "миллиона", "миллиону", "миллион", "миллионом", "миллионе"), "миллиона", ("миллионов", "миллионов", "миллионам", "миллионов", "миллионами", "миллионах")),
-    ("f", ("тысяча", "тысячи", "тысяче", "тысячу", "тысячей", "тысяче"), "тысячи", ("тысяч", "тысяч", "тысячам", "тысяч", "тысячами", "тысячах")),
-)
+# Number words in the six cases, in the order of CASES. one and two
+# have a row for each gender; scales a row for one and a row for several.
+WORDS = """
+0 ноль нуля нулю ноль нулем нуле
+1m один одного одному один одним одном
+1f одна одной одной одну одной одной
+1n одно одного одному одно одним одном
+2m два двух двум два двумя двух
+2f две двух двум две двумя двух
+2n два двух двум два двумя двух
+3 три трех трем три тремя трех
+4 четыре четырех четырем четыре четырьмя четырех
+5 пять пяти пяти пять пятью пяти
+6 шесть шести шести шесть шестью шести
+7 семь семи семи семь семью семи
+8 восемь восьми восьми восемь восемью восьми
+9 девять девяти девяти девять девятью девяти
+10 десять десяти десяти десять десятью десяти
+11 одиннадцать одиннадцати одиннадцати одиннадцать одиннадцатью одиннадцати
+12 двенадцать двенадцати двенадцати двенадцать двенадцатью двенадцати
+13 тринадцать тринадцати тринадцати тринадцать тринадцатью тринадцати
+14 четырнадцать четырнадцати четырнадцати четырнадцать четырнадцатью четырнадцати
+15 пятнадцать пятнадцати пятнадцати пятнадцать пятнадцатью пятнадцати
+16 шестнадцать шестнадцати шестнадцати шестнадцать шестнадцатью шестнадцати
+17 семнадцать семнадцати семнадцати семнадцать семнадцатью семнадцати
+18 восемнадцать восемнадцати восемнадцати восемнадцать восемнадцатью восемнадцати
+19 девятнадцать девятнадцати девятнадцати девятнадцать девятнадцатью девятнадцати
+20 двадцать двадцати двадцати двадцать двадцатью двадцати
+30 тридцать тридцати тридцати тридцать тридцатью тридцати
+40 сорок сорока сорока сорок сорока сорока
+50 пятьдесят пятидесяти пятидесяти пятьдесят пятьюдесятью пятидесяти
+60 шестьдесят шестидесяти шестидесяти шестьдесят шестьюдесятью шестидесяти
+70 семьдесят семидесяти семидесяти семьдесят семьюдесятью семидесяти
+80 восемьдесят восьмидесяти восьмидесяти восемьдесят восемьюдесятью восьмидесяти
+90 девяносто девяноста девяноста девяносто девяноста девяноста
+100 сто ста ста сто ста ста
+200 двести двухсот двумстам двести двумястами двухстах
+300 триста трехсот тремстам триста тремястами трехстах
+400 четыреста четырехсот четыремстам четыреста четырьмястами четырехстах
+500 пятьсот пятисот пятистам пятьсот пятьюстами пятистах
+600 шестьсот шестисот шестистам шестьсот шестьюстами шестистах
+700 семьсот семисот семистам семьсот семьюстами семистах
+800 восемьсот восьмисот восьмистам восемьсот восемьюстами восьмистах
+900 девятьсот девятисот девятистам девятьсот девятьюстами девятистах
+thousand тысяча тысячи тысяче тысячу тысячей тысяче
+thousands тысячи тысяч тысячам тысячи тысячами тысячах
+million миллион миллиона миллиону миллион миллионом миллионе
+millions миллионы миллионов миллионам миллионы миллионами миллионах
+billion миллиард миллиарда миллиарду миллиард миллиардом миллиарде
+billions миллиарды миллиардов миллиардам миллиарды миллиардами миллиардах
+"""
+FORMS = {name: tuple(forms) for name, *forms in (line.split() for line in WORDS.strip().splitlines())}
+#: Scales from the greatest: name, and the gender of its own number.
+SCALES = (("billion", "m"), ("million", "m"), ("thousand", "f"))
 
 
 def _lists(gender: str, c: int) -> tuple[list[str], list[str], list[str]]:
     """Words of 0..19, of the tens and of the hundreds in one case."""
-    units = ["", ONE[gender][c], TWO[gender][c], THREE[c], FOUR[c], *[w[c] for w in FIVE_TO_NINE], *[w[c] for w in TEENS]]
-    tens = ["", "", _soft("двадцат")[c], _soft("тридцат")[c], FORTY[c], *[w[c] + TEN_ENDS[c] for w in FIVE_TO_NINE[:4]], NINETY[c]]
-    hundreds = ["", HUNDRED[c], *[w[c] for w in TWO_TO_FOUR_HUNDRED], *[w[c] + HUNDRED_ENDS[c] for w in FIVE_TO_NINE]]
-    return units, tens, hundreds
+
+    def of(names) -> list[str]:
+        return [FORMS[n][c] for n in names]
+
+    units = of([f"1{gender}", f"2{gender}", *map(str, range(3, 20))])
+    return ["", *units], ["", "", *of(map(str, range(20, 100, 10)))], ["", *of(map(str, range(100, 1000, 100)))]
 
 
 def _pick(words, at: Column) -> Column:
@@ -73,14 +92,18 @@ def spell_number(col, gender: str = "m", case: str = "nom") -> Column:
     n = (F.col(col) if isinstance(col, str) else col).cast("bigint")
     c = CASES.index(case)
     parts = []
-    for i, (own, one, few, many) in enumerate(SCALES):
+    for i, (scale, own) in enumerate(SCALES):
         group = F.floor(n / 10 ** (9 - 3 * i)) % 1000
         teen = (group % 100).between(11, 14)
-        some = F.when((group % 10).between(2, 4) & ~teen, few).otherwise(many[0]) if case in ("nom", "acc") else F.lit(many[c])
-        scale = F.when((group % 10 == 1) & ~teen, one[c]).otherwise(some)
-        parts.append(F.when(group > 0, F.concat_ws(" ", _triple(group, own, c), scale)))
+        one, many = FORMS[scale], FORMS[f"{scale}s"]
+        if case in ("nom", "acc"):  # two to four take the genitive of one, others that of several
+            other = F.when((group % 10).between(2, 4) & ~teen, one[1]).otherwise(many[1])
+        else:
+            other = F.lit(many[c])
+        word = F.when((group % 10 == 1) & ~teen, one[c]).otherwise(other)
+        parts.append(F.when(group > 0, F.concat_ws(" ", _triple(group, own, c), word)))
     parts.append(F.nullif(_triple(n % 1000, gender, c), F.lit("")))
-    return F.when(n == 0, ZERO[c]).when(n.between(1, 999_999_999_999), F.concat_ws(" ", *parts))
+    return F.when(n == 0, FORMS["0"][c]).when(n.between(1, 999_999_999_999), F.concat_ws(" ", *parts))
 
 
 def check_amount_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

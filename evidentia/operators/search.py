@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import norm_words
+from evidentia.sources.shared import broadcast_if_small
 
 
 def build_postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -14,21 +15,55 @@ def build_postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(postings: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """queries: qid, text. qid, id, rank, score: texts that hold every term,
-    ranked by BM25, the least id first in ties."""
-    q = queries.select("qid", F.explode(F.array_distinct(F.split(norm_words("text"), " "))).alias("term")).filter("term <> ''")
-    need = q.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
-    lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
-    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    own = postings.join(q.select("term").distinct(), "term", "left_semi")
-    df_ = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = own.join(q, "term").join(df_, "term").join(lengths, "id").crossJoin(F.broadcast(total))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("have"), F.sum(part).alias("score")).join(need, "qid").filter("have = need")
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 6)), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "id", "rank", F.round("score", 4).alias("score"))
+#: An article asked for by number, and how its label begins (fixed values).
+ARTICLE = r"(?iu)(?:^|[^\p{L}\p{N}_])(?:статья|ст\.)\s*(\d+(?:\.\d+)*)"
+ARTICLE_LABEL = "статья"
+#: Words that are asked for but not looked up (fixed values).
+SHORT = ("ст", "п")
+
+
+def search(nodes: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """queries: qid, text; nodes: id, label, text, kind. Returns qid, id, rank,
+    score: the k best nodes that hold every word of a query's whole text.
+
+    Candidates are the clamp(20 k, 100, 1000) nodes of highest BM25 (rounded to
+    six places, then least id). Their score: 10 a word, 20 if the whole query
+    stands in the label or else 10 if in the text, 5 for articles and points,
+    50 for the article whose number is asked for; ties by id. Queries without a
+    word find nothing.
+
+    A query is joined to nodes by its rarest word alone, so frequent words pair
+    nothing; the other words are looked for in the nodes found."""
+    words = F.split(F.col("norm"), " ")
+    asked = queries.select("qid", norm_words("text").alias("norm"), F.regexp_extract("text", ARTICLE, 1).alias("article"))
+    asked = asked.select("qid", "norm", "article", F.array_distinct(words).alias("every"), F.array_except(words, F.array(*[F.lit(x) for x in SHORT])).alias("terms")).filter((F.col("norm") != "") & (F.size("terms") > 0))
+    terms = asked.select("qid", F.explode("terms").alias("term"))
+    source = nodes.select("id", "kind", norm_words("label").alias("label"), norm_words("text").alias("body"))
+    source = source.withColumn("toks", F.filter(F.split(F.concat_ws(" ", "label", "body"), " "), lambda t: t != ""))
+    wanted = broadcast_if_small(terms.select("term").distinct(), broadcast_rows)
+    held = source.select("id", F.explode(F.array_distinct("toks")).alias("term")).join(wanted, "term", "left_semi")
+    df_ = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = source.select(F.size("toks").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    known = terms.join(df_, "term").groupBy("qid").agg(F.min(F.struct("df", "term")).alias("least"), F.collect_list(F.struct("term", "df")).alias("dfs"))
+    known = known.filter(F.size("dfs") > 0).join(asked, "qid").filter(F.size("dfs") == F.size("terms"))
+    found = held.join(known.select("qid", F.col("least.term").alias("term")), "term").select("qid", "id")
+    both = found.join(source, "id").join(known, "qid").filter(F.forall("terms", lambda t: F.array_contains("toks", t)) & F.forall("every", lambda t: F.contains(F.concat_ws(" ", "label", "body"), t)))
+    both = both.crossJoin(F.broadcast(total))  # one row
+
+    def part(x: Column) -> Column:
+        tf = F.size(F.filter("toks", lambda t: t == x["term"]))
+        idf = F.log(1 + (F.col("n") - x["df"] + 0.5) / (x["df"] + 0.5))
+        return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("toks") / F.col("avgdl")))
+
+    both = both.withColumn("bm25", F.round(F.aggregate(F.transform(F.array_sort("dfs"), part), F.lit(0.0), lambda a, x: a + x), 6))
+    best = Window.partitionBy("qid").orderBy(F.desc("bm25"), "id")
+    both = both.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= min(1000, max(100, 20 * k)))
+    phrase = F.when(F.contains("label", F.col("norm")), 20).when(F.contains("body", F.col("norm")), 10).otherwise(0)
+    number = F.translate("article", ".", " ")
+    exact = (F.col("kind") == "article") & (F.col("article") != "") & F.startswith(F.concat("label", F.lit(" ")), F.concat_ws(" ", F.lit(ARTICLE_LABEL), number, F.lit("")))
+    score = F.size("every") * 10 + phrase + F.when(F.col("kind").isin("article", "point"), 5).otherwise(0) + F.when(exact, 50).otherwise(0)
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return both.select("qid", "id", score.cast("int").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "rank", "score")
 
 
 def name_pairs(df: DataFrame, id_col: str, name_col: str) -> DataFrame:

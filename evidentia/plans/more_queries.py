@@ -279,7 +279,26 @@ def r07_overlong(spark, d):
 
 
 # ------------------------------------------------------------------------ jobs
-@q()
+def _spelled(n: str) -> str:
+    """SQL of a whole number under a billion in words: nominative, masculine."""
+    from evidentia.functions.words import FORMS
+
+    def pick(names, at: str) -> str:
+        return f"(['', {', '.join(repr(FORMS[x][0]) for x in names)}])[1 + {at}]"
+
+    def triple(g: str, gender: str) -> str:
+        units = pick([f"1{gender}", f"2{gender}", *map(str, range(3, 20))], f"(case when {g} % 100 < 20 then {g} % 100 else {g} % 10 end)")
+        return f"concat_ws(' ', nullif({pick([str(x) for x in range(100, 1000, 100)], f'{g} // 100')}, ''), nullif(case when {g} % 100 < 20 then '' else {pick([str(x) for x in range(10, 100, 10)], f'({g} % 100) // 10')} end, ''), nullif({units}, ''))"
+
+    def scale(g: str, name: str) -> str:
+        one, many = FORMS[name], FORMS[f"{name}s"]
+        return f"case when {g} % 100 between 11 and 14 then '{many[1]}' when {g} % 10 = 1 then '{one[0]}' when {g} % 10 between 2 and 4 then '{one[1]}' else '{many[1]}' end"
+
+    parts = [f"case when {g} > 0 then {triple(g, gender)} || ' ' || {scale(g, name)} end" for g, gender, name in ((f"({n} // 1000000)", "m", "million"), (f"({n} // 1000 % 1000)", "f", "thousand"))]
+    return f"case when {n} = 0 then '{FORMS['0'][0]}' else concat_ws(' ', {', '.join(parts)}, nullif({triple(f'({n} % 1000)', 'm')}, '')) end"
+
+
+@q(f"select o_orderkey, {_spelled('n')} as words from (select o_orderkey, cast(floor(o_totalprice) as bigint) as n from orders)")
 def f14_spell_number(spark, d):
     from evidentia.functions.words import spell_number
 

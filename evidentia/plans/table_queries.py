@@ -470,21 +470,17 @@ def k02_postings(spark, d):
     return S.build_postings(docs(spark, d), "doc_id", "text").select("term", "id", "tf")
 
 
-def _terms():
-    w = f"string_split({NORM.format('text')}, ' ')"
-    return f"select item_id as qid, array_to_string(({w})[1:2], ' ') as text from benchmark"
-
-
-@q(f"""with q as (select distinct qid, unnest(string_split({NORM.format('text')}, ' ')) as term from ({_terms()})), qq as (select * from q where term <> ''), p as (select term, id, count(*) as tf from (select doc_id as id, unnest(string_split({NORM.format('text')}, ' ')) as term from documents) where term <> '' group by 1, 2),
-dl as (select id, sum(tf) as dl from p group by 1), t as (select count(*) as n, avg(dl) as a from dl), f as (select term, count(*) as df from p group by 1), need as (select qid, count(*) as need from qq group by 1),
-s as (select qid, id, count(*) as have, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / a))) as score from p join qq using (term) join f using (term) join dl using (id), t group by 1, 2)
-select qid, id, cast(row_number() over (partition by qid order by round(score, 6) desc, id) as int) as rank, round(score, 4) as score from s join need using (qid) where have = need qualify rank <= 10""")
+@q(f"""with q as (select item_id as qid, {NORM.format('text')} as norm from benchmark), qt as (select qid, norm, list_distinct(string_split(norm, ' ')) as every from q where norm <> ''),
+d as (select doc_id as id, lang as kind, {NORM.format("split_part(text, chr(10), 1)")} as label, {NORM.format('text')} as body from documents),
+t as (select *, list_filter(string_split(coalesce(label, '') || ' ' || coalesce(body, ''), ' '), x -> x <> '') as toks from d), tot as (select count(*) as n, avg(len(toks)) as a from t),
+p as (select id, term, count(*) as tf from (select id, unnest(toks) as term from t) group by 1, 2), f as (select term, count(*) as df from p group by 1), w as (select qid, norm, every, unnest(list_filter(every, x -> x not in ('ст', 'п'))) as term from qt),
+s as (select qid, id, count(*) as have, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(toks) / a))), 6) as bm25 from w join p using (term) join f using (term) join t using (id), tot group by 1, 2),
+c as (select s.*, qt.norm, qt.every, t.label, t.body, t.kind from s join qt using (qid) join t using (id) where have = len(list_filter(every, x -> x not in ('ст', 'п'))) qualify row_number() over (partition by qid order by bm25 desc, id) <= 200)
+select qid, id, cast(row_number() over (partition by qid order by score desc, id) as int) as rank, score from (select qid, id, cast(len(every) * 10 + case when contains(label, norm) then 20 when contains(body, norm) then 10 else 0 end + case when kind in ('article', 'point') then 5 else 0 end as int) as score from c) qualify rank <= 10""")
 def k01_search(spark, d):
-    from evidentia.functions.text import norm_words
-
-    two = F.array_join(F.slice(F.split(norm_words("text"), " "), 1, 2), " ")
-    qs = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), two.alias("text"))
-    return S.search(S.build_postings(docs(spark, d), "doc_id", "text"), qs, 10)
+    qs = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    nodes = docs(spark, d).select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("label"), "text", F.col("lang").alias("kind"))
+    return S.search(nodes, qs, 10)
 
 
 @q(f"""with n as (select c_custkey as id, {NORM.format('c_name')} as name from customer) select a.id as a, b.id as b from n a join n b on a.id < b.id and (levenshtein(a.name, b.name) <= 1 or starts_with(a.name, b.name) or starts_with(b.name, a.name))""")
