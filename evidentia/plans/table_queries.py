@@ -472,10 +472,10 @@ def k02_postings(spark, d):
 
 @q(f"""with q as (select item_id as qid, {NORM.format('text')} as norm from benchmark), qt as (select qid, norm, list_distinct(string_split(norm, ' ')) as every from q where norm <> ''),
 d as (select doc_id as id, lang as kind, {NORM.format("split_part(text, chr(10), 1)")} as label, {NORM.format('text')} as body from documents),
-t as (select *, list_filter(string_split(coalesce(label, '') || ' ' || coalesce(body, ''), ' '), x -> x <> '') as toks from d), tot as (select count(*) as n, avg(len(toks)) as a from t),
-p as (select id, term, count(*) as tf from (select id, unnest(toks) as term from t) group by 1, 2), f as (select term, count(*) as df from p group by 1), w as (select qid, norm, every, unnest(list_filter(every, x -> x not in ('ст', 'п'))) as term from qt),
+t as (select *, list_filter(string_split(coalesce(label, '') || ' ' || coalesce(body, ''), ' '), lambda x: x <> '') as toks from d), tot as (select count(*) as n, avg(len(toks)) as a from t),
+p as (select id, term, count(*) as tf from (select id, unnest(toks) as term from t) group by 1, 2), f as (select term, count(*) as df from p group by 1), w as (select qid, norm, every, unnest(list_filter(every, lambda x: x not in ('ст', 'п'))) as term from qt),
 s as (select qid, id, count(*) as have, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(toks) / a))), 6) as bm25 from w join p using (term) join f using (term) join t using (id), tot group by 1, 2),
-c as (select s.*, qt.norm, qt.every, t.label, t.body, t.kind from s join qt using (qid) join t using (id) where have = len(list_filter(every, x -> x not in ('ст', 'п'))) qualify row_number() over (partition by qid order by bm25 desc, id) <= 200)
+c as (select s.*, qt.norm, qt.every, t.label, t.body, t.kind from s join qt using (qid) join t using (id) where have = len(list_filter(every, lambda x: x not in ('ст', 'п'))) qualify row_number() over (partition by qid order by bm25 desc, id) <= 200)
 select qid, id, cast(row_number() over (partition by qid order by score desc, id) as int) as rank, score from (select qid, id, cast(len(every) * 10 + case when contains(label, norm) then 20 when contains(body, norm) then 10 else 0 end + case when kind in ('article', 'point') then 5 else 0 end as int) as score from c) qualify rank <= 10""")
 def k01_search(spark, d):
     qs = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")

@@ -33,16 +33,21 @@ def strict_totals(lines: DataFrame, value: str) -> DataFrame:
 
 
 def parse_statement(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
-    """Operations of statement lines: a line that begins with a date opens one,
-    later lines are its continuation. doc, op, day, amount (decimal), text."""
+    """Operations of statement lines: doc, op, day, amount (decimal), text. A
+    line that begins with a date opens one; a date after an amount opens another
+    on the same line; other lines, such as of a phone number, continue the
+    operation above. Blank lines and page numbers are no part of any."""
     from pyspark.sql import Window
 
-    start = F.col(line).rlike(r"^\d{2}\.\d{2}\.\d{4}\b")
-    w = Window.partitionBy(doc).orderBy(pos)
-    rows = lines.filter(~F.col(line).rlike(r"^\s*$|^(?i)(page|страница)\b")).withColumn("op", F.sum(start.cast("int")).over(w)).filter("op > 0")
-    rows = rows.groupBy(doc, "op").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, line))), lambda x: x[line]), " ").alias("text"))
-    amount = F.regexp_extract(F.substring("text", 11, 2**31 - 12), r"([+-]?\d{1,3}(?:[  ]\d{3})*[.,]\d{2})", 1)
-    value = F.translate(F.regexp_replace(amount, r"[  ]", ""), ",", ".").try_cast("decimal(18,2)")
+    number = r"(?:\d{1,3}(?:[ \x{A0}\x{202F}]\d{3})+|\d+)[.,]\d{2}"
+    day = r"\d{2}\.\d{2}\.\d{4}\b"
+    text = F.regexp_replace(F.col(line), rf"({number}(?:[^\d\n]*?)) +(?={day})", "$1\n")
+    rows = lines.filter(~F.col(line).rlike(r"^\s*$|^(?i)(page|страница)\b")).select(doc, pos, F.posexplode(F.split(text, "\n")).alias("__k", "__line"))
+    order = Window.partitionBy(doc).orderBy(pos, "__k")
+    rows = rows.withColumn("op", F.sum(F.col("__line").rlike("^" + day).cast("int")).over(order)).filter("op > 0")
+    rows = rows.groupBy(doc, "op").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "__k", "__line"))), lambda x: x["__line"]), " ").alias("text"))
+    amount = F.regexp_extract(F.substring("text", 11, 2**31 - 12), rf"([+-]?{number})", 1)
+    value = F.translate(F.regexp_replace(amount, r"[ \x{A0}\x{202F}]", ""), ",", ".").try_cast("decimal(18,2)")
     return rows.select(doc, "op", F.try_to_date(F.left("text", F.lit(10)), "dd.MM.yyyy").alias("day"), value.alias("amount"), "text")
 
 
