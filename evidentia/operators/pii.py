@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.arrays import placed, scan
+from evidentia.functions import pii_patterns as R
+from evidentia.functions.arrays import bound, placed, scan
 
 #: Category -> pattern, in order of priority.
 CATEGORIES = {
@@ -33,23 +36,68 @@ def find_spans(text: Column, categories: dict[str, str] = CATEGORIES) -> Column:
     return F.concat(*[of(k, p) for k, p in categories.items()])
 
 
+#: A masked value, of either kind of mask.
+TOKEN = r"\{\{PII:[А-ЯЁA-Z]+:[0-9]+\}\}"
+
+
+def case_file_spans(text: Column) -> Column:
+    """All matches (s, e, cat) of the categories of case files, in order of
+    priority, without impersonal words for parties, parts of institutions'
+    names, amounts of money that look like a passport, and anything inside a
+    mask token. Texts without Cyrillic letters skip the patterns that need one."""
+    none = F.array().cast(SPANS)
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    parts = F.arrays_zip(F.split(text, TOKEN, -1).alias("g"), tokens.alias("m"))
+    plain = F.when(F.size(tokens) > 0, F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.repeat(F.lit(" "), F.length(x["m"])), F.lit("")))), "")).otherwise(text)
+
+    def of(t: Column, cyrillic: Column, cat: str, nth: int, pattern: str) -> Column:
+        grouped = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern)).groups > 0
+        pattern = "(?U)" + pattern  # \\w, \\b and \\s as of all alphabets
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        spans = placed(t, pattern, found)
+        if grouped:
+            values = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+            shift = lambda x: F.instr(x["m"]["t"], x["v"]) - 1
+            spans = F.transform(F.arrays_zip(spans.alias("m"), values.alias("v")), lambda x: F.struct(x["v"].alias("t"), (x["m"]["s"] + shift(x)).alias("s"), (x["m"]["s"] + shift(x) + F.length(x["v"])).alias("e")))
+        tail = lambda m, n: F.substring(t, m["e"] + 1, F.lit(n))
+        if cat == "ФИО":
+            spans = F.filter(spans, lambda m: ~F.lower(m["t"]).isin(*sorted(R.IMPERSONAL)) & ~tail(m, 60).rlike(R.INSTITUTION_TAIL))
+            if nth == 2:
+                spans = F.filter(spans, lambda m: ~F.lower(F.regexp_extract(m["t"], r"^\S+", 0)).isin(*sorted(R.COURT_WORDS)))
+        if cat == "ПАСПОРТ":
+            spans = F.filter(spans, lambda m: ~(m["t"].rlike("[ \\x{A0}\\x{202F}]") & tail(m, 16).rlike(R.MONEY_TAIL)))
+        if any("а" <= c <= "я" for c in pattern.split("[")[0]) or (cat == "ФИО" and nth < 6):
+            spans = F.when(cyrillic, spans)
+        return F.coalesce(F.transform(spans, lambda m: F.struct(m["s"].cast("int").alias("s"), m["e"].cast("int").alias("e"), F.lit(cat).alias("cat"))), none)
+
+    def every(t: Column) -> Column:
+        cyrillic = t.rlike("[А-Яа-яЁё]")
+        return F.concat(*[of(t, cyrillic, k, i, p) for k, patterns in R.CATEGORIES.items() for i, p in enumerate(patterns)])
+
+    return bound(F.coalesce(plain, F.lit("")), every)
+
+
 def resolve_spans(spans: Column) -> Column:
-    """By start, the longest first, each span that overlaps none kept before."""
-    ordered = F.transform(F.array_sort(F.transform(spans, lambda m: F.struct(m["s"], (-m["e"]).alias("x"), m["e"], m["cat"]))), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["cat"].alias("cat")))
+    """By start, the longest first, of equal ones the first found; each span
+    that overlaps none kept before."""
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda m, i: F.struct(m["s"], (-m["e"]).alias("x"), i, m["e"], m["cat"]))), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["cat"].alias("cat")))
     kept = scan(ordered, F.lit(0), lambda at, m: F.when(m["s"] >= at, m), lambda at, m: F.when(m["s"] >= at, m["e"]).otherwise(at), "struct<s:int,e:int,cat:string>")
     return F.when(F.size(spans) > 0, F.filter(kept, lambda m: m.isNotNull())).otherwise(F.array().cast(SPANS))
 
 
-def mask(df: DataFrame, text_col: str) -> DataFrame:
+def mask(df: DataFrame, text_col: str, find=find_spans, token_form: str = "[{}_{}]") -> DataFrame:
     """df with spans, masked and mapping (token -> original). Without a finding
-    masked is NULL, not the text: nothing was proved about it."""
+    masked is NULL, not the text: nothing was proved about it. find gives the
+    spans of a text, of the names of categories (find_spans or case_file_spans)."""
     text = F.col(text_col)
-    rows = df.withColumn("spans", resolve_spans(find_spans(text)))
+    names = R.CATEGORIES if find is case_file_spans else CATEGORIES
+    rows = df.withColumn("spans", resolve_spans(find(text)))
+    before, between, after = token_form.split("{}")
 
     def numbered(cat: str) -> Column:
-        return F.transform(F.filter("spans", lambda m: m["cat"] == cat), lambda m, i: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit(f"[{cat}_"), (i + 1).cast("string"), F.lit("]")).alias("token"), F.substring(text, m["s"] + 1, m["e"] - m["s"]).alias("original")))
+        return F.transform(F.filter("spans", lambda m: m["cat"] == cat), lambda m, i: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit(f"{before}{cat}{between}"), (i + 1).cast("string"), F.lit(after)).alias("token"), F.substring(text, m["s"] + 1, m["e"] - m["s"]).alias("original")))
 
-    rows = rows.withColumn("__t", F.array_sort(F.concat(*[numbered(c) for c in CATEGORIES])))
+    rows = rows.withColumn("__t", F.array_sort(F.concat(*[numbered(c) for c in names])))
     rows = rows.withColumn("__at", F.concat(F.array(F.lit(0)), F.transform("__t", lambda m: m["e"])))
     pieces = F.transform(F.arrays_zip("__at", "__t"), lambda z: F.concat(F.substring(text, z["__at"] + 1, F.coalesce(z["__t"]["s"], F.length(text)) - z["__at"]), F.coalesce(z["__t"]["token"], F.lit(""))))
     rows = rows.withColumn("masked", F.when(F.size("spans") > 0, F.array_join(pieces, "")))

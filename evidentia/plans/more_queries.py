@@ -37,10 +37,16 @@ def folder(spark) -> str:
 ANY = "|".join(f"(?:{p})" for p in P.CATEGORIES.values())
 
 
-@q(f"select doc_id, regexp_matches(text, '{ANY}') as has_pii, length(text) as n_chars from documents")
+def _starts(category: str, pattern: str) -> str:
+    """SQL: doc_id, cat, s, e of a pattern's matches; what stands between them,
+    and the matches, add up."""
+    return f"""select doc_id, '{category}' as cat, cast(s as int) as s, cast(s + length(m) as int) as e from (select doc_id, m, sum(length(g)) over w + coalesce(sum(length(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s
+from (select doc_id, unnest(regexp_split_to_array(text, '{pattern}')) as g, unnest(regexp_extract_all(text, '{pattern}')) as m, generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) as i from documents) window w as (partition by doc_id order by i)) where m is not null"""
+
+
+@q(f"""with f as ({" union all ".join(_starts(k, p) for k, p in P.CATEGORIES.items())}) select doc_id, cat, s, e from f""")
 def p02_pii_spans(spark, d):
-    found = P.resolve_spans(P.find_spans(F.col("text")))
-    return docs(spark, d).select("doc_id", (F.size(found) > 0).alias("has_pii"), F.length("text").cast("long").alias("n_chars"))
+    return docs(spark, d).select("doc_id", F.inline(P.resolve_spans(P.find_spans(F.col("text"))))).select("doc_id", "cat", "s", "e")
 
 
 @q(f"select doc_id, len(regexp_extract_all(text, '{P.CATEGORIES['EMAIL']}')) as emails, len(regexp_extract_all(text, '{P.CATEGORIES['PHONE']}')) as phones from documents")
@@ -59,17 +65,34 @@ def p05_unmask(spark, d):
     return rows.select("doc_id", P.unmask(F.col("masked"), F.col("mapping")).alias("back"), (F.col("masked") != F.col("text")).alias("changed"))
 
 
-@q()
+#: Texts with each category's matches replaced in turn, as matches of different categories stand apart.
+MASKED = "text"
+for _k, _p in P.CATEGORIES.items():
+    MASKED = f"regexp_replace({MASKED}, '{_p}', '[{_k}]', 'g')"
+
+
+@q(f"select doc_id, case when regexp_matches(text, '{ANY}') then {MASKED} end as masked, len(regexp_extract_all(text, '{ANY}')) as spans from documents")
 def p04_mask(spark, d):
-    return P.mask(docs(spark, d).select("doc_id", "text"), "text").select("doc_id", "masked", F.size("spans").alias("spans"))
+    """Numbers of tokens are taken out to compare; p05_unmask has them."""
+    rows = P.mask(docs(spark, d).select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.regexp_replace("masked", rf"\[({'|'.join(P.CATEGORIES)})_[0-9]+\]", r"[$1]").alias("masked"), F.size("spans").cast("long").alias("spans"))
 
 
-@q()
+@q(f"""with m as (select doc_id, case when regexp_matches(text, '{ANY}') then {MASKED} end as m from documents)
+select doc_id, m is not null and not ({" or ".join(f"regexp_matches(m, '{p}')" for p in (P.CATEGORIES | P.LOOSE).values())}) as released,
+       coalesce(concat_ws(',', {", ".join(f"case when regexp_matches(m, '{p}') then '{k}' end" for k, p in (P.CATEGORIES | P.LOOSE).items())}), '') as categories from m""")
 def p06_residual_gate(spark, d):
     rows = P.mask(docs(spark, d).select("doc_id", "text"), "text")
     return rows.select("doc_id", P.residual_gate(F.col("masked")).alias("g")).select("doc_id", "g.released", F.array_join("g.categories", ",").alias("categories"))
 
 
+@q()
+def p02_case_file_spans(spark, d):
+    """Spans of all categories of case files, one row each."""
+    spans = P.resolve_spans(P.case_file_spans(F.col("text")))
+    return docs(spark, d).select("doc_id", F.inline(spans)).select("doc_id", F.col("s").alias("start"), F.col("e").alias("end"), F.col("cat").alias("category"))
+
+
 @q()
 def p08_fold_confusables(spark, d):
     return docs(spark, d).select("doc_id", P.fold_confusables(F.col("text")).alias("folded"))
