@@ -71,7 +71,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("__s", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("__null", F.col(source_col).isNull())
     small = stage(rows.select("__s", "__null", "__order", "size"), "sizes")
     n, total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    digits = 1 + max(0, math.ceil(math.log(max(1, n) / bin_rows, 16)))
+    digits = max(2, math.ceil(math.log(max(1, n) / bin_rows, 16)))
     bin_ = F.substring("__order", 1, digits)
 
     bins = checkpoint(small.groupBy("__s", "__null", bin_.alias("__bin")).agg(F.sum("size").alias("__words")))
