@@ -16,9 +16,10 @@ def sticky_step(df: DataFrame, stream: str = "stream", order: str = "line", sign
 
 
 def dedup_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+    """The last row of each key, as an aggregate, so tasks keep one row a key."""
+    names = df.columns
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.col(order)).alias("__x"))
+    return last.select(*[F.col(f"__x.`{c}`").alias(c) for c in names])
 
 
 def usage_cuts(df: DataFrame, cuts: tuple[str, ...] = ("step", "stream", "model")) -> DataFrame:
@@ -36,8 +37,8 @@ def usage_cuts(df: DataFrame, cuts: tuple[str, ...] = ("step", "stream", "model"
 def price_usage(df: DataFrame, prices: DataFrame) -> DataFrame:
     """model, calls, cost: usage at the model's rates (per million); a model
     not listed is priced at the dearest and reported as unknown."""
-    top = prices.agg(F.max("price_in").alias("top_in"), F.max("price_out").alias("top_out"))
-    rows = df.join(F.broadcast(prices), "model", "left").crossJoin(F.broadcast(top))
+    top = prices.agg(F.max("price_in").alias("top_in"), F.max("price_out").alias("top_out"))  # one row
+    rows = df.join(prices, "model", "left").crossJoin(F.broadcast(top))
     cost = (F.col("tokens_in") * F.coalesce("price_in", "top_in") + F.col("tokens_out") * F.coalesce("price_out", "top_out")) / 1e6
     key = F.when(F.col("price_in").isNull(), "unknown").otherwise(F.col("model"))
     return rows.groupBy(key.alias("model")).agg(F.count(F.lit(1)).alias("calls"), F.sum(cost).alias("cost"))
@@ -92,16 +93,36 @@ def diagnose(totals: DataFrame, key: str, value: str, dominant: float = 0.35) ->
     return totals.select(key, share.alias("share")).withColumn("finding", F.when(F.col("share") > dominant, "dominant"))
 
 
-def repeat_no(df: DataFrame, sig: str, order: list[str]) -> DataFrame:
-    return df.withColumn("repeat", F.row_number().over(Window.partitionBy(sig).orderBy(*order)))
-
-
-def step_alerts(df: DataFrame, key: str, order: str, value: str, step: int) -> DataFrame:
-    """Rows where the running sum passes a multiple of step."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumn("running", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def _running(df: DataFrame, keys: list[str], order: list[str], value: Column, slices: Column | None) -> DataFrame:
+    """df with __run: the running sum of value in each key by order. slices, a
+    column that grows with the order (an hour, thousands of line numbers), deals
+    a key's rows: sums of slices come first, then sums inside each, so a key
+    with most of the rows is many tasks."""
+    rows = df.withColumn("__v", value)
+    if slices is None:
+        return rows.withColumn("__run", F.sum("__v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__v")
+    rows = rows.withColumn("__slice", slices)
+    sums = rows.groupBy(*keys, "__slice").agg(F.sum("__v").alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "__slice", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(sums, [*keys, "__slice"]).withColumn("__run", F.col("__before") + F.sum("__v").over(inside))
+    return rows.drop("__v", "__slice", "__before")
+
+
+def repeat_no(df: DataFrame, sig: str, order: list[str], slices: Column | None = None, warning: int = 3, critical: int = 10) -> DataFrame:
+    """df with repeat, the count of its signature so far in the order, and its
+    severity: info, warning from the third and critical from the tenth. slices:
+    see _running."""
+    rows = _running(df, [sig], order, F.lit(1), slices).withColumnRenamed("__run", "repeat")
+    return rows.withColumn("severity", F.when(F.col("repeat") >= critical, "critical").when(F.col("repeat") >= warning, "warning").otherwise("info"))
+
+
+def step_alerts(df: DataFrame, key: str, order: str, value: str, step: int, slices: Column | None = None) -> DataFrame:
+    """Rows where the running sum passes a multiple of step. slices: see _running."""
+    rows = _running(df, [key], [order], F.col(value), slices).withColumnRenamed("__run", "running")
     rows = rows.withColumn("level", F.floor(F.col("running") / step).cast("long"))
-    return rows.withColumn("before", F.coalesce(F.lag("level").over(w), F.lit(0))).filter("level > before").drop("before")
+    return rows.filter(F.col("level") > F.floor((F.col("running") - F.col(value)) / step))
 
 
 def coverage(declared: DataFrame, taken: DataFrame, key: str, cap: int, least: int) -> DataFrame:
@@ -149,15 +170,17 @@ def assignment_state(log: DataFrame, key: str, opened: Column, closed: Column, t
 
 def roots(edges: DataFrame, child: str, parent: str, depth: int = 20) -> DataFrame:
     """child, root: the top of each child's chain of parents, by doubling, so a
-    chain of 2 ** r takes r joins; chains longer than depth stop there. Nodes on
-    a cycle end at whatever node the doubling reaches."""
+    chain of 2 ** r takes r joins. root is NULL where no top is reached: on a
+    cycle, or on a chain longer than depth."""
     up = edges.select(F.col(child).alias("n"), F.col(parent).alias("r"))
     steps = 1
     while steps < depth:
         nxt = up.select(F.col("n").alias("m"), F.col("r").alias("r2"))
         up = up.join(nxt, up["r"] == nxt["m"], "left").select("n", F.coalesce("r2", "r").alias("r"))
         steps *= 2
-    return up.select(F.col("n").alias(child), F.col("r").alias("root"))
+    has_parent = edges.select(F.col(child).alias("m")).distinct().withColumn("below", F.lit(True))
+    up = up.join(has_parent, up["r"] == has_parent["m"], "left")
+    return up.select(F.col("n").alias(child), F.when(F.col("below").isNull(), F.col("r")).alias("root"))
 
 
 def fingerprint(df: DataFrame, parts: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Rates, calendars, tariffs and terms: as-of, interval and band joins.
 
-Rates, tiers and calendars are small dimensions (a row a day or a bracket), so
-range conditions are joined by broadcast; calendars are joined on equality.
+Facts meet rates on equality of the year first, and only then on the range;
+calendars and fees are joined on equality, and Spark picks the side to
+broadcast by size. Brackets of a tariff, a handful, travel in one array.
 """
 
 from __future__ import annotations
@@ -15,10 +16,17 @@ def rate_intervals(rates: DataFrame) -> DataFrame:
     return rates.select(F.col("dt").alias("since"), F.lead("dt").over(Window.orderBy("dt")).alias("until"), "rate")
 
 
+def _by_year(rates: DataFrame) -> DataFrame:
+    """rate_intervals with a row for each year (__y) that a rate is in force in;
+    the last one to the year 9999."""
+    last = F.coalesce(F.year(F.date_sub("until", 1)), F.lit(9999))
+    return rate_intervals(rates).withColumn("__y", F.explode(F.sequence(F.year("since"), F.greatest(last, F.year("since")))))
+
+
 def asof_rate(facts: DataFrame, date_col: str, rates: DataFrame) -> DataFrame:
     """facts with the rate in force; days before the first rate drop out."""
-    r = F.broadcast(rate_intervals(rates))
-    return facts.join(r, (F.col(date_col) >= r["since"]) & (r["until"].isNull() | (F.col(date_col) < r["until"]))).drop("since", "until")
+    rows = facts.join(_by_year(rates), F.year(date_col) == F.col("__y"))
+    return rows.filter((F.col(date_col) >= F.col("since")) & (F.col("until").isNull() | (F.col(date_col) < F.col("until")))).drop("since", "until", "__y")
 
 
 def fill_daily(rates: DataFrame, since: str, until: str) -> DataFrame:
@@ -39,11 +47,11 @@ def accrue(debts: DataFrame, rates: DataFrame, days_in_year: Column) -> DataFram
     """debts: id, amount (decimal), since, until (inclusive). One row for each
     overlap of a debt with a rate and a calendar year: from_d, to_d, days, rate,
     amount = debt * rate / 100 * days / days of that year."""
-    r = F.broadcast(rate_intervals(rates).withColumnsRenamed({"since": "r1", "until": "r2"}))
-    rows = debts.join(r, (F.col("until") >= F.col("r1")) & (F.col("r2").isNull() | (F.col("since") < F.col("r2"))))
-    rows = rows.withColumn("a", F.greatest("since", "r1")).withColumn("b", F.least("until", F.coalesce(F.date_sub("r2", 1), F.col("until"))))
-    rows = rows.withColumn("y", F.explode(F.sequence(F.year("a"), F.year("b"))))
-    rows = rows.withColumn("from_d", F.greatest("a", F.make_date("y", F.lit(1), F.lit(1)))).withColumn("to_d", F.least("b", F.make_date("y", F.lit(12), F.lit(31))))
+    r = _by_year(rates).withColumnsRenamed({"since": "r1", "until": "r2"})
+    years = debts.withColumn("y", F.explode(F.sequence(F.year("since"), F.year("until"))))
+    years = years.withColumn("a", F.greatest("since", F.make_date("y", F.lit(1), F.lit(1)))).withColumn("b", F.least("until", F.make_date("y", F.lit(12), F.lit(31))))
+    rows = years.join(r, F.col("y") == F.col("__y")).filter((F.col("b") >= F.col("r1")) & (F.col("r2").isNull() | (F.col("a") < F.col("r2"))))
+    rows = rows.withColumn("from_d", F.greatest("a", "r1")).withColumn("to_d", F.least("b", F.coalesce(F.date_sub("r2", 1), F.col("b"))))
     rows = rows.withColumn("days", F.datediff("to_d", "from_d") + 1)
     interest = F.col("amount").cast("double") * F.col("rate").cast("double") / 100 * F.col("days") / days_in_year
     return rows.select("id", "from_d", "to_d", "days", "rate", interest.alias("interest"))
@@ -55,17 +63,18 @@ def tiered_duty(claims: DataFrame, price_col: str, tiers: DataFrame) -> DataFram
     Prices that are not positive are rejected (null)."""
     money = {c: F.col(c).cast("decimal(18,2)") for c in ("upto", "base", "over", "cap")}
     tiers = tiers.withColumns(money | {"pct": F.col("pct").cast("decimal(9,6)")})
-    lower = F.lag("upto").over(Window.orderBy(F.col("upto").asc_nulls_last()))
-    t = F.broadcast(tiers.withColumn("lower", F.coalesce(lower, F.lit(0))))
+    row = F.struct(F.col("upto").isNull().alias("open"), "upto", "base", "pct", "over", "cap")
+    t = tiers.agg(F.array_sort(F.collect_list(row)).alias("__tiers"))  # one row
     price = F.col(price_col).cast("decimal(18,2)")
-    rows = claims.join(t, (price > t["lower"]) & (t["upto"].isNull() | (price <= t["upto"])), "left")
-    duty = F.least(F.col("base") + F.greatest(price - F.col("over"), F.lit(0)) * F.col("pct"), F.coalesce("cap", F.lit(10**15).cast("decimal(18,2)")))
-    return rows.withColumn("duty", F.when(F.col("base").isNotNull(), F.bround(duty, 2).cast("decimal(18,2)"))).drop("upto", "lower", "base", "pct", "over", "cap")
+    fits = F.filter("__tiers", lambda x: x["open"] | (price <= x["upto"]))
+    rows = claims.crossJoin(F.broadcast(t)).withColumn("__t", F.when(price > 0, F.get(fits, F.lit(0))))
+    duty = F.least(F.col("__t.base") + F.greatest(price - F.col("__t.over"), F.lit(0)) * F.col("__t.pct"), F.coalesce("__t.cap", F.lit(10**15).cast("decimal(18,2)")))
+    return rows.withColumn("duty", F.when(F.col("__t.base").isNotNull(), F.bround(duty, 2).cast("decimal(18,2)"))).drop("__t", "__tiers")
 
 
 def flat_duty(claims: DataFrame, fees: DataFrame, keys: list[str]) -> DataFrame:
     """claims with fee and status; `rate missing` where no fee is listed."""
-    rows = claims.join(F.broadcast(fees), keys, "left")
+    rows = claims.join(fees, keys, "left")
     return rows.withColumn("status", F.when(F.col("fee").isNull(), "rate missing").otherwise("ok"))
 
 
@@ -109,17 +118,17 @@ def numbered_calendar(calendar: DataFrame) -> DataFrame:
 
 def working_deadline(df: DataFrame, start: str, days: int, calendar: DataFrame) -> DataFrame:
     """df with deadline: the days-th working day after start."""
-    c = F.broadcast(numbered_calendar(calendar))
+    c = numbered_calendar(calendar)
     first = c.select(F.col("d").alias("__d"), F.col("wd_seq").alias("__s"))
     ends = c.filter("is_working").select(F.col("wd_seq").alias("__e"), F.col("d").alias("deadline"))
-    rows = df.join(F.broadcast(first), F.col(start) == F.col("__d"))
-    return rows.join(F.broadcast(ends), F.col("__s") + days == F.col("__e"), "left").drop("__d", "__s", "__e")
+    rows = df.join(first, F.col(start) == F.col("__d"))
+    return rows.join(ends, F.col("__s") + days == F.col("__e"), "left").drop("__d", "__s", "__e")
 
 
 def moved_deadline(df: DataFrame, raw_end: str, calendar: DataFrame) -> DataFrame:
     """df with deadline: raw_end, or the next working day."""
     c = numbered_calendar(calendar).select(F.col("d").alias("__d"), F.col("next_wd").alias("deadline"))
-    return df.join(F.broadcast(c), F.col(raw_end) == F.col("__d"), "left").drop("__d")
+    return df.join(c, F.col(raw_end) == F.col("__d"), "left").drop("__d")
 
 
 def parse_rates(df: DataFrame, xml_col: str) -> DataFrame:

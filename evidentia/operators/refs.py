@@ -13,7 +13,7 @@ def resolve_citations(queries: DataFrame, sections: DataFrame, aliases: DataFram
     num, repealed. qid, status: unknown_code, no_number, not_exported (a code
     without sections), missing, repealed or found. Numbers match as a whole."""
     parts = queries.select("qid", norm_words(F.regexp_extract("text", r"^(.*?)\s*[0-9.]*$", 1)).alias("alias"), F.nullif(F.regexp_extract("text", r"([0-9]+(?:\.[0-9]+)*)$", 1), F.lit("")).alias("num"))
-    rows = parts.join(F.broadcast(aliases.select(norm_words("alias").alias("alias"), "code")), "alias", "left")
+    rows = parts.join(aliases.select(norm_words("alias").alias("alias"), "code"), "alias", "left")
     codes = sections.select("code").distinct().withColumn("exported", F.lit(True))
     rows = rows.join(codes, "code", "left").join(sections.select("code", "num", "repealed").distinct(), ["code", "num"], "left")
     status = F.when(F.col("code").isNull(), "unknown_code").when(F.col("num").isNull(), "no_number").when(F.col("exported").isNull(), "not_exported").when(F.col("repealed").isNull(), "missing").when(F.col("repealed"), "repealed").otherwise("found")

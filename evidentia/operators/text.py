@@ -69,15 +69,22 @@ def number_tokens(df: DataFrame, id_col: str, text_col: str, min_digits: int = 2
     return rows.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def apply_rules(df: DataFrame, id_col: str, text_col: str, rules: DataFrame) -> DataFrame:
+def apply_rules(df: DataFrame, id_col: str, text_col: str, rules: DataFrame, most_rules: int = 10_000) -> DataFrame:
     """rules: rule_id, expect (present or absent), terms array. One finding for
     each text and rule that is broken: an expected term of none is there, or a
-    forbidden one is. rules are a small table that the caller writes."""
+    forbidden one is. rules are written by hand (most_rules at most, else an
+    error), so they travel as one array and each text is judged in one pass."""
+    if rules.limit(most_rules + 1).count() > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    one = rules.agg(F.collect_list(F.struct("rule_id", "expect", "terms")).alias("__rules"))
     low = F.lower(F.col(text_col))
-    pairs = df.select(id_col, low.alias("low")).join(F.broadcast(rules))
-    there = F.exists("terms", lambda t: F.contains(F.col("low"), F.lower(t)))
-    broken = pairs.filter(((F.col("expect") == "present") & ~there) | ((F.col("expect") == "absent") & there))
-    return broken.select(id_col, "rule_id", "expect", T.finding_id("rule_id", F.col(id_col).cast("string")).alias("finding_id"))
+
+    def broken(r: Column) -> Column:
+        there = F.exists(r["terms"], lambda t: F.contains(F.col("low"), F.lower(t)))
+        return ((r["expect"] == "present") & ~there) | ((r["expect"] == "absent") & there)
+
+    rows = df.select(id_col, low.alias("low")).crossJoin(F.broadcast(one)).select(id_col, F.inline(F.filter("__rules", broken)))  # one row
+    return rows.select(id_col, "rule_id", "expect", T.finding_id("rule_id", F.col(id_col).cast("string")).alias("finding_id"))
 
 
 def suppress(findings: DataFrame, suppressions: DataFrame, kept_kind: str) -> DataFrame:

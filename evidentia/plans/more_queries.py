@@ -185,7 +185,7 @@ def a07_role_warnings(spark, d):
 
     t = usage_events(table(spark, d, "events")).groupBy("model").agg(F.sum("tokens_in").alias("total"))
     limits = spark.createDataFrame([("click", 10), ("view", 100000000)], "model string, lim long")
-    rows = t.join(F.broadcast(limits), "model", "left")
+    rows = t.join(limits, "model", "left")
     return rows.select("model", F.when(F.col("model") == "signup", "unnamed").when(F.col("lim").isNull(), "no_limit").when(F.col("total") > F.col("lim"), "over").otherwise("ok").alias("warning"))
 
 

@@ -362,15 +362,16 @@ def a10_diagnose(spark, d):
     return L.diagnose(table(spark, d, "events").groupBy(F.col("event_type").alias("model")).agg(n_rows("v")), "model", "v")
 
 
-@q("select event_id, event_type, row_number() over (partition by event_type, props order by ts, event_id) as repeat from events")
+@q("with r as (select event_id, event_type, row_number() over (partition by event_type, props order by ts, event_id) as repeat from events) select *, case when repeat >= 10 then 'critical' when repeat >= 3 then 'warning' else 'info' end as severity from r")
 def w07_repeat_no(spark, d):
     e = table(spark, d, "events").withColumn("sig", F.concat_ws("|", "event_type", "props"))
-    return L.repeat_no(e, "sig", ["ts", "event_id"]).select("event_id", "event_type", F.col("repeat").cast("long").alias("repeat"))
+    rows = L.repeat_no(e, "sig", ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    return rows.select("event_id", "event_type", F.col("repeat").cast("long").alias("repeat"), "severity")
 
 
 @q(f"with {U}, r as (select model, line, cast(sum(tokens_in) over (partition by model order by line) as bigint) as running from u), l as (select *, running // 500 as level, coalesce(lag(running // 500) over (partition by model order by line), 0) as before from r) select model, line, running, level from l where level > before")
 def w08_step_alerts(spark, d):
-    return L.step_alerts(usage_events(table(spark, d, "events")), "model", "line", "tokens_in", 500).select("model", "line", "running", "level")
+    return L.step_alerts(usage_events(table(spark, d, "events")), "model", "line", "tokens_in", 500, F.floor(F.col("line") / 10_000)).select("model", "line", "running", "level")
 
 
 @q("""with de as (select c_nationkey as k, count(*) as declared from customer group by 1), ta as (select c_nationkey as k, count(distinct o_custkey) as taken from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' group by 1)
