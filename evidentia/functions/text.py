@@ -51,9 +51,9 @@ def mixed_script(col) -> Column:
 
 def garbled(col) -> Column:
     """Words of 4+ letters, and those without a vowel, with five consonants in
-    a row, a capital inside, or (Spark only rule) four equal letters."""
+    a row, a capital inside, or one letter four times in a row."""
     long = F.filter(words(col), lambda w: w.rlike(r"^[A-Za-z]{4,}$"))
-    odd = F.filter(long, lambda w: ~w.rlike("(?i)[aeiouy]") | w.rlike("(?i)" + CONSONANTS) | w.rlike("[a-z][A-Z]"))
+    odd = F.filter(long, lambda w: ~w.rlike("(?i)[aeiouy]") | w.rlike("(?i)" + CONSONANTS) | w.rlike("[a-z][A-Z]") | w.rlike(r"(?i)(.)\1{3}"))
     return F.struct(F.size(long).alias("assessed"), F.size(odd).alias("bad"))
 
 
@@ -62,13 +62,19 @@ def repeats(col) -> Column:
     return F.size(F.filter(words(col), lambda w: w.rlike(r"(\p{L})\1{3}")))
 
 
-def page_verdict(mixed: Column, odd: Column) -> Column:
-    """The first rule that a page breaks; each needs LEAST_BAD words and a share."""
+#: Cyrillic letters that aren't Russian.
+FOREIGN = r"[\x{0400}-\x{04FF}&&[^А-Яа-яЁё]]"
+
+
+def page_verdict(mixed: Column, odd: Column, foreign: Column) -> Column:
+    """The first rule that a page breaks: words of mixed alphabets, words that
+    are none, each LEAST_BAD and a share of those assessed, or LEAST_BAD letters
+    of a foreign alphabet (a count, say of FOREIGN)."""
 
     def over(x: Column, share: float) -> Column:
         return (x["bad"] >= LEAST_BAD) & (x["bad"] > x["assessed"] * share)
 
-    return F.when(over(odd, GARBLED_SHARE), "garbled").when(over(mixed, MIXED_SHARE), "mixed")
+    return F.when(over(mixed, MIXED_SHARE), "mixed").when(over(odd, GARBLED_SHARE), "garbled").when(foreign >= LEAST_BAD, "foreign")
 
 
 def alpha_share(col, inside: str = r"[A-Za-z]", least: int = 100) -> Column:

@@ -87,10 +87,24 @@ def can_start(rates: DataFrame, key: str, limit: float, spent: str, units: float
     return rates.select(key, (F.lit(limit) - F.col(spent) >= F.col("rate") * units).alias("can_start"))
 
 
-def diagnose(totals: DataFrame, key: str, value: str, dominant: float = 0.35) -> DataFrame:
-    """key, share, finding: a part's share of all, and whether it dominates."""
-    share = F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy()), F.lit(0))
-    return totals.select(key, share.alias("share")).withColumn("finding", F.when(F.col("share") > dominant, "dominant"))
+def diagnose(usage: DataFrame, key: str = "step", other: str = "0", main: str | None = None, cache_read: float = 90.0, output: float = 3.0, dominant: float = 35.0, unassigned: float = 5.0) -> DataFrame:
+    """rule, part, share (percent of all counters): where usage went. cache_read
+    and output: that counter's share is over its bound; dominant: the greatest
+    part of key but `main` and `other` is; unassigned: the part `other` is;
+    no_data: nothing was counted. No row means no finding."""
+    every = sum((F.coalesce(F.sum(c), F.lit(0)) for c in COUNTERS), F.lit(0))
+    parts = usage.groupBy(F.col(key).cast("string").alias("part")).agg(every.alias("v"), F.sum("cache_read").alias("cr"), F.sum("tokens_out").alias("out"))
+    named = F.col("part").isin(other, main) if main else F.col("part") == other
+    top = F.max(F.when(~named, F.struct("v", F.expr("part"))))
+    all_ = parts.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("all"), F.sum("cr").alias("cr"), F.sum("out").alias("out"), top.alias("top"), F.sum(F.when(F.col("part") == other, F.col("v"))).alias("other"))
+    share = lambda x: F.round(F.lit(100.0) * x / F.col("all"), 4)
+
+    def finding(rule: str, part: Column, x: Column, bound: float) -> Column:
+        return F.when((F.col("all") > 0) & (share(x) > bound), F.struct(F.lit(rule).alias("rule"), part.alias("part"), share(x).alias("share")))
+
+    none = F.when(F.col("all") == 0, F.struct(F.lit("no_data").alias("rule"), F.lit("").alias("part"), F.lit(0.0).alias("share")))
+    found = F.array(none, finding("cache_read", F.lit(""), F.col("cr"), cache_read), finding("output", F.lit(""), F.col("out"), output), finding("dominant", F.col("top.part"), F.col("top.v"), dominant), finding("unassigned", F.lit(other), F.col("other"), unassigned))
+    return all_.select(F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def _running(df: DataFrame, keys: list[str], order: list[str], value: Column, slices: Column | None) -> DataFrame:
@@ -132,6 +146,27 @@ def coverage(declared: DataFrame, taken: DataFrame, key: str, cap: int, least: i
     return rows.withColumn("cause", cause)
 
 
+def coverage_verdict(parts: DataFrame, ok_percent: float = 80.0) -> DataFrame:
+    """declared, taken, percent, verdict of a coverage: complete from ok_percent
+    on; under it capped where a part hit the source's cap, else incomplete."""
+    all_ = parts.agg(F.sum("declared").alias("declared"), F.sum("taken").alias("taken"), F.bool_or(F.col("cause") == "cap").alias("cap"))
+    percent = F.round(F.lit(100.0) * F.col("taken") / F.nullif("declared", F.lit(0)), 4)
+    return all_.select("declared", "taken", percent.alias("percent"), F.when(percent >= ok_percent, "complete").when(F.col("cap"), "capped").otherwise("incomplete").alias("verdict"))
+
+
+def page_states(files: DataFrame, pages: DataFrame, group: str, most_pages: int, least_chars: int = 10) -> DataFrame:
+    """files: group, total; pages: group, number, layer (has a text layer),
+    chars (recognised). Each of a file's pages is text, beyond (over most_pages
+    and without a layer), missing (no such row), empty (under least_chars) or
+    recognised. group, total, missing, beyond, empty, complete, needs_human."""
+    every = files.select(group, "total", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias("number"))
+    rows = every.join(pages.select(group, F.col("number").cast("int").alias("number"), "layer", "chars"), [group, "number"], "left")
+    state = F.when(F.col("layer"), "text").when(F.col("number") > most_pages, "beyond").when(F.col("chars").isNull(), "missing").when(F.col("chars") < least_chars, "empty").otherwise("recognised")
+    n = {s: F.count_if(state == s) for s in ("missing", "beyond", "empty")}
+    rows = rows.groupBy(group, "total").agg(*[c.alias(s) for s, c in n.items()])
+    return rows.select(group, "total", "missing", "beyond", "empty", ((F.col("missing") == 0) & (F.col("beyond") == 0)).alias("complete"), (F.col("empty") > 0).alias("needs_human"))
+
+
 def page_manifest(pages: DataFrame, group: str, number: str, state: Column) -> DataFrame:
     """group, total, missing numbers, empty numbers, complete."""
     rows = pages.groupBy(group).agg(F.max(number).alias("total"), F.array_sort(F.collect_set(number)).alias("have"), F.array_sort(F.collect_set(F.when(state, F.col(number)))).alias("empty"))

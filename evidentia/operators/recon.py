@@ -88,17 +88,28 @@ def uniqueness_violations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def paragraph_diff(before: DataFrame, after: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, status, n: paragraphs kept, removed and added, by hash and
-    occurrence, so repeated paragraphs pair one to one."""
+    """id, status, n: paragraphs kept, removed, added and rewritten. They are
+    paired by hash and occurrence, so repeated paragraphs pair one to one; what
+    is left between the same number of kept ones is rewritten, in turn, and the
+    rest removed or added."""
 
     def parts(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "p")).withColumn("h", F.md5("p"))
-        nth = F.row_number().over(Window.partitionBy(id_col, "h").orderBy("pos"))
-        return rows.select(id_col, "h", nth.alias("nth"), F.lit(True).alias(side))
+        rows = df.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias(side, "p")).withColumn("h", F.md5("p"))
+        nth = F.row_number().over(Window.partitionBy(id_col, "h").orderBy(side))
+        return rows.select(id_col, "h", nth.alias("nth"), side)
 
     rows = parts(before, "a").join(parts(after, "b"), [id_col, "h", "nth"], "full")
-    status = F.when(F.col("a") & F.col("b"), "kept").when(F.col("a"), "removed").otherwise("added")
-    return rows.groupBy(id_col, status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    kept = F.col("a").isNotNull() & F.col("b").isNotNull()
+
+    def left(side: str) -> DataFrame:
+        order = Window.partitionBy(id_col).orderBy(side)
+        own = rows.filter(F.col(side).isNotNull()).withColumn("gap", F.sum(kept.cast("int")).over(order)).filter(~kept)
+        return own.select(id_col, "gap", F.row_number().over(Window.partitionBy(id_col, "gap").orderBy(side)).alias("k"), F.lit(True).alias(side))
+
+    moved = left("a").join(left("b"), [id_col, "gap", "k"], "full")
+    status = F.when(F.col("a") & F.col("b"), "rewritten").when(F.col("a"), "removed").otherwise("added")
+    every = moved.select(id_col, status.alias("status")).unionByName(rows.filter(kept).select(id_col, F.lit("kept").alias("status")))
+    return every.groupBy(id_col, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def contained_in(a: DataFrame, b: DataFrame, id_col: str, text_col: str, least: int = 60, low: float = 0.7, high: float = 1.4) -> DataFrame:

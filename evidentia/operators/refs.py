@@ -88,3 +88,19 @@ def review_nodes(nodes: DataFrame, manifest: DataFrame, now: Column, days: int =
     rows = nodes.join(manifest.select("source", F.col("sha").alias("m"), "checked"), "source", "left")
     age = F.datediff(now, "checked")
     return rows.select("id", F.coalesce((F.col("m") != F.col("sha")) | (age > days) | (age < 0), F.lit(True)).alias("needs_review"))
+
+
+def find_blocks(df: DataFrame, id_col: str, json_col: str, kind: str = "tool_use", depth: int = 5) -> DataFrame:
+    """id, path, name, block (JSON): objects of a kind that have a name, anywhere
+    in a record down to depth levels. Records that aren't JSON have none."""
+    spark = df.sparkSession
+    level = df.select(id_col, F.try_parse_json(json_col).alias("v"), F.lit("$").alias("path"))
+    found = None
+    for i in range(depth + 1):
+        name = F.try_variant_get("v", "$.name", "string")
+        here = level.filter((F.try_variant_get("v", "$.type", "string") == kind) & name.isNotNull()).select(id_col, "path", name.alias("name"), F.to_json("v").alias("block"))
+        found = here if found is None else found.unionByName(here)
+        if i < depth:
+            inner = spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "inner")
+            level = level.lateralJoin(inner).select(id_col, F.col("inner").alias("v"), F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))).alias("path"))
+    return found

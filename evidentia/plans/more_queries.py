@@ -243,11 +243,16 @@ def f23_parse_court(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(n.rlike("^[a-z]+ "), F.regexp_extract(n, "^([a-z]+) ", 1)).otherwise(n).alias("court"), F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("category"))
 
 
-@q("""select event_id, k, case when k is null then 'none' else 'props' end as path from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events)""")
+@q("""select event_id, '$.message.content[' || i || ']' as path, event_type as name from events, (values (0), (2)) t(i) where i = 0 or event_id % 2 = 0
+union all select event_id, '$.last', 'end' from events where event_id % 5 = 0""")
 def f27_find_blocks(spark, d):
-    v = F.try_parse_json("props")
-    k = F.try_variant_get(v, "$.k", "bigint")
-    return table(spark, d, "events").select("event_id", k.alias("k"), F.when(k.isNull(), "none").otherwise("props").alias("path"))
+    """Calls nested in the content of a record, and one beside it."""
+    call = F.struct(F.lit("tool_use").alias("type"), F.col("event_type").alias("name"), F.struct("user_id").alias("input"))
+    other = F.struct(F.lit("text").alias("type"), F.lit("no call").alias("name"), F.struct("user_id").alias("input"))
+    content = F.array(call, other, F.when(F.col("event_id") % 2 == 0, call))
+    last = F.when(F.col("event_id") % 5 == 0, F.struct(F.lit("tool_use").alias("type"), F.lit("end").alias("name")))
+    rows = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.struct(content.alias("content")).alias("message"), last.alias("last"))).alias("line"))
+    return A.find_blocks(rows, "event_id", "line").select("event_id", "path", "name")
 
 
 @q("select page_id, case when url like '%.html' then 'static' when url like '%?%' then 'query' else 'plain' end as parser, case when url like '%.html' then length(html) else length(url) end as size from pages")

@@ -107,9 +107,10 @@ def j14_exclude_own(spark, d):
 
 
 @q("""with p as (select doc_id // 2 as pair, doc_id % 2 as side, unnest(string_split(text, chr(10))) as p, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-h as (select pair, side, md5(p) as h, row_number() over (partition by pair, side, md5(p) order by pos) as nth from p)
-select pair, case when a.h is not null and b.h is not null then 'kept' when a.h is not null then 'removed' else 'added' end as status, count(*) as n
-from (select * from h where side = 0) a full join (select * from h where side = 1) b using (pair, h, nth) group by 1, 2""")
+h as (select pair, side, pos, md5(p) as h, row_number() over (partition by pair, side, md5(p) order by pos) as nth from p),
+k as (select x.*, y.h is not null as kept from h x left join h y on x.pair = y.pair and x.h = y.h and x.nth = y.nth and x.side <> y.side), g as (select *, sum(cast(kept as int)) over (partition by pair, side order by pos) as gap from k),
+m as (select pair, side, gap, row_number() over (partition by pair, side, gap order by pos) as i from g where not kept)
+select pair, status, count(*) as n from (select pair, case when a.side is not null and b.side is not null then 'rewritten' when a.side is not null then 'removed' else 'added' end as status from (select * from m where side = 0) a full join (select * from m where side = 1) b using (pair, gap, i) union all select pair, 'kept' from k where kept and side = 0) group by 1, 2""")
 def j20_paragraph_diff(spark, d):
     x = docs(spark, d).select((F.col("doc_id") / 2).cast("long").alias("pair"), "doc_id", "text")
     return K.paragraph_diff(x.filter("doc_id % 2 = 0"), x.filter("doc_id % 2 = 1"), "pair", "text")
@@ -357,9 +358,14 @@ def a08_blended_rate(spark, d):
     return L.blended_rate(o, "o_custkey", "o_orderkey", "amount", "one")
 
 
-@q("""with t as (select event_type as model, count(*) as v from events group by 1) select model, v / sum(v) over () as share, case when v / sum(v) over () > 0.35 then 'dominant' end as finding from t""")
+ALL = "+".join(L.COUNTERS)
+
+
+@q(f"""with {U}, p as (select cast(step as varchar) as part, cast(sum({ALL}) as double) as v, cast(sum(cache_read) as double) as cr, cast(sum(tokens_out) as double) as o from st group by 1), t as (select sum(v) as a, sum(cr) as cr, sum(o) as o, sum(v) filter (part = '0') as z from p), d as (select part, v from p where part <> '0' order by v desc, part desc limit 1)
+select 'cache_read' as rule, '' as part, round(100::double * cr / a, 4) as share from t where 100 * cr / a > 40 union all select 'output', '', round(100::double * o / a, 4) from t where 100 * o / a > 3
+union all select 'dominant', part, round(100::double * v / a, 4) from d, t where 100 * v / a > 35 union all select 'unassigned', '0', round(100::double * z / a, 4) from t where 100 * z / a > 5""")
 def a10_diagnose(spark, d):
-    return L.diagnose(table(spark, d, "events").groupBy(F.col("event_type").alias("model")).agg(n_rows("v")), "model", "v")
+    return L.diagnose(usage(spark, d), cache_read=40.0)
 
 
 @q("with r as (select event_id, event_type, row_number() over (partition by event_type, props order by ts, event_id) as repeat from events) select *, case when repeat >= 10 then 'critical' when repeat >= 3 then 'warning' else 'info' end as severity from r")
@@ -382,6 +388,22 @@ def a13_coverage(spark, d):
     return L.coverage(c.groupBy("nation").agg(n_rows("declared")), taken, "nation", 20, 10)
 
 
+@q("""with de as (select c_nationkey as k, count(*) as declared from customer group by 1), ta as (select c_nationkey as k, count(distinct o_custkey) as taken from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' group by 1),
+p as (select declared, coalesce(taken, 0) as taken from de left join ta using (k)), t as (select cast(sum(declared) as bigint) as declared, cast(sum(taken) as bigint) as taken, bool_or(taken >= 20) as cap from p)
+select declared, taken, round(100::double * taken / declared, 4) as percent, case when 100::double * taken / declared >= 80 then 'complete' when cap then 'capped' else 'incomplete' end as verdict from t""")
+def a13_coverage_verdict(spark, d):
+    return L.coverage_verdict(a13_coverage(spark, d))
+
+
+@q("""with f as (select o_orderkey, o_orderkey % 3 + max(l_linenumber) as total from orders join lineitem on l_orderkey = o_orderkey group by 1), e as (select o_orderkey, total, unnest(generate_series(1, total)) as n from f),
+s as (select e.*, case when l_returnflag = 'N' then 'text' when n > 6 then 'beyond' when l_orderkey is null then 'missing' when l_quantity < 10 then 'empty' else 'recognised' end as st from e left join lineitem on l_orderkey = o_orderkey and l_linenumber = n)
+select o_orderkey, total, count(*) filter (st = 'missing') as missing, count(*) filter (st = 'beyond') as beyond, count(*) filter (st = 'empty') as empty, count(*) filter (st in ('missing', 'beyond')) = 0 as complete, count(*) filter (st = 'empty') > 0 as needs_human from s group by 1, 2""")
+def a14_page_states(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("number"), (F.col("l_returnflag") == "N").alias("layer"), F.col("l_quantity").alias("chars"))
+    f = x.groupBy("o_orderkey").agg(F.max("number").alias("m")).select("o_orderkey", (F.col("o_orderkey") % 3 + F.col("m")).cast("long").alias("total"))
+    return L.page_states(f, x, "o_orderkey", 6)
+
+
 @q("""select l_orderkey, max(l_linenumber) as total, cast(max(l_linenumber) - count(distinct l_linenumber) as int) as missing, cast(count(distinct l_linenumber) filter (l_returnflag = 'R') as int) as empty, max(l_linenumber) = count(distinct l_linenumber) and count(*) filter (l_returnflag = 'R') = 0 as complete from lineitem group by 1""")
 def a14_page_manifest(spark, d):
     return L.page_manifest(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R")

@@ -95,7 +95,7 @@ def p12_mixed_script(spark, d):
     return docs(spark, d).select("doc_id", T.mixed_script("text").alias("m")).select("doc_id", "m.*")
 
 
-GARBLED_SQL = f"""select doc_id, cast(len(w) as int) as assessed, cast(len(list_filter(w, lambda x: not regexp_matches(x, '(?i)[aeiouy]') or regexp_matches(x, '(?i){T.CONSONANTS}') or regexp_matches(x, '[a-z][A-Z]'))) as int) as bad
+GARBLED_SQL = f"""select doc_id, cast(len(w) as int) as assessed, cast(len(list_filter(w, lambda x: not regexp_matches(x, '(?i)[aeiouy]') or regexp_matches(x, '(?i){T.CONSONANTS}') or regexp_matches(x, '[a-z][A-Z]') or regexp_matches(x, '(?i){"|".join(f"{c}{{4}}" for c in "abcdefghijklmnopqrstuvwxyz")}'))) as int) as bad
 from (select doc_id, list_filter({WORDS}, lambda w: regexp_matches(w, '^[A-Za-z]{{4,}}$')) as w from documents)"""
 
 
@@ -115,10 +115,10 @@ def p14_foreign_letters(spark, d):
     return counts.withColumn("rn", F.row_number().over(w)).filter("rn <= 6").drop("rn")
 
 
-@q(f"""select doc_id, case when bad >= {T.LEAST_BAD} and bad > assessed * {T.GARBLED_SHARE} then 'garbled' end as verdict from ({GARBLED_SQL})""")
+@q(f"""select doc_id, case when bad >= {T.LEAST_BAD} and bad > assessed * {T.GARBLED_SHARE} then 'garbled' when len(regexp_extract_all(text, '[ñçß]')) >= {T.LEAST_BAD} then 'foreign' end as verdict from ({GARBLED_SQL}) join documents using (doc_id)""")
 def p15_page_verdict(spark, d):
-    rows = docs(spark, d).select("doc_id", T.mixed_script("text").alias("m"), T.garbled("text").alias("g"))
-    return rows.select("doc_id", T.page_verdict(F.col("m"), F.col("g")).alias("verdict"))
+    rows = docs(spark, d).select("doc_id", T.mixed_script("text").alias("m"), T.garbled("text").alias("g"), F.regexp_count("text", F.lit("[ñçß]")).alias("f"))
+    return rows.select("doc_id", T.page_verdict(F.col("m"), F.col("g"), F.col("f")).alias("verdict"))
 
 
 LETTERS = "regexp_replace(text, '[^\\p{L}]', '', 'g')"
