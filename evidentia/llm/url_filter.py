@@ -12,6 +12,10 @@ from evidentia.llm.common import checkpoint, stage
 
 #: Fixed values: (verdict, rule). A rule is host/path-prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Rounds of a walk between two cuts of the lineage.
+CUT = 6
+#: Rows of the host graph for each partition of a walk.
+PART_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -66,27 +70,29 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
     edges would go out from the seeds again in the same proportions, so dividing
     by the sum in the end gives the same."""
     total = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    steps = checkpoint(edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")))
-    sums = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))
-    new = checkpoint(seeds.join(F.broadcast(sums), "kind").groupBy("kind", "host").agg(F.sum(F.col("mass") / F.col("all")).alias("mass")))  # a row for each kind
-    mass, rounds = new, 0
+    steps = edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total") * damping).alias("share"))
+    sums = seeds.groupBy("kind").agg(F.sum("mass").alias("all"))  # a row for each kind
+    first = seeds.join(F.broadcast(sums), "kind").groupBy("kind", "host").agg(F.sum(F.col("mass") / F.col("all")).alias("mass"))
+    state = checkpoint(first.select("kind", "host", F.col("mass").alias("new"), "mass"))
+    # Each host has a step to itself, without a share, that carries its mass on.
+    own = state.select("kind", "host").union(edges.select("kind", "src")).union(edges.select("kind", "dst")).distinct()
+    steps = checkpoint(steps.union(own.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))))
+    parts = 1 + steps.count() // PART_ROWS  # a small graph in many partitions would be little but files
+    steps, rounds = steps.coalesce(parts), 0
     while True:
-        left = new.groupBy("kind").agg(F.sum("mass").alias("m")).agg(F.max("m")).first()[0] or 0.0
+        left = state.groupBy("kind").agg(F.sum("new").alias("m")).agg(F.max("m")).first()[0] or 0.0
         if left / (1 - damping) <= tolerance:
             break
         if rounds >= most_rounds:
             raise RuntimeError(f"the walks did not settle in {most_rounds} rounds")
-        moves = []
-        for _ in range(4):  # between two cuts of the lineage
-            moved = new.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-            new = checkpoint(moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
-            moves.append(new)
+        for _ in range(CUT):
+            moved = F.col("new") * F.col("share")
+            state = state.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.coalesce(moved, F.lit(0.0)).alias("new"), F.coalesce(moved, "mass").alias("mass"))
+            state = state.groupBy("kind", "host").agg(F.sum("new").alias("new"), F.sum("mass").alias("mass")).coalesce(parts)
             rounds += 1
-        for m in moves:
-            mass = mass.unionByName(m)
-        mass = checkpoint(mass.groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
-    sums = mass.groupBy("kind").agg(F.sum("mass").alias("all"))
-    return mass.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass"))
+        state = checkpoint(state)
+    sums = state.groupBy("kind").agg(F.sum("mass").alias("all"))
+    return state.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("mass") / F.col("all")).alias("mass"))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = 0.85, tolerance: float = 1e-3, ratio: float = 1.0, default: str = "allow") -> DataFrame:
