@@ -294,6 +294,15 @@ def r04_channel_state(spark, d):
     return V.streamed(spark, f"{d}/events.parquet", lambda e: V.channel_state(e, now), folder(spark), "complete")
 
 
+@q("""with e as (select user_id, event_id, ts, event_type, case event_type when 'error' then interval 3600 second else interval 900 second end as ttl from events where event_type in ('error', 'view')),
+m as (select *, lag(event_type) over w as pt, lag(ts + ttl) over w as pu, lead(ts) over w as nx from e window w as (partition by user_id order by ts, event_id)), wm as (select max(ts) - interval 1 day as w from e)
+select user_id, cast(epoch_us(ts) as bigint) as at_us, case event_type when 'error' then 'dead' else 'alive' end as state from m where pt is null or pt <> event_type or ts > pu
+union all select user_id, epoch_us(pu), 'unknown' from m where ts > pu union all select user_id, epoch_us(ts + ttl), 'unknown' from m, wm where nx is null and ts + ttl < w""")
+def r04_channel_changes(spark, d):
+    out = V.streamed(spark, f"{d}/events.parquet", V.channel_changes, folder(spark))
+    return out.select("user_id", F.unix_micros("at").alias("at_us"), "state")
+
+
 @q()
 def r05_silence(spark, d):
     return V.streamed(spark, f"{d}/events.parquet", V.silence, folder(spark))

@@ -71,6 +71,41 @@ def channel_state(events: DataFrame, now, dead_s: int = 3600, alive_s: int = 900
     return marks.select("user_id", F.when(age > F.when(dead, dead_s).otherwise(alive_s), "unknown").when(dead, "dead").otherwise("alive").alias("state"))
 
 
+CHANNEL = "user_id long, at timestamp, state string"
+
+
+def channel_changes(events: DataFrame, dead_s: int = 3600, alive_s: int = 900, late: str = "1 day") -> DataFrame:
+    """user_id, at, state: changes of a keyed state that expires. An error makes
+    dead for dead_s, a view alive for alive_s; a mark of the same kind in that
+    time lengthens it, one of the other kind changes it, and after it the state
+    is unknown, by an event-time timer, and forgotten."""
+    life = {"error": ("dead", dead_s), "view": ("alive", alive_s)}
+
+    def step(key, parts, state: GroupState):
+        out = []
+        if state.hasTimedOut:
+            kind, at = state.get
+            out.append((key[0], pd.Timestamp(at) + pd.Timedelta(seconds=life[kind][1]), "unknown"))
+            state.remove()
+        else:
+            kind, at = state.get if state.exists else (None, None)
+            rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+            for ts, new in zip(rows["ts"], rows["event_type"], strict=True):
+                if kind and ts > (until := pd.Timestamp(at) + pd.Timedelta(seconds=life[kind][1])):
+                    out.append((key[0], until, "unknown"))
+                    kind = None
+                if new != kind:
+                    out.append((key[0], ts, life[new][0]))
+                kind, at = new, ts
+            state.update((kind, pd.Timestamp(at).to_pydatetime()))
+            due = int(pd.Timestamp(at).timestamp() * 1000) + life[kind][1] * 1000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "at", "state"])
+
+    rows = events.withWatermark("ts", late).filter("event_type in ('error', 'view')").select("user_id", "event_id", "ts", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(step, CHANNEL, "kind string, at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 SILENCE = "user_id long, opened timestamp, state string"
 
 
