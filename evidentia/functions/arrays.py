@@ -62,3 +62,11 @@ def placed(text: Column, pattern: str, found: Column) -> Column:
     Null without a match."""
     spans = F.transform(F.arrays_zip(found.alias("m"), match_starts(text, pattern, found).alias("s")), lambda z: F.struct(z["m"].alias("t"), z["s"].alias("s"), (z["s"] + F.length(z["m"])).alias("e")))
     return F.when(F.size(found) > 0, spans)
+
+
+def replace_matches(text: Column, pattern: str, new) -> Column:
+    """text with each match m of pattern replaced by new(m)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("m"))
+    whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(new(x["m"]), F.lit("")))), "")
+    return F.when(F.size(found) > 0, whole).otherwise(text)

@@ -17,6 +17,62 @@ def accounts_unkeyed(ids: DataFrame, doc: str = "doc_id") -> DataFrame:
     return judged.filter("not keyed").select(doc, "account")
 
 
+#: Kind -> pattern (group 1) and test of its value.
+KINDS = {
+    "inn": (r"(?:^|[^0-9])([0-9]{10}|[0-9]{12})(?![0-9])", C.inn_valid),
+    "ogrn": (r"(?:^|[^0-9])([0-9]{13}|[0-9]{15})(?![0-9])", C.ogrn_valid),
+    "snils": (r"(?:^|[^0-9])([0-9]{3}-[0-9]{3}-[0-9]{3} [0-9]{2})(?![0-9])", C.snils_valid),
+    "bik": (r"(?:^|[^0-9])(04[0-9]{7})(?![0-9])", C.bik_valid),
+    "kpp": (r"(?iuU)КПП\D{0,3}([0-9]{4}[0-9A-Z]{2}[0-9]{3})(?![0-9])", C.kpp_valid),
+    "card": (r"(?:^|[^0-9])([0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})(?![0-9])", lambda v: C.luhn_valid(F.regexp_replace(v, "[ -]", ""))),
+    "isin": (r"(?:^|[^0-9A-Za-z])([A-Z]{2}[A-Z0-9]{9}[0-9])(?![0-9A-Za-z])", C.isin_valid),
+    "cadastre": (r"(?:^|[^0-9:])([0-9]{2}:[0-9]{2}:[0-9]{6,7}:[0-9]+)(?![0-9:])", lambda v: C.cadastre_check(v).isNull()),
+}
+
+
+def judged_ids(df: DataFrame, keep: list[str], text_col: str, kinds=KINDS) -> DataFrame:
+    """keep, kind, value, valid: each identifier of every text with the result
+    of its own test, repeated ones as often as they stand there."""
+    found = [F.transform(F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(1)), _judged(k, test)) for k, (p, test) in kinds.items()]
+    return df.select(*keep, F.inline(F.concat(*found)))
+
+
+def _judged(kind: str, test):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), test(v).alias("valid"))
+
+
+def id_rates(judged: DataFrame, source: str) -> DataFrame:
+    """source, kind, n, valid_n of judged_ids, per source and kind."""
+    return judged.groupBy(source, "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("valid_n"))
+
+
+#: A list of attachments in a text, and its ranges (fixed values).
+MENTION = r"(?iu)приложени[ияюе]\s*№?\s*([0-9\s,;—–-]{1,40})"
+RANGE = r"([0-9]{1,2})\s*[-—–]\s*([0-9]{1,2})"
+
+
+def mentioned_numbers(text: Column) -> Column:
+    """Sorted numbers of the attachments that a text names, single, in lists and
+    in ranges of under 50."""
+    parts = F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
+
+    def of(part: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(part, F.lit(RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(part, F.lit(RANGE), F.lit(2)).alias("b"))
+        spans = F.flatten(F.transform(pairs, lambda p: F.when((p["a"].cast("int") <= p["b"].cast("int")) & (p["b"].cast("int") - p["a"].cast("int") < 50), F.sequence(p["a"].cast("int"), p["b"].cast("int"))).otherwise(F.array().cast("array<int>"))))
+        single = F.transform(F.regexp_extract_all(F.regexp_replace(part, RANGE, " "), F.lit("([0-9]{1,2})"), F.lit(1)), lambda x: x.cast("int"))
+        return F.concat(spans, single)
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, of))))
+
+
+def numbering_check(df: DataFrame, id_col: str, declared: str, text_col: str) -> DataFrame:
+    """id, gaps, unmentioned: numbers of 1..n that aren't declared (an array of
+    int), and declared ones that the text doesn't name."""
+    numbers = F.col(declared)
+    gaps = F.array_except(F.sequence(F.lit(1), F.array_max(numbers)), numbers)
+    return df.select(id_col, F.array_sort(gaps).alias("gaps"), F.array_sort(F.array_except(numbers, mentioned_numbers(F.col(text_col)))).alias("unmentioned"))
+
+
 def report_ids(df: DataFrame, id_col: str, text_col: str, label: str, number: str, valid) -> DataFrame:
     """id, value: invalid numbers that carry their label somewhere in the text;
     bare invalid numbers are no findings."""

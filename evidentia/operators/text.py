@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.functions.arrays import replace_matches
 
 #: Patterns of typed values: kind -> expression; group 1 is the value where there is one.
 TYPED = {
@@ -227,6 +228,34 @@ INJECTION = {
     "leak": r"(?i)(reveal|print|show) (your|the) (system )?(prompt|instructions)",
     "insult": r"(?i)\b(idiot|moron|worthless|scum)\b",
 }
+#: The same in Russian, and a role called to and told what to do (fixed values).
+ROLES = "ассистент|нейросеть|модель|бот|клод|assistant|system|model"
+COMMANDS = "выполни|игнорируй|забудь|перепиши|раскрой|отправь|удали|составь|выдай|покажи|сделай|напиши|измени|скачай|delete|remove|send|ignore|forget|reveal|write|run|execute"
+INJECTION_RU = {
+    "override": r"(?iuU)\b(?:игнорируй(?:те)?|забудь(?:те)?|отмени(?:те)?|не\s+учитывай(?:те)?)[\s,—-]+(?:[а-яё]+\s+){0,3}(?:инструкц|указан|правил|сообщени|протокол|предписан|ограничен)\w*",
+    "role": r"(?iuU)\bс\s+этого\s+момента\s+ты\b|\bтвоя\s+новая\s+роль\b",
+    "vocative": rf"(?iumU)(?:^|[.!?:;,]\s*)(?:уважаем(?:ый|ая)\s+)?(?:{ROLES})\b\s*[,!:—-]+\s*(?:пожалуйста[,\s]+)?(?:{COMMANDS})\b",
+    "command": rf"(?ius)(?:^|[.!?:;]\s*)(?:{COMMANDS})(?![\p{{L}}]).{{0,120}}?[,!:—-]+\s*(?:{ROLES})(?![\p{{L}}])",
+    "header": r"(?imu)^\s*(?:system\s*(?:prompt\s*)?:|новые\s+инструкции\s*[:—-]|important\s+for\s+ai\s*:)",
+}
+
+
+def unfold(text: Column) -> Column:
+    """A text as a reader takes it, for pattern_flags: mojibake of UTF-8 read as
+    Latin-1 mended where that gives more Cyrillic letters, texts of alt and title
+    attributes kept and tags dropped, invisible characters dropped, words that
+    are broken over lines joined, marks of lists and headings dropped, and
+    words spelt with dots or spaces (three letters and more) joined."""
+    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
+    torn = text.rlike("[ÐÑÂ]") & ~text.rlike(r"[^\x{00}-\x{FF}]") & (F.regexp_count(again, F.lit("[А-Яа-яЁё]")) > F.regexp_count(text, F.lit("[А-Яа-яЁё]")))
+    t = F.when(torn, again).otherwise(text)
+    t = F.regexp_replace(t, r"""(?is)\b(?:alt|title|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)')""", "> $1$2 <")
+    t = F.regexp_replace(F.regexp_replace(t, "<!--|-->", " "), r"<[^>]+>", " ")
+    t = F.regexp_replace(t, r"[\p{Cf}]", "")
+    t = F.regexp_replace(t, r"(\p{L})[-‐‑‒–—]\s*\n\s*(\p{L})", "$1$2")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*(?:[-*+>]+[ \t]+|#{1,6}[ \t]+)+", "")
+    t = replace_matches(t, r"(?<!\p{L})(?:\p{L}\.){3,}", lambda m: F.replace(m, F.lit("."), F.lit("")))
+    return replace_matches(t, r"(?<!\p{L})(?:\p{L}\s+){3,}\p{L}(?!\p{L})", lambda m: F.regexp_replace(m, r"\s+", ""))
 
 
 def pattern_flags(text: Column, patterns: Mapping[str, str]) -> Column:

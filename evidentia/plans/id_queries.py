@@ -231,3 +231,35 @@ def x01_load_rules(spark, d):
     rule = F.struct(F.concat(F.lit("r"), key % 1000).alias("rule_id"), F.when(key % 7 == 0, "maybe").otherwise("absent").alias("expect"), F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("terms"))
     lines = table(spark, d, "part").select(F.when(key % 11 == 0, "{torn").otherwise(F.to_json(rule)).alias("value"))
     return I.load_rules(lines).groupBy("rule_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ validation
+def _numbered(spark, d):
+    text = F.concat(F.lit("INN "), number("o_custkey * 7919", 10), F.lit(", OGRN "), number("o_orderkey * 104729", 13), F.lit("; card "), number("o_orderkey * 7919", 16), F.lit("."))
+    return I.judged_ids(orders(spark, d, F.col("o_orderstatus").alias("source"), text.alias("t")), ["o_orderkey", "source"], "t")
+
+
+JUDGED = f"""with v as (select o_orderkey, o_orderstatus as source, lpad(cast(o_custkey * 7919 as varchar), 10, '0') as i, lpad(cast(o_orderkey * 104729 as varchar), 13, '0') as o, lpad(cast(o_orderkey * 7919 as varchar), 16, '0') as c from orders),
+j as (select o_orderkey, source, 'inn' as kind, i as value, cast(i[10] as int) = {weighted('i', C.INN10)} % 11 % 10 as valid from v union all select o_orderkey, source, 'ogrn', o, cast(left(o, 12) as bigint) % 11 % 10 = cast(right(o, 1) as int) from v union all select o_orderkey, source, 'card', c, {luhn('c', 16)} % 10 = 0 from v)"""
+
+
+@q(f"{JUDGED} select o_orderkey, source, kind, value from j where not valid")
+def id_findings(spark, d):
+    return _numbered(spark, d).filter("not valid").select("o_orderkey", "source", "kind", "value")
+
+
+@q(f"{JUDGED} select source, kind, count(*) as n, count(*) filter (valid) as valid_n from j group by 1, 2")
+def id_rates(spark, d):
+    return I.id_rates(_numbered(spark, d), "source")
+
+
+@q("""with k as (select l_orderkey, max(l_linenumber) as n, list_sort(list(cast(l_linenumber as int)) filter (l_linenumber <> 2)) as d from lineitem group by 1)
+select l_orderkey, array_to_string(list_filter(range(1, list_max(d) + 1), lambda x: not list_contains(d, x)), ',') as gaps, array_to_string(list_filter(d, lambda x: x <> 1 and not (x >= 3 and x <= n - 1 and n >= 4) and x <> 5), ',') as unmentioned from k where len(d) > 0""")
+def w10_attachments(spark, d):
+    """Numbers declared without 2; the text names 1, the range from 3 to the last but one, and 5."""
+    n = F.max("l_linenumber")
+    k = table(spark, d, "lineitem").groupBy("l_orderkey").agg(n.alias("n"), F.array_sort(F.collect_list(F.when(F.col("l_linenumber") != 2, F.col("l_linenumber").cast("int")))).alias("d")).filter("size(d) > 0")
+    text = F.concat(F.lit("см. приложение № 1; Приложения 3 — "), (F.col("n") - 1).cast("string"), F.lit(", 5 к договору"))
+    found = I.numbering_check(k.select("l_orderkey", "d", text.alias("t")), "l_orderkey", "d", "t")
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select("l_orderkey", join("gaps").alias("gaps"), join("unmentioned").alias("unmentioned"))
