@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.functions.arrays import running_sums
+
 #: Route -> extensions.
 ROUTES = {"office": ("docx", "xlsx", "pptx", "doc", "rtf", "odt"), "image": ("png", "jpg", "jpeg", "tif", "tiff"), "audio": ("mp3", "wav", "ogg", "m4a"), "video": ("mp4", "mov", "avi"), "pdf": ("pdf",)}
 
@@ -51,6 +53,28 @@ def parse_statement(lines: DataFrame, doc: str, pos: str, line: str) -> DataFram
     return rows.select(doc, "op", F.try_to_date(F.left("text", F.lit(10)), "dd.MM.yyyy").alias("day"), value.alias("amount"), "text")
 
 
+def tail_files(spark: SparkSession, path: str, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Whole lines that were added to growing files below a folder since the
+    state (path, offset), and the next state: path, offset, size, restarted,
+    waiting. Lines: path, at (its byte in the file), line.
+
+    A file that is shorter than its offset is read from its start again
+    (restarted). What follows the last line feed waits for the next call. The
+    state is the coverage as well: offset of size bytes are read. Files are
+    columns of tasks, so one that grows by more than a task holds should be
+    tailed more often."""
+    known = spark.createDataFrame([], "path string, offset long") if state is None else state.select("path", "offset")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), "content")
+    rows = files.join(known, "path", "left").withColumn("restarted", F.coalesce(F.col("offset") > F.col("size"), F.lit(False)))
+    start = F.when(F.col("restarted"), 0).otherwise(F.coalesce("offset", F.lit(0))).cast("int")
+    rows = rows.withColumn("start", start).withColumn("new", F.expr("substring(content, start + 1)").cast("string"))
+    whole = F.regexp_extract("new", r"(?s)\A(.*\n)", 1)
+    rows = rows.withColumn("whole", whole).withColumn("end", F.col("start") + F.octet_length("whole"))
+    lines = rows.filter("whole <> ''").select("path", "start", F.split(F.expr("left(whole, length(whole) - 1)"), "\n").alias("parts"))
+    placed = lines.select("path", "start", F.posexplode(F.arrays_zip(F.col("parts").alias("line"), running_sums(F.transform("parts", lambda x: F.octet_length(x) + 1)).alias("b"))).alias("i", "x"))
+    return placed.select("path", (F.col("start") + F.col("x.b")).alias("at"), F.col("x.line").alias("line")), rows.select("path", F.col("end").cast("long").alias("offset"), "size", "restarted", (F.col("end") < F.col("size")).alias("waiting"))
+
+
 def publish_snapshot(df: DataFrame, path: str, fingerprint: str) -> bool:
     """Write df as a new version under path and move the pointer, unless the
     pointer has this fingerprint. The pointer is written last; readers that

@@ -232,3 +232,26 @@ def test_silence_stream(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/e")
     got = V.streamed(spark, f"{tmp_path}/e", V.silence, f"{tmp_path}/w")
     assert sorted((r.user_id, r.state) for r in got.collect()) == [(1, "returned"), (2, "returned"), (2, "silent")]
+
+
+def test_tail_of_growing_files(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    a, b = tmp_path / "logs" / "a.jsonl", tmp_path / "logs" / "b.jsonl"
+
+    def read(state):
+        lines, state = S.tail_files(spark, str(tmp_path / "logs"), state)
+        rows = {(r.path.split("/")[-1], r["at"], r.line) for r in lines.collect()}
+        state = spark.createDataFrame(state.collect(), "path string, offset long, size long, restarted boolean, waiting boolean")
+        return rows, state, {r.path.split("/")[-1]: (r.offset, r.restarted, r.waiting) for r in state.collect()}
+
+    a.write_text("one\nzwölf\nto")
+    rows, state, seen = read(None)
+    assert rows == {("a.jsonl", 0, "one"), ("a.jsonl", 4, "zwölf")} and seen == {"a.jsonl": (11, False, True)}
+    a.write_text("one\nzwölf\ntorn\n")
+    b.write_text("x\n")
+    rows, state, seen = read(state)
+    assert rows == {("a.jsonl", 11, "torn"), ("b.jsonl", 0, "x")} and seen["a.jsonl"] == (16, False, False)
+    assert read(state)[0] == set()
+    a.write_text("new\n")
+    rows, state, seen = read(state)
+    assert rows == {("a.jsonl", 0, "new")} and seen["a.jsonl"] == (4, True, False)
