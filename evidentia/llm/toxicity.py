@@ -138,7 +138,7 @@ def _fit(at, feature, label, scale, penalty, steps):
     return x[:k], x[k]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", low_n: int = 3, high_n: int = 6, most_rows: int = 30_000, features: int = 4096, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 100):
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", low_n: int = 3, high_n: int = 6, most_rows: int = 30_000, features: int = 4096, least_seen: int = 5, smoothing: float = 1.0, penalty: float = 1e-4, steps: int = 100):
     """Fit on the rows of labels that docs has, at most `most_rows` of them,
     those with the smallest hash of the id. Ids with several labels count as 1
     if any is 1; ids labelled null are left out; equal texts are one row.
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Presence of character n-grams (low_n to high_n, hashed to 2 ** BITS
     buckets) is counted by class. The log-count ratio r of each bucket scales
     its feature; the `features` buckets whose ratio is the most standard errors
-    from zero are kept. Returns (buckets, weights with the ratio in them, bias),
+    from zero are kept, of those in least_seen rows and more. Returns (buckets, weights with the ratio in them, bias),
     some ten thousand numbers.
 
     With no rows, or rows of one class only, no bucket is kept and the bias
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = (F.col("c1") + smoothing) / F.lit(toxic + 2 * smoothing)
     q = (F.col("c0") + smoothing) / F.lit(clean + 2 * smoothing)
     error = F.sqrt(1 / (F.col("c1") + smoothing) + 1 / (F.col("c0") + smoothing))
-    ratio = counts.filter("c0 + c1 >= 5").select("g", F.log(p / q).alias("r"), F.abs(F.log(p / q) / error).alias("z"))
+    ratio = counts.filter(F.col("c0") + F.col("c1") >= least_seen).select("g", F.log(p / q).alias("r"), F.abs(F.log(p / q) / error).alias("z"))
     top = ratio.orderBy(F.desc("z"), "g").limit(features).toArrow().sort_by("g")  # at most `features` rows
     chosen, scale = top["g"].to_numpy().astype(np.int64), top["r"].to_numpy().astype(np.float64)
     if features > 1 << 16:
