@@ -62,6 +62,17 @@ def preamble(df: DataFrame, context: Column) -> DataFrame:
     return rows.withColumn("repeated", F.col("floor") * (F.col("calls") - 1))
 
 
+def preamble_bill(df: DataFrame, context: Column, prices: DataFrame) -> DataFrame:
+    """stream, floor, calls, tokens, cost: the least context of a stream is
+    delivered with every call; the first call pays the write price of its model
+    (per million), the others the read price of theirs. prices: model, write,
+    read. Calls are counted by stream and model first, so no stream is sorted."""
+    rows = df.groupBy("stream", "model").agg(F.min(context).alias("floor"), F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    rows = rows.join(prices, "model")
+    rows = rows.groupBy("stream").agg(F.min("floor").alias("floor"), F.sum("n").alias("calls"), F.sum(F.col("n") * F.col("read")).alias("reads"), F.min_by(F.col("write") - F.col("read"), "line").alias("more"))
+    return rows.select("stream", "floor", "calls", (F.col("floor") * F.col("calls")).alias("tokens"), F.round(F.col("floor") * (F.col("reads") + F.col("more")) / 1e6, 9).alias("cost"))
+
+
 def over_limit(df: DataFrame, key: str, value: str, limit: int) -> DataFrame:
     return df.groupBy(key).agg(F.max(value).alias("peak"), F.count(F.lit(1)).alias("calls"), F.count_if(F.col(value) > limit).alias("over"))
 

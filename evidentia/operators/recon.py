@@ -74,7 +74,11 @@ def symdiff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def supplement(catalog: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """The catalog and the known rows it doesn't list today."""
+    """The catalog and the known rows it doesn't list today. A key that stands
+    twice among the known rows is an error."""
+    twice = known.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][key]!r} stands {twice[0]['n']} times")
     return catalog.unionByName(known.join(catalog.select(key), key, "left_anti"))
 
 
@@ -112,14 +116,17 @@ def paragraph_diff(before: DataFrame, after: DataFrame, id_col: str, text_col: s
     return every.groupBy(id_col, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def contained_in(a: DataFrame, b: DataFrame, id_col: str, text_col: str, least: int = 60, low: float = 0.7, high: float = 1.4) -> DataFrame:
-    """id, ok, first_missing: whether every paragraph of `least` characters of a
-    stands in b, and the lengths agree."""
+def contained_in(a: DataFrame, b: DataFrame, id_col: str, text_col: str, least: int = 60, low: float = 0.7, high: float = 1.4, digits: int = 5) -> DataFrame:
+    """id, ok, first_missing, numbers_missing: whether every paragraph of `least`
+    characters of a stands in b, the lengths agree, and b has every number of
+    `digits` and more digits that a has."""
     rows = a.select(id_col, F.col(text_col).alias("ta")).join(b.select(id_col, F.col(text_col).alias("tb")), id_col)
     long = F.filter(F.split("ta", "\n", -1), lambda p: F.length(p) >= least)
     missing = F.filter(long, lambda p: ~F.contains(F.col("tb"), p))
     ratio = F.length("tb") / F.nullif(F.length("ta"), F.lit(0))
-    return rows.select(id_col, ((F.size(missing) == 0) & ratio.between(low, high)).alias("ok"), F.left(F.try_element_at(missing, F.lit(1)), F.lit(40)).alias("first_missing"))
+    numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(rf"[0-9]{{{digits},}}"), F.lit(0)))
+    lost = F.size(F.array_except(numbers("ta"), numbers("tb")))
+    return rows.select(id_col, ((F.size(missing) == 0) & ratio.between(low, high) & (lost == 0)).alias("ok"), F.left(F.try_element_at(missing, F.lit(1)), F.lit(40)).alias("first_missing"), lost.cast("long").alias("numbers_missing"))
 
 
 def agree(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float = 0.02) -> DataFrame:

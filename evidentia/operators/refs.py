@@ -55,6 +55,14 @@ def license_gate(items: DataFrame, exceptions: DataFrame) -> DataFrame:
     return rows.select("item", "license", verdict.alias("verdict"))
 
 
+def license_drift(declared: DataFrame, used: DataFrame) -> DataFrame:
+    """item, status: undeclared (used alone), unused (declared alone) or
+    relicensed (another license)."""
+    rows = declared.select("item", F.col("license").alias("d"), F.lit(True).alias("in_d")).join(used.select("item", F.col("license").alias("u"), F.lit(True).alias("in_u")), "item", "full")
+    status = F.when(F.col("in_d").isNull(), "undeclared").when(F.col("in_u").isNull(), "unused").when(~F.col("d").eqNullSafe(F.col("u")), "relicensed")
+    return rows.select("item", status.alias("status")).filter("status is not null")
+
+
 def edited(df: DataFrame, baseline: DataFrame, key: str, value: str, when: Column, days: int = 8) -> DataFrame:
     """Rows that differ from their baseline and were modified within days of
     `when`; without a baseline a row isn't listed."""

@@ -66,15 +66,19 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b
     return both.select("qid", "id", score.cast("int").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "rank", "score")
 
 
-def name_pairs(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
+def name_pairs(df: DataFrame, id_col: str, name_col: str, cleared: DataFrame | None = None) -> DataFrame:
     """a, b (a < b): pairs of normal names within one edit, by equal keys (the
     name, and each name less one character), or where one begins the other, by
-    equal beginnings."""
-    names = df.select(F.col(id_col).alias("id"), norm_words(name_col).alias("name")).filter("name <> ''")
+    equal beginnings. An empty name may be any other's, so it is one row, with
+    b NULL. cleared: a, b (a < b), pairs that are known to differ and left out."""
+    every = df.select(F.col(id_col).alias("id"), F.coalesce(norm_words(name_col), F.lit("")).alias("name"))
+    names = every.filter("name <> ''")
     cut = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.length("name"))))
     keys = names.select("id", "name", F.explode(F.array_distinct(F.concat(F.array("name"), cut))).alias("key"))
     left, right = keys.select(F.col("id").alias("a"), F.col("name").alias("na"), "key"), keys.select(F.col("id").alias("b"), F.col("name").alias("nb"), "key")
     near = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.levenshtein("na", "nb", 1) >= 0)).select("a", "b").distinct()
     begins = names.select(F.col("id").alias("x"), F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), F.lit(1), i))).alias("name"))
     begun = begins.join(names, "name").filter("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    return near.union(begun).distinct()
+    pairs = near.union(begun).distinct()
+    pairs = pairs if cleared is None else pairs.join(cleared.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.union(every.filter("name = ''").select("id", F.lit(None).cast(dict(every.dtypes)["id"])))

@@ -144,6 +144,18 @@ def dictionary_hits(df: DataFrame, id_col: str, text_col: str, names: DataFrame,
     return counts.join(norm, "key").select(id_col, "name", "n")
 
 
+def harvest(df: DataFrame, id_col: str, group_col: str, text_col: str, pattern: str, least_groups: int = 2, around: int = 20) -> DataFrame:
+    """key, mentions, groups, first_id, context, rank: matches of a pattern that
+    at least least_groups groups have, most groups first, then most mentions,
+    then by key. context is what stands around the first place in the text of
+    the least id. The rank is over keys, in one task, after they are counted."""
+    text = F.col(text_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), text.alias("t"), F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("key"))
+    rows = rows.withColumn("c", F.substring("t", F.greatest(F.instr("t", F.col("key")) - around, F.lit(1)), F.lit(2 * around)))
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("g").alias("groups"), F.min("id").alias("first_id"), F.min_by("c", "id").alias("context")).filter(F.col("groups") >= least_groups)
+    return keys.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("groups"), F.desc("mentions"), "key")))
+
+
 def sections(df: DataFrame, id_col: str, text_col: str, heading: str) -> DataFrame:
     """id, section, head, n_lines, first_line: text cut at heading lines; what
     stands before the first one is section 0 and kept."""
@@ -153,6 +165,24 @@ def sections(df: DataFrame, id_col: str, text_col: str, heading: str) -> DataFra
     return rows.groupBy(id_col, "section").agg(F.min_by("line", "line_no").alias("head"), F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
 
 
+def nested_sections(df: DataFrame, id_col: str, text_col: str, marks: str = r"^(#{1,6}) ") -> DataFrame:
+    """id, first_line, level, head, last_line: a section for each heading, whose
+    level is the length of group 1 of marks (six at most). It ends before the
+    next heading of the same or a higher level, so deeper ones lie inside. What
+    stands before the first heading is a section of level 0."""
+    rows = text_lines(df, id_col, text_col)
+    level = F.length(F.regexp_extract("line", marks, 1))
+    rows = rows.withColumn("level", F.when(level > 0, level))
+    order = Window.partitionBy(id_col).orderBy("line_no")
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    last = F.max("line_no").over(Window.partitionBy(id_col))
+    ends = F.coalesce(*[F.when(F.col("level") == v, F.min(F.when(F.col("level") <= v, F.col("line_no"))).over(after)) for v in range(1, 7)])
+    first = F.min(F.when(F.col("level").isNotNull(), F.col("line_no"))).over(after)
+    rows = rows.withColumn("last_line", F.coalesce(F.when(F.col("level").isNull(), first).otherwise(ends) - 1, last))
+    rows = rows.filter((F.col("level").isNotNull()) | (F.col("line_no") == 1))
+    return rows.select(id_col, F.col("line_no").alias("first_line"), F.coalesce("level", F.lit(0)).alias("level"), F.when(F.col("level").isNotNull(), F.regexp_replace("line", marks, "")).alias("head"), "last_line")
+
+
 def governing_heading(df: DataFrame, id_col: str, text_col: str, heading: str) -> DataFrame:
     """Each non-heading line with the last heading above it in its text."""
     rows = text_lines(df, id_col, text_col)

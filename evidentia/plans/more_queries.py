@@ -135,6 +135,13 @@ def j29_license_gate(spark, d):
     return A.license_gate(items, items.filter("item % 2 = 0"))
 
 
+@q(LIC + " select item, case when item % 10 = 0 then 'undeclared' when item % 10 = 1 then 'unused' else 'relicensed' end as status from l where item % 10 < 2 or (item % 10 = 2 and license <> 'copyleft')")
+def j29_license_drift(spark, d):
+    items = docs(spark, d).select(F.col("doc_id").alias("item"), T.license_class("text").alias("license"))
+    declared = items.filter("item % 10 <> 0").withColumn("license", F.when(F.col("item") % 10 == 2, "copyleft").otherwise(F.col("license")))
+    return A.license_drift(declared, items.filter("item % 10 <> 1"))
+
+
 @q("""select doc_id, md5(text) as h, date '2024-01-01' + cast(doc_id % 30 as int) as modified from documents where doc_id % 4 = 0 and doc_id % 30 between 22 and 30""")
 def j25_edited(spark, d):
     x = docs(spark, d).select("doc_id", F.md5("text").alias("h"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("modified"))

@@ -117,7 +117,8 @@ def j20_paragraph_diff(spark, d):
 
 
 @q("""with t as (select doc_id, text, lag(text) over (order by doc_id) as b from documents where doc_id % 2 >= 0), m as (select doc_id, text, b, list_filter(string_split(text, chr(10)), lambda p: length(p) >= 60 and not contains(b, p)) as miss from t where b is not null)
-select doc_id, len(miss) = 0 and length(b) / nullif(length(text), 0) between 0.7 and 1.4 as ok, left(miss[1], 40) as first_missing from m where doc_id - 1 in (select doc_id from documents)""")
+select doc_id, len(miss) = 0 and length(b) / nullif(length(text), 0) between 0.7 and 1.4 and lost = 0 as ok, left(miss[1], 40) as first_missing, lost as numbers_missing
+from (select *, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]{5,}')), lambda x: not list_contains(regexp_extract_all(b, '[0-9]{5,}'), x))) as lost from m) where doc_id - 1 in (select doc_id from documents)""")
 def j19_derived_ok(spark, d):
     x = docs(spark, d).select("doc_id", "text")
     return K.contained_in(x, x.select((F.col("doc_id") + 1).alias("doc_id"), "text"), "doc_id", "text")
@@ -337,6 +338,13 @@ def a04_preamble(spark, d):
     return L.preamble(usage_events(table(spark, d, "events")), F.col("tokens_in") + F.col("cache_read"))
 
 
+@q(f"""with {U}, p(model, write, read) as (values ('click', 3.75::double, 0.3::double), ('view', 1.25::double, 0.1::double), ('purchase', 18.75::double, 1.5::double), ('signup', 1.0::double, 0.08::double), ('error', 2.0::double, 0.2::double)), r as (select *, row_number() over (partition by stream order by line) as rn, min(tokens_in + cache_read) over (partition by stream) as f from u join p using (model))
+select stream, min(f) as floor, count(*) as calls, min(f) * count(*) as tokens, round(sum(f * case when rn = 1 then write else read end) / 1e6, 9) as cost from r group by 1""")
+def a04_preamble_bill(spark, d):
+    prices = spark.createDataFrame([("click", 3.75, 0.3), ("view", 1.25, 0.1), ("purchase", 18.75, 1.5), ("signup", 1.0, 0.08), ("error", 2.0, 0.2)], "model string, write double, read double")
+    return L.preamble_bill(usage_events(table(spark, d, "events")), F.col("tokens_in") + F.col("cache_read"), prices)
+
+
 @q(f"with {U} select step, max(cache_read) as peak, count(*) as calls, count(*) filter (cache_read > 300) as over from st group by 1")
 def a05_over_limit(spark, d):
     return L.over_limit(usage(spark, d), "step", "cache_read", 300)
@@ -432,10 +440,11 @@ def a17_doc_bad_pages(spark, d):
     return L.doc_bad_pages(table(spark, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "doc_bad")
 
 
-@q("""with m as (select source, doc_id, unnest(regexp_extract_all(text, '[A-Za-z]*[Ll]icense[a-z]*')) as key from documents) select key, count(*) as mentions, count(distinct source) as groups, min(doc_id) as first_doc from m group by 1 having count(distinct source) >= 2""")
+@q("""with m as (select source, doc_id, text, unnest(regexp_extract_all(text, '[A-Za-z]*[Ll]icense[a-z]*')) as key from documents),
+k as (select key, count(*) as mentions, count(distinct source) as groups, min(doc_id) as first_doc, arg_min(substr(text, greatest(strpos(text, key) - 20, 1), 40), doc_id) as context from m group by 1 having count(distinct source) >= 2)
+select *, cast(row_number() over (order by groups desc, mentions desc, key) as int) as rank from k""")
 def a18_harvest(spark, d):
-    m = docs(spark, d).select("source", "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]*[Ll]icense[a-z]*"), F.lit(0))).alias("key"))
-    return m.groupBy("key").agg(n_rows("mentions"), F.countDistinct("source").alias("groups"), F.min("doc_id").alias("first_doc")).filter("groups >= 2")
+    return X.harvest(docs(spark, d), "doc_id", "source", "text", "[A-Za-z]*[Ll]icense[a-z]*").withColumnRenamed("first_id", "first_doc")
 
 
 @q("""with r as (select user_id, max(ts) filter (event_type <> 'error') as good, max_by(event_type <> 'error', ts) as ok from events group by 1), f as (select e.user_id, count(*) as failures from events e join r using (user_id) where event_type = 'error' and (good is null or ts > good) group by 1)
@@ -506,9 +515,12 @@ def k01_search(spark, d):
     return S.search(nodes, qs, 10)
 
 
-@q(f"""with n as (select c_custkey as id, {NORM.format('c_name')} as name from customer) select a.id as a, b.id as b from n a join n b on a.id < b.id and (levenshtein(a.name, b.name) <= 1 or starts_with(a.name, b.name) or starts_with(b.name, a.name))""")
+@q(f"""with n as (select c_custkey as id, case when c_custkey % 50 = 0 then '' else {NORM.format('c_name')} end as name from customer) select a.id as a, b.id as b from n a join n b on a.id < b.id and a.name <> '' and b.name <> '' and (levenshtein(a.name, b.name) <= 1 or starts_with(a.name, b.name) or starts_with(b.name, a.name)) where not (a.id % 7 = 0 and b.id = a.id + 1)
+union all select id, null from n where name = ''""")
 def j09_near_twins(spark, d):
-    return S.name_pairs(table(spark, d, "customer"), "c_custkey", "c_name")
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, F.lit("-")).otherwise(F.col("c_name")).alias("c_name"))
+    cleared = c.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    return S.name_pairs(c, "c_custkey", "c_name", cleared)
 
 
 STAR = ({"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}, [("order", "holds", "part"), ("part", "made_by", "supplier")])

@@ -343,3 +343,11 @@ def f02_check_digits(spark, d):
 def f13_plural_form(spark, d):
     form = T.plural_form(F.col("l_linenumber") + F.col("l_orderkey"), F.lit("one"), F.lit("few"), F.lit("many"))
     return table(spark, d, "lineitem").groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q(f"""with l as (select doc_id, line_no, case when line_no % 4 > 0 then line_no % 4 end as level, line from {LINES}), n as (select a.doc_id, a.line_no, a.level, a.line, min(b.line_no) as nxt from l a left join l b on a.doc_id = b.doc_id and b.line_no > a.line_no and b.level <= a.level where a.level is not null group by all)
+select doc_id, cast(line_no as int) as first_line, cast(level as int) as level, line as head, cast(coalesce(nxt - 1, (select max(line_no) from l where l.doc_id = n.doc_id)) as int) as last_line from n""")
+def w05_nested_sections(spark, d):
+    """Three lines of four are headings, of levels 1 to 3 in turn."""
+    marked = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.when((i + 1) % 4 > 0, F.concat(F.repeat(F.lit("#"), (i + 1) % 4), F.lit(" "))).otherwise(""), x)), "\n")
+    return X.nested_sections(docs(spark, d).select("doc_id", marked.alias("text")), "doc_id", "text")
