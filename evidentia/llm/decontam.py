@@ -14,15 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import broadcast_if_small, checkpoint
+from evidentia.functions.arrays import bound
+from evidentia.llm.common import broadcast_if_small, checkpoint, stage
 
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 #: Units that follow a number.
-UNITS = "mm|cm|dm|m|km|mg|g|kg|t|ml|cl|l|s|ms|min|h|hz|khz|mhz|w|kw|v|a|j|kj|n|pa|kpa|k|c|f|mph|kmh|usd|eur|gbp|dollars?|euros?|cents?|pounds?|miles?|inch|inches|feet|foot|ft|yards?|ounces?|oz|lb|lbs|met(?:er|re)s?|kilomet(?:er|re)s?|centimet(?:er|re)s?|grams?|kilograms?|tons?|lit(?:er|re)s?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|degrees?|percent"
-
-
+UNITS = "mm cm dm m km mg g kg t ml cl l s ms min h hz khz mhz w kw v a j kj n pa kpa k c f mph kmh usd eur gbp dollar dollars euro euros cent cents pound pounds mile miles inch inches feet foot ft yard yards ounce ounces oz lb lbs meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres gram grams kilogram kilograms ton tons liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years degree degrees percent".split()
 #: Number words; those that are often something else (un, ein, once) aren't.
-NUMBERS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty(?:one|two|three|four|five|six|seven|eight|nine)?|hundred|thousand|million|billion|dozen|zwei|drei|vier|f[üÜ]nf|sechs|sieben|acht|neun|zehn|elf|zw[öÖ]lf|deux|trois|quatre|cinq|sept|huit|neuf|dix|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez"
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBERS = [
+    *ONES, *TENS, *[t + o for t in TENS for o in ONES],
+    *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(),
+    *"zwei drei vier fünf sechs sieben acht neun zehn elf zwölf".split(),
+    *"deux trois quatre cinq sept huit neuf dix".split(),
+    *"dos tres cuatro cinco seis siete ocho nueve diez".split(),
+]
 
 
 def _bare(text: Column) -> Column:
@@ -40,23 +47,22 @@ def plain_words(text: Column) -> Column:
     return _split(F.lower(_bare(text)))
 
 
-def _typed(text: Column) -> Column:
-    t = F.regexp_replace(_bare(text), r"\p{N}+", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)(?<!\S)(?:{NUMBERS})(?!\S)", NUMBER)
-    return F.regexp_replace(t, rf"(?i)({NUMBER}\s*)(?:{UNITS})(?!\S)", f"$1{UNIT}")
-
-
-def _named(typed: Column) -> Column:
-    return _split(F.lower(F.regexp_replace(typed, r"\p{Lu}(?<!\S.)\p{Ll}\p{L}*", NAME)))
-
-
-def template_words(text: Column) -> Column:
-    return _named(_typed(text))
+def with_templates(df: DataFrame, text: str = "t") -> DataFrame:
+    """Adds tw, the template, and cw, the template whose names are words: arrays
+    of words in lower case, of equal length. Digits and units after them are
+    typed in the text, number words and units after those word by word."""
+    digits = F.regexp_replace(_bare(F.col(text)), r"\p{N}+", NUMBER)
+    digits = F.regexp_replace(digits, rf"(?i)({NUMBER}\s*)(?:{'|'.join(UNITS)})(?!\S)", f"$1{UNIT}")
+    rows = df.withColumn("__typed", digits).withColumn("__words", _split(F.lower("__typed")))
+    rows = rows.withColumn("__named", _split(F.lower(F.regexp_replace("__typed", r"\p{Lu}(?<!\S.)\p{Ll}\p{L}*", NAME))))
 
+    def typed(w: Column, i: Column) -> Column:
+        unit = w.isin(*UNITS) & F.coalesce(F.get("__words", i - 1).isin(*NUMBERS), F.lit(False))
+        return F.when(w.isin(*NUMBERS), NUMBER).when(unit, UNIT)
 
-def with_templates(df: DataFrame, text: str = "t") -> DataFrame:
-    """Adds tw, the template, and cw, the template whose names are words."""
-    return df.withColumn("__typed", _typed(F.col(text))).withColumn("tw", _named(F.col("__typed"))).withColumn("cw", _split(F.lower("__typed"))).drop("__typed")
+    rows = rows.withColumn("__kinds", F.transform("__words", typed))
+    pick = lambda column: F.zip_with("__kinds", column, lambda k, w: F.coalesce(k, w))
+    return rows.withColumns({"tw": pick("__named"), "cw": pick("__words")}).drop("__typed", "__words", "__named", "__kinds")
 
 
 def _windows(tokens: Column, sizes: list[int]) -> Column:
@@ -105,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = checkpoint(hits.groupBy("i", "d", "item", "ih", stretch).agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))
     held = checkpoint(hits.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct())
     again = source.join(broadcast_if_small(held, broadcast_rows), F.col("i").eqNullSafe(F.col("hi")) & (F.col("d") == F.col("hd")), "left_semi").dropDuplicates(["i", "d"])
-    again = again.select("i", "d", template_words(F.col("t")).alias("dt"), plain_words(F.col("t")).alias("dp"))
+    again = with_templates(again).select("i", "d", F.col("tw").alias("dt"), plain_words(F.col("t")).alias("dp"))
     both = hits.join(again.withColumnsRenamed({"i": "i2", "d": "d2"}), F.col("i").eqNullSafe(F.col("i2")) & (F.col("d") == F.col("d2"))).join(items.select("ih", "pw"), "ih")
 
     def pairs(x: Column) -> Column:
@@ -114,15 +120,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return F.filter(each, lambda y: y["slot"])
 
     both = both.withColumn("hits", F.transform("hits", lambda x: F.struct(x["item_at"].alias("item_at"), x["w"].alias("w"), pairs(x).alias("p"))))
+    # Stored, as what follows looks at the hits over and over.
+    both = stage(both.select("i", "d", "item", "ih", "item_words", "hits"), "slots")
     both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(x["p"], lambda y: F.struct(y["k"], y["a"], y["b"]))))))
     pair = F.array_distinct(F.transform("slots", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"))))
     both = both.withColumn("pairs", pair).withColumn("pairs", F.transform("pairs", lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"), F.size(F.filter("slots", lambda z: (z["a"] == y["a"]) & (z["b"] == y["b"]))).alias("n"))))
     wrong = F.filter("pairs", lambda y: (y["a"] != y["b"]) & F.exists("pairs", lambda z: ((z["a"] == y["a"]) != (z["b"] == y["b"])) & ((z["n"] >= y["n"]) | (z["a"] == z["b"]))))
-    both = both.withColumn("wrong", F.transform(wrong, lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"))))
-    both = both.withColumn("hits", F.filter("hits", lambda x: (F.size(F.filter(x["p"], lambda y: y["a"] != y["b"])) * 2 <= x["w"]) & ~F.exists(x["p"], lambda y: F.array_contains("wrong", F.struct(y["a"].alias("a"), y["b"].alias("b"))))))
-    both = both.filter(F.size("hits") > 0)
+    wrong = F.transform(wrong, lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b")))
+    fit = bound(wrong, lambda bad: F.filter("hits", lambda x: (F.size(F.filter(x["p"], lambda y: y["a"] != y["b"])) * 2 <= x["w"]) & ~F.exists(x["p"], lambda y: F.array_contains(bad, F.struct(y["a"].alias("a"), y["b"].alias("b"))))))
+    both = both.withColumn("hits", fit)
     words = F.flatten(F.transform("hits", lambda x: F.sequence(x["item_at"], x["item_at"] + x["w"] - 1)))
-    both = both.select("i", "d", "item", "ih", "item_words", F.size("hits").alias("windows"), F.array_distinct(words).alias("words"), F.forall("slots", lambda y: y["a"] == y["b"]).alias("exact"))
+    # Stretches without a fitting window add no words and no judgement.
+    both = both.select("i", "d", "item", "ih", "item_words", F.size("hits").alias("windows"), F.array_distinct(words).alias("words"), F.when(F.size("hits") > 0, F.forall("slots", lambda y: y["a"] == y["b"])).alias("exact"))
     both = both.groupBy("i", "d", "item", "ih").agg(F.max("item_words").alias("item_words"), F.sum("windows").cast("int").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.min("exact").alias("exact"))
     both = both.filter(F.col("covered") >= F.ceil(F.col("item_words") * cover))
     keys = [F.col("i").alias(id_col), F.col("item").alias(item_col), *([F.col("d").alias("text_hash")] if by_text else [])]
