@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evidentia.llm import decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, secret_scan, toxicity, url_filter, warc
+from evidentia.llm import decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, prefix_trie, secret_scan, toxicity, url_filter, warc
 from evidentia.llm.common import stage, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +78,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_secret_scan, op4_source_mix, op5_html_text, op6_toxicity, op7_warc, op8_transport_stream, op9_decontaminate, op10_jaccard_join)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = prefix_trie.prefix_trie(turns, prefix_trie.base_rule(), prefix_trie.head_rule())
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_secret_scan, op4_source_mix, op5_html_text, op6_toxicity, op7_warc, op8_transport_stream, op9_decontaminate, op10_jaccard_join, op11_prefix_trie)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES = {"op4_source_mix": mixing.ORACLE}
+ORACLES = {"op4_source_mix": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
