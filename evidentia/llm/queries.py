@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evidentia.llm import decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, prefix_trie, secret_scan, toxicity, url_filter, warc
+from evidentia.llm import collocations, decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, prefix_trie, secret_scan, toxicity, url_filter, warc
 from evidentia.llm.common import stage, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +84,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_secret_scan, op4_source_mix, op5_html_text, op6_toxicity, op7_warc, op8_transport_stream, op9_decontaminate, op10_jaccard_join, op11_prefix_trie)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_secret_scan, op4_source_mix, op5_html_text, op6_toxicity, op7_warc, op8_transport_stream, op9_decontaminate, op10_jaccard_join, op11_prefix_trie, op12_collocations)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES = {"op4_source_mix": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+ORACLES = {"op4_source_mix": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_collocations": collocations.ORACLE}
