@@ -42,12 +42,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Words are runs of characters outside x20 and x09-x0D, A-Z lower-cased.
+def word_hashes(texts: list[str | None], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Words are runs of characters outside x20 and x09-x0D, A-Z lower-cased
+    unless fold is off.
     Returns the index of the text and a 64-bit hash of each word, in order."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     size = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
-    data = np.frombuffer(b" ".join(raw).lower() + b" ", np.uint8)
+    whole = b" ".join(raw) + b" "
+    data = np.frombuffer(whole.lower() if fold else whole, np.uint8)
     blank = SPACE[data]
     first = ~blank
     first[1:] &= blank[:-1]

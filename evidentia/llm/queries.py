@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from evidentia.llm import collocations, decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, prefix_trie, secret_scan, toxicity, url_filter, warc
+from evidentia.llm import collocations, decontam, html_extract, jaccard_join, line_dedup, mixing, mpegts, prefix_trie, quality_rules, secret_scan, toxicity, url_filter, warc
 from evidentia.llm.common import stage, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +88,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_secret_scan, op4_source_mix, op5_html_text, op6_toxicity, op7_warc, op8_transport_stream, op9_decontaminate, op10_jaccard_join, op11_prefix_trie, op12_collocations)}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = quality_rules.judge(docs, ["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_line_dedup, op3_secret_scan, op4_source_mix, op5_html_text, op6_toxicity, op7_warc, op8_transport_stream, op9_decontaminate, op10_jaccard_join, op11_prefix_trie, op12_collocations, op13_quality_rules)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {"op4_source_mix": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_collocations": collocations.ORACLE}
