@@ -301,27 +301,6 @@ def r04_channel_state(spark, d):
     return V.streamed(spark, f"{d}/events.parquet", lambda e: V.channel_state(e, now), folder(spark), "complete")
 
 
-@q("""with e as (select user_id, event_id, ts, event_type, case event_type when 'error' then interval 3600 second else interval 900 second end as ttl from events where event_type in ('error', 'view')),
-m as (select *, lag(event_type) over w as pt, lag(ts + ttl) over w as pu, lead(ts) over w as nx from e window w as (partition by user_id order by ts, event_id)), wm as (select max(ts) - interval 1 day as w from e)
-select user_id, cast(epoch_us(ts) as bigint) as at_us, case event_type when 'error' then 'dead' else 'alive' end as state from m where pt is null or pt <> event_type or ts > pu
-union all select user_id, epoch_us(pu), 'unknown' from m where ts > pu union all select user_id, epoch_us(ts + ttl), 'unknown' from m, wm where nx is null and ts + ttl < w""")
-def r04_channel_changes(spark, d):
-    out = V.streamed(spark, f"{d}/events.parquet", V.channel_changes, folder(spark))
-    return out.select("user_id", F.unix_micros("at").alias("at_us"), "state")
-
-
-@q()
-def r05_silence(spark, d):
-    return V.streamed(spark, f"{d}/events.parquet", V.silence, folder(spark))
-
-
-@q("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as sid from g)
-select user_id, cast(floor(epoch(max(ts))) - floor(epoch(min(ts))) as bigint) as seconds from s group by user_id, sid having floor(epoch(max(ts))) - floor(epoch(min(ts))) > 1200""")
-def r07_overlong(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return V.overlong(e).select("user_id", "seconds")
-
-
 # ------------------------------------------------------------------------ jobs
 def _spelled(n: str) -> str:
     """SQL of a whole number under a billion in words: nominative, masculine."""
@@ -362,10 +341,3 @@ def s03_strict_totals(spark, d):
 
     torn = F.when(F.col("event_type") == "error", F.col("props"))
     return strict_totals(table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), torn.alias("_corrupt"), F.get_json_object("props", "$.k").cast("long").alias("k")), "k")
-
-
-@q("""select cast(user_id as varchar) as key, min_by(event_type, (event_id % 7) * 100 + ascii(event_type)) as hash, min(event_id % 7) as priority, 1::bigint as version from events group by 1""")
-def r08_merge_requests(spark, d):
-    batch = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("hash"), (F.col("event_id") % 7).alias("priority"))
-    state = spark.createDataFrame([], "key string, hash string, priority long, version long")
-    return V.merge_requests(batch, state).select("key", "hash", "priority", F.col("version").cast("long").alias("version"))

@@ -1,4 +1,4 @@
-"""Event streams: extraction, counters, silence and keyed states.
+"""Event streams: extraction, counters and sessions; keyed states are in keyed.
 
 Each takes a streaming (or batch) DataFrame of events: event_id, ts, user_id,
 event_type, value, props.
@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tail_events(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -48,12 +46,16 @@ def running_counts(events: DataFrame, step: int = 10) -> DataFrame:
     return rows.withColumn("alerts", F.floor(F.col("n") / step).cast("long"))
 
 
-def overlong(events: DataFrame, gap: str = "30 minutes", ceiling_s: int = 1200, late: str = "1 day") -> DataFrame:
-    """user_id, started, seconds of sessions over the ceiling."""
+def overlong(events: DataFrame, ceilings: dict[str, int], gap: str = "30 minutes", other_s: int = 1200, late: str = "1 day") -> DataFrame:
+    """user_id, role, started, seconds of sessions over the ceiling of their
+    role, or other_s where a role has none; events have a column role."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    rows = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    rows = rows.groupBy("user_id", "role", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
     seconds = F.unix_timestamp("ended") - F.unix_timestamp("started")
-    return rows.select("user_id", "started", seconds.alias("seconds")).filter(F.col("seconds") > ceiling_s)
+    ceiling = F.lit(other_s)
+    for role, most in ceilings.items():
+        ceiling = F.when(F.col("role") == role, most).otherwise(ceiling)
+    return rows.select("user_id", "role", "started", seconds.alias("seconds")).filter(F.col("seconds") > ceiling)
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -71,94 +73,13 @@ def channel_state(events: DataFrame, now, dead_s: int = 3600, alive_s: int = 900
     return marks.select("user_id", F.when(age > F.when(dead, dead_s).otherwise(alive_s), "unknown").when(dead, "dead").otherwise("alive").alias("state"))
 
 
-CHANNEL = "user_id long, at timestamp, state string"
-
-
-def channel_changes(events: DataFrame, dead_s: int = 3600, alive_s: int = 900, late: str = "1 day") -> DataFrame:
-    """user_id, at, state: changes of a keyed state that expires. An error makes
-    dead for dead_s, a view alive for alive_s; a mark of the same kind in that
-    time lengthens it, one of the other kind changes it, and after it the state
-    is unknown, by an event-time timer, and forgotten."""
-    life = {"error": ("dead", dead_s), "view": ("alive", alive_s)}
-
-    def step(key, parts, state: GroupState):
-        out = []
-        if state.hasTimedOut:
-            kind, at = state.get
-            out.append((key[0], pd.Timestamp(at) + pd.Timedelta(seconds=life[kind][1]), "unknown"))
-            state.remove()
-        else:
-            kind, at = state.get if state.exists else (None, None)
-            rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-            for ts, new in zip(rows["ts"], rows["event_type"], strict=True):
-                if kind and ts > (until := pd.Timestamp(at) + pd.Timedelta(seconds=life[kind][1])):
-                    out.append((key[0], until, "unknown"))
-                    kind = None
-                if new != kind:
-                    out.append((key[0], ts, life[new][0]))
-                kind, at = new, ts
-            state.update((kind, pd.Timestamp(at).to_pydatetime()))
-            due = int(pd.Timestamp(at).timestamp() * 1000) + life[kind][1] * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "at", "state"])
-
-    rows = events.withWatermark("ts", late).filter("event_type in ('error', 'view')").select("user_id", "event_id", "ts", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(step, CHANNEL, "kind string, at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-SILENCE = "user_id long, opened timestamp, state string"
-
-
-def silence(events: DataFrame, silent_s: int = 1200, late: str = "1 day") -> DataFrame:
-    """user_id, opened, state: an opening (click) without a return (purchase)
-    within silent_s is silent, by an event-time timer; else returned."""
-
-    def step(key, parts, state: GroupState):
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], state.get[0], "silent"))
-            state.remove()
-        else:
-            opened = pd.Timestamp(state.get[0]) if state.exists else None
-            rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-            for ts, kind in zip(rows["ts"], rows["event_type"], strict=True):
-                if opened is not None and (ts - opened).total_seconds() > silent_s:
-                    out.append((key[0], opened, "silent"))
-                    opened = None
-                if kind == "click" and opened is None:
-                    opened = ts
-                elif kind == "purchase" and opened is not None:
-                    out.append((key[0], opened, "returned"))
-                    opened = None
-            if opened is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((opened.to_pydatetime(),))
-                due = int(opened.timestamp() * 1000) + silent_s * 1000
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "opened", "state"])
-
-    rows = events.withWatermark("ts", late).select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return rows.applyInPandasWithState(step, SILENCE, "opened timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def merge_requests(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Requests (key, hash, priority, version) into a state table of the same
-    columns: an equal hash keeps the best priority; another one is the next
-    version, the best of its batch."""
-    best = batch.groupBy("key").agg(F.min_by("hash", F.struct("priority", "hash")).alias("nh"), F.min("priority").alias("np"))
-    rows = state.join(best, "key", "full")
-    same = F.col("hash").eqNullSafe(F.col("nh"))
-    return rows.select("key", F.coalesce("nh", "hash").alias("hash"), F.when(same, F.least("priority", "np")).otherwise(F.coalesce("np", "priority")).alias("priority"), F.when(F.col("nh").isNull() | same, F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1).alias("version"))
-
-
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> None:
-    """Run a stream over all there is, into Parquet under folder/out; complete
-    results are rewritten with each batch, append results added."""
+    """Run a stream over all there is, into Parquet under folder/out, a folder for
+    each batch, so that a batch that is repeated replaces itself; of complete
+    results the last batch is the result."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(f"{folder}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
@@ -166,4 +87,7 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append") -> None:
 def streamed(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], folder: str, mode: str = "append") -> DataFrame:
     stream = build(tail_events(spark, path))
     run_available(stream, folder, mode)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    rows = spark.read.schema(f"{','.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{folder}/out")
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == F.lit(rows.agg(F.max("batch")).first()[0]))
+    return rows.drop("batch")

@@ -17,7 +17,6 @@ from evidentia.operators import recon as K
 from evidentia.operators import refs as A
 from evidentia.operators import text as O
 from evidentia.sources import files as S
-from evidentia.streaming import events as V
 
 D = dt.date.fromisoformat
 
@@ -218,22 +217,6 @@ def test_snapshot(spark, tmp_path):
     assert S.publish_snapshot(spark.range(5), f"{tmp_path}/s", "two") and S.read_snapshot(spark, f"{tmp_path}/s").count() == 5
 
 
-def test_request_merge(spark):
-    s = "key string, hash string, priority int, version int"
-    state = V.merge_requests(spark.createDataFrame([("a", "h", 5, 0), ("a", "h", 3, 0)], s), spark.createDataFrame([], s))
-    assert state.collect() == [("a", "h", 3, 1)]
-    assert V.merge_requests(spark.createDataFrame([("a", "h", 1, 0)], s), state).collect() == [("a", "h", 1, 1)]
-    assert V.merge_requests(spark.createDataFrame([("a", "g", 4, 0)], s), state).collect() == [("a", "g", 4, 2)]
-
-
-def test_silence_stream(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1, 10)
-    rows = [(1, t, 1, "click"), (2, t + dt.timedelta(minutes=5), 1, "purchase"), (3, t, 2, "click"), (4, t + dt.timedelta(hours=1), 2, "click"), (5, t + dt.timedelta(hours=1, minutes=1), 2, "purchase")]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/e")
-    got = V.streamed(spark, f"{tmp_path}/e", V.silence, f"{tmp_path}/w")
-    assert sorted((r.user_id, r.state) for r in got.collect()) == [(1, "returned"), (2, "returned"), (2, "silent")]
-
-
 def test_tail_of_growing_files(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     a, b = tmp_path / "logs" / "a.jsonl", tmp_path / "logs" / "b.jsonl"
