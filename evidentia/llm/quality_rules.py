@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import SPACE, broadcast_if_small, checkpoint, mix64, slices, stage, word_hashes
+from evidentia.llm.common import SPACE, broadcast_if_small, checkpoint, give_back, mix64, slices, stage, word_hashes
 
 #: Fixed values of the base rules.
 SYMBOLS = np.zeros(256, bool)
@@ -80,9 +80,10 @@ def add_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in slices(batches, 0, 2_000_000):
+        for b in slices(batches, 0, 500_000):
             found = statistics_of(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(found[c]) for c in COUNTS]], [*keep, *COUNTS])
+        give_back()
 
     return docs.select("text", *keep).mapInArrow(run, schema)
 
