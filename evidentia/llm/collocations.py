@@ -8,6 +8,8 @@ a bin above it is extended by one word and packed anew. Each group's suffixes
 then go to one task, which builds its subtrees on its own and reads the count of
 a node from the totals of its leaves. Equal suffixes are counted together before
 they are sent, so a passage that stands in very many texts is one row a batch.
+Words go by 64-bit hashes; a second hash, and the words of all results, show
+whether two of them share one, and then all is counted anew with other hashes.
 Counts, parts and scores are DataFrame joins over the nodes that are frequent.
 """
 
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import mix64, slices, stage
+from evidentia.llm.common import give_back, mix64, slices, stage
 
 #: Words in a phrase at most.
 DEPTH = 4
@@ -29,6 +31,8 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 #: Bits of the filter of frequent words (16 MB, whatever the corpus).
 FILTER_BITS = 27
+#: Bytes of text that are taken apart at once, and words of a batch of suffixes.
+SLICE, BATCH = 1_000_000, 1_000_000
 _U = np.uint64
 STEP = _U(0x9E3779B97F4A7C15)
 ODD = _U(0xC2B2AE3D27D4EB4F)
@@ -39,9 +43,10 @@ class Collision(Exception):
 
 
 # ------------------------------------------------------------------ words
-def words_of(texts: list[str | None], langs: list[str], seed: int):
+def words_of(texts: list[str | None], langs: list[str], seed: int, second: bool = False):
     """Bytes, start, length and 64-bit hash of each word (its language and the
-    seed are part of it), whether it ends a piece, and the index of its text."""
+    seed are part of it), whether it ends a piece, the index of its text, and
+    another hash if asked for."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(raw).lower() + b"\n" + bytes(8)
     n = len(data) - 8
@@ -57,57 +62,95 @@ def words_of(texts: list[str | None], langs: list[str], seed: int):
         ends[:-1] = breaks[start[1:]] != breaks[stop[:-1] - 1]
     text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
     eight = np.ndarray((n,), np.dtype("<u8"), data, 0, (1,))
-    salt = np.fromiter((int.from_bytes(hashlib.blake2b(f"{seed} {x}".encode(), digest_size=8).digest(), "little") for x in langs), np.uint64, len(langs))
-    h = salt[text] + size.astype(np.uint64) * STEP if len(start) else np.zeros(0, np.uint64)
-    todo = np.flatnonzero(size <= 64)
-    for at in range(0, 64, 8):
-        todo = todo[size[todo] > at]
-        if not len(todo):
-            break
-        left = np.minimum(size[todo] - at, 8).astype(np.uint64)
-        chunk = eight[start[todo] + at] & (_U(2**64 - 1) >> ((_U(8) - left) * _U(8)))
-        h[todo] = mix64((h[todo] ^ chunk) * ODD + STEP)
-    for i in np.flatnonzero(size > 64):
-        whole = hashlib.blake2b(data[start[i] : stop[i]], digest_size=8, salt=int(h[i]).to_bytes(8, "little")).digest()
-        h[i] = int.from_bytes(whole, "little")
-    h[h == 0] = 1
-    return data, start, size, h, ends, text
+
+    def hashes(seed: int) -> np.ndarray:
+        salt = np.fromiter((int.from_bytes(hashlib.blake2b(f"{seed} {x}".encode(), digest_size=8).digest(), "little") for x in langs), np.uint64, len(langs))
+        h = salt[text] + size.astype(np.uint64) * STEP if len(start) else np.zeros(0, np.uint64)
+        todo = np.flatnonzero(size <= 64)
+        for at in range(0, 64, 8):
+            todo = todo[size[todo] > at]
+            if not len(todo):
+                break
+            left = np.minimum(size[todo] - at, 8).astype(np.uint64)
+            chunk = eight[start[todo] + at] & (_U(2**64 - 1) >> ((_U(8) - left) * _U(8)))
+            h[todo] = mix64((h[todo] ^ chunk) * ODD + STEP)
+        for i in np.flatnonzero(size > 64):
+            whole = hashlib.blake2b(data[start[i] : stop[i]], digest_size=8, salt=int(h[i]).to_bytes(8, "little")).digest()
+            h[i] = int.from_bytes(whole, "little")
+        h[h == 0] = 1
+        return h
+
+    return data, start, size, hashes(seed), ends, text, hashes(~seed) if second else None
 
 
 def word_counter(seed: int, held: int = 400_000):
-    """Task function: key, label (language, tab, word: the least and the
-    greatest of the key) and count of the words of a stretch of rows."""
+    """Task function: key, language, the least and the greatest second hash and
+    the count of the words of a stretch of rows."""
+
+    def merged(parts):
+        key, low, high, n, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        return key[order][edge], np.minimum.reduceat(low[order], edge), np.maximum.reduceat(high[order], edge), np.add.reduceat(n[order], edge), lang[order][edge]
 
     def count(batches):
         import pyarrow as pa
 
-        def merged(parts):
-            found = pa.concat_tables(parts).group_by("key").aggregate([("low", "min"), ("high", "max"), ("n", "sum")])
-            return found.select(["key", "low_min", "high_max", "n_sum"]).rename_columns(["key", "low", "high", "n"])
+        codes: dict[str, int] = {}
+
+        def out(part):
+            key, low, high, n, lang = part
+            names = pa.array(list(codes), pa.string()).take(pa.array(lang))
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), names, pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(n)], ["key", "lang", "low", "high", "n"])
 
         parts, rows = [], 0
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE):
             langs = b.column(1).to_pylist()
-            data, start, size, h, _, text = words_of(b.column(0).to_pylist(), langs, seed)
+            _, _, _, h, _, text, second = words_of(b.column(0).to_pylist(), langs, seed, second=True)
             if not len(h):
                 continue
-            key, first, n = np.unique(h, return_index=True, return_counts=True)
-            label = [f"{langs[t]}\t".encode() + data[s : s + k] for t, s, k in zip(text[first], start[first], size[first], strict=True)]
-            label = pa.array(label, pa.binary()).cast(pa.string())
-            parts.append(pa.table({"key": key.view(np.int64), "low": label, "high": label, "n": n.astype(np.int64)}))
-            rows += len(key)
+            lang = np.fromiter((codes.setdefault(x, len(codes)) for x in langs), np.int64, len(langs))[text]
+            parts.append(merged([(h, second, second, np.ones(len(h), np.int64), lang)]))
+            rows += len(parts[-1][0])
             if rows > held:
                 parts = [merged(parts)]
-                rows = parts[0].num_rows
+                rows = len(parts[0][0])
                 if rows > held:
-                    yield from parts[0].to_batches()
+                    yield out(parts[0])
                     parts, rows = [], 0
         if parts:
-            yield from merged(parts).to_batches()
+            yield out(merged(parts))
+        give_back()
 
     return count
 
 
+def word_reader(seed: int, bits, needed, shift: int):
+    """Task function: short key and word for frequent words that are needed."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        table, wanted, seen = np.frombuffer(bits.value, np.uint8), np.frombuffer(needed.value, np.uint8), {}
+        for b in slices(batches, 0, SLICE):
+            data, start, size, h, _, _, _ = words_of(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
+            use = np.flatnonzero(has_bit(table, h) & has_bit(wanted, h >> _U(shift)))
+            here, first = np.unique(h[use] >> _U(shift), return_index=True)
+            at = use[first]
+            new = [(int(k), data[s : s + n].decode("utf-8", "surrogatepass")) for k, s, n in zip(here.view(np.int64), start[at], size[at], strict=True) if int(k) not in seen]
+            seen.update(new)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.string())], ["key", "word"])
+        give_back()
+
+    return read
+
+
+def has_bit(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    low = h & _U(2**FILTER_BITS - 1)
+    return (table[low >> _U(3)] >> (low & _U(7)).astype(np.uint8)) & 1 == 1
+
+
 def frequent_filter(keys: DataFrame) -> bytes:
     """A bit for each frequent word's hash: of a fixed size, so that it may go to
     all tasks. A rare word that shares a bit only costs a suffix more."""
@@ -120,7 +163,7 @@ def frequent_filter(keys: DataFrame) -> bytes:
 
 
 # --------------------------------------------------------------- suffixes
-def suffixes(batches, seed: int, bits: bytes, most_words: int = 2_000_000):
+def suffixes(batches, seed: int, bits: bytes, most_words: int = BATCH):
     """Of stretches of about most_words words: the sorted hashes of its frequent
     words, and four columns of indexes into them (from 1; 0: the suffix is over)
     for each suffix of two words or more."""
@@ -129,8 +172,7 @@ def suffixes(batches, seed: int, bits: bytes, most_words: int = 2_000_000):
 
     def made():
         h, ends = np.concatenate(held_h), np.concatenate(held_ends)
-        low = h & _U(2**FILTER_BITS - 1)
-        known = (table[low >> _U(3)] >> (low & _U(7)).astype(np.uint8)) & 1 == 1
+        known = has_bit(table, h)
         words, place = np.unique(h[known], return_inverse=True)
         at = np.zeros(len(h) + DEPTH, np.int32)
         at[:-DEPTH][known] = place + 1
@@ -145,8 +187,8 @@ def suffixes(batches, seed: int, bits: bytes, most_words: int = 2_000_000):
         use = columns[1] > 0
         return words, [c[use] for c in columns]
 
-    for b in slices(batches, 0):
-        _, _, _, h, ends, _ = words_of(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
+    for b in slices(batches, 0, SLICE):
+        _, _, _, h, ends, _, _ = words_of(b.column(0).to_pylist(), b.column(1).to_pylist(), seed)
         held_h.append(h)
         held_ends.append(ends)
         rows += len(h)
@@ -155,6 +197,8 @@ def suffixes(batches, seed: int, bits: bytes, most_words: int = 2_000_000):
             held_h, held_ends, rows = [], [], 0
     if rows:
         yield made()
+    held_h, held_ends = [], []
+    give_back()
 
 
 def distinct(columns: list[np.ndarray], n_words: int):
@@ -200,9 +244,10 @@ def level_counter(seed: int, bits, routes, bins: int):
     return count
 
 
-def router(seed: int, bits, routes, bins: int, last: int):
-    """Task function: suffixes by group, packed with the hashes of their words.
-    What no level holds within the budget goes by the whole suffix."""
+def router(seed: int, bits, routes, bins: int, last: int, width: int):
+    """Task function: suffixes by group, packed with the short hashes (width
+    bytes) of their words. What no level holds within the budget goes by the
+    whole suffix."""
 
     def deal(batches):
         import pyarrow as pa
@@ -233,15 +278,17 @@ def router(seed: int, bits, routes, bins: int, last: int):
                 renumber = np.cumsum(used) - 1
                 wide = renumber[-1] > 65_535
                 times = n[part]
-                out.append((int(code[part[0]]), words[used[1:]].tobytes(), renumber[ids].astype("<u4" if wide else "<u2").tobytes(), bool(wide), b"" if times.max() == 1 else times.astype("<i8").tobytes()))
-            names = ["code", "words", "ids", "wide", "times"]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+                short = (words[used[1:]] >> _U(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+                packed = renumber[ids].astype("<u4" if wide else "<u2").tobytes()
+                out.append((int(code[part[0]]), short, pa.compress(packed, "zstd", asbytes=True), bool(wide), b"" if times.max() == 1 else times.astype("<i8").tobytes(), len(part)))
+            names = ["code", "words", "ids", "wide", "times", "rows"]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     return deal
 
 
-def subtree_builder(least: int):
+def subtree_builder(least: int, width: int):
     """Group function: nodes of two words and more that are frequent. A node
     above the prefixes of its group has only a part of its leaves here and is
     kept whatever its count; the parts are added up afterwards."""
@@ -250,10 +297,15 @@ def subtree_builder(least: int):
         import pyarrow as pa
 
         level = table.column("code")[0].as_py() >> 40
-        own = [np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()]
+        own = []
+        for x in table.column("words").to_pylist():
+            whole = np.zeros((len(x) // width, 8), np.uint8)
+            whole[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
+            own.append(whole.view("<u8").ravel())
         words = np.unique(np.concatenate(own))
         ids, times = [], []
-        for w, packed, wide, t in zip(own, *[table.column(c).to_pylist() for c in ("ids", "wide", "times")], strict=True):
+        for w, packed, wide, t, n in zip(own, *[table.column(c).to_pylist() for c in ("ids", "wide", "times", "rows")], strict=True):
+            packed = pa.decompress(packed, n * DEPTH * (4 if wide else 2), "zstd", asbytes=True)
             place = np.concatenate(([0], np.searchsorted(words, w) + 1)).astype(np.int32)
             found = place[np.frombuffer(packed, "<u4" if wide else "<u2").reshape(DEPTH, -1)]
             ids.append(found)
@@ -273,7 +325,10 @@ def subtree_builder(least: int):
             go = keep[inverse]
             ids, times, node = ids[:, go], times[go], inverse[go]
         phrase = np.concatenate([x[0] for x in out], axis=1).view(np.int64)
-        return pa.table({**{f"w{i + 1}": phrase[i] for i in range(DEPTH)}, "n": np.concatenate([x[1] for x in out])})
+        found = pa.table({**{f"w{i + 1}": phrase[i] for i in range(DEPTH)}, "n": np.concatenate([x[1] for x in out])})
+        del own, ids, times, node, first, inverse, leaves
+        give_back()
+        return found
 
     return build
 
@@ -293,14 +348,31 @@ def key_of(words: list[Column]) -> Column:
     return words[0] if len(words) == 1 else F.xxhash64(*words)
 
 
-def phrase_counts(docs: DataFrame, least: int, budget: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Words (key, label, n; all of them) and nodes (w1 to w4, length, n) of two
-    to four words with at least `least` occurrences."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    counted = rows.mapInArrow(word_counter(seed), "key long, low string, high string, n long")
-    words = stage(counted.groupBy("key").agg(F.min("low").alias("label"), F.max("high").alias("high"), F.sum("n").alias("n")), "phrase-words")
-    if not words.filter("label <> high").isEmpty():
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+
+
+def short_width(words: DataFrame, frequent: DataFrame) -> int:
+    """Bytes of the hash that tell all words apart which pass the filter: the
+    fewest, as the words of the packed suffixes are most of what is sent."""
+    bit = F.col("key").bitwiseAND(2**FILTER_BITS - 1).alias("bit")
+    passing = stage(words.select("key", bit).join(frequent.select(bit).distinct(), "bit", "left_semi").select("key"), "phrase-passing")
+    n = passing.count()
+    for width in range(4, 8):
+        short = F.shiftrightunsigned("key", 64 - 8 * width).alias("short")
+        if passing.select(short).filter("short <> 0").distinct().count() == n:
+            return width
+    return 8
+
+
+def phrase_counts(docs: DataFrame, least: int, budget: int, seed: int):
+    """Words (lang, n and short: what their suffixes know them by; all words),
+    nodes (w1 to w4, length, n) of two to four words with at least `least`
+    occurrences, the filter of frequent words, and the shift of short hashes."""
+    spark, rows = docs.sparkSession, plain(docs)
+    counted = rows.mapInArrow(word_counter(seed), "key long, lang string, low long, high long, n long")
+    words = stage(counted.groupBy("key", "lang").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), "phrase-words")
+    if not words.filter("low <> high").isEmpty():
         raise Collision
     frequent = words.filter(F.col("n") >= least)
     most, total = budget // 2, frequent.agg(F.sum("n")).first()[0] or 0
@@ -314,12 +386,14 @@ def phrase_counts(docs: DataFrame, least: int, budget: int, seed: int) -> tuple[
         totals = rows.mapInArrow(counter, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
         found, above = packed_bins(totals, bins, most, 0)
         routes.append(found)
-    dealt = rows.mapInArrow(router(seed, bits, spark.sparkContext.broadcast(routes), bins, above // most + 1), "code long, words binary, ids binary, wide boolean, times binary")
-    parts = dealt.groupBy("code").applyInArrow(subtree_builder(least), "w1 long, w2 long, w3 long, w4 long, n long")
+    width = short_width(words, frequent)
+    words = words.select("lang", "n", F.shiftrightunsigned("key", 64 - 8 * width).alias("short"))
+    dealt = rows.mapInArrow(router(seed, bits, spark.sparkContext.broadcast(routes), bins, above // most + 1, width), "code long, words binary, ids binary, wide boolean, times binary, rows long")
+    parts = dealt.groupBy("code").applyInArrow(subtree_builder(least, width), "w1 long, w2 long, w3 long, w4 long, n long")
     names = [f"w{i + 1}" for i in range(DEPTH)]
     nodes = parts.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     length = sum((F.col(x) != 0).cast("int") for x in names)
-    return words, stage(nodes.withColumn("length", length), "phrase-nodes")
+    return words, stage(nodes.withColumn("length", length), "phrase-nodes"), bits, 64 - 8 * width
 
 
 def by_length(use) -> Column:
@@ -335,7 +409,7 @@ def scored(words: DataFrame, nodes: DataFrame, least: int, cover: int) -> DataFr
     that lie in a longer one which has cover percent of their occurrences."""
     w = [F.col(f"w{i + 1}") for i in range(DEPTH)]
     nodes = stage(nodes.withColumn("key", by_length(lambda d: F.xxhash64(*w[:d]))), "phrase-keys")
-    counts = words.filter(F.col("n") >= least).select("key", F.col("n").alias("part_n")).unionByName(nodes.select("key", F.col("n").alias("part_n")))
+    counts = words.filter(F.col("n") >= least).select(F.col("short").alias("key"), F.col("n").alias("part_n")).unionByName(nodes.select("key", F.col("n").alias("part_n")))
     if not counts.groupBy("key").count().filter("count > 1").isEmpty():
         raise Collision
     inner = by_length(lambda d: F.array(*[F.xxhash64(*w[i : i + k]) for k in range(2, d) for i in range(d - k + 1)]) if d > 2 else F.array().cast("array<bigint>"))
@@ -361,17 +435,21 @@ def collocations(docs: DataFrame, least: int = 30, most: int = 2000, cover: int
     one task builds its subtrees from."""
     for attempt in range(tries):
         try:
-            words, nodes = phrase_counts(docs, least, budget, seed + attempt)
+            words, nodes, bits, shift = phrase_counts(docs, least, budget, seed + attempt)
             found = stage(scored(words, nodes, least, cover), "phrase-scores")
         except Collision:
             continue
-        lang, word = F.regexp_extract("label", r"(?s)^(.*)\t", 1), F.substring_index("label", "\t", -1)
-        named = stage(words.filter(F.col("n") >= least).select("key", lang.alias("lang"), word.alias("word")), "phrase-labels")
-        per_lang = words.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n"))
-        first = named.select(F.col("key").alias("w1"), "lang", F.col("word").alias("t1"))
+        per_lang = words.groupBy("lang").agg(F.sum("n").alias("n"))
+        first = words.filter(F.col("n") >= least).select(F.col("short").alias("w1"), "lang")
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
         top = stage(found.join(first, "w1").withColumn("place", F.rank().over(order)).filter(F.col("place") <= most), "phrase-top")
-        for i in range(2, DEPTH + 1):
+        needed = top.select(F.explode(F.array(*[f"w{i + 1}" for i in range(DEPTH)])).alias("key")).filter("key <> 0").distinct()
+        needed = docs.sparkSession.sparkContext.broadcast(frequent_filter(needed))
+        named = plain(docs).mapInArrow(word_reader(seed + attempt, bits, needed, shift), "key long, word string").groupBy("key").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+        named = stage(named, "phrase-words-read")
+        if not named.filter("word <> other").isEmpty():
+            continue
+        for i in range(1, DEPTH + 1):
             top = top.join(named.select(F.col("key").alias(f"w{i}"), F.col("word").alias(f"t{i}")), f"w{i}", "left")
         top = top.withColumn("phrase", F.concat_ws(" ", *[f"t{i + 1}" for i in range(DEPTH)]))
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.sources.shared import broadcast_if_small, shared_dir
 from evidentia.sources.shared import cut as checkpoint
 
-__all__ = ["broadcast_if_small", "checkpoint", "chunks", "mix64", "shared_dir", "shingle_sets", "slices", "stage", "table", "word_hashes"]
+__all__ = ["broadcast_if_small", "checkpoint", "chunks", "give_back", "mix64", "shared_dir", "shingle_sets", "slices", "stage", "table", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task that made large
+    arrays; else a worker keeps the most that any of its tasks has used."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --------------------------------------------------------------------- hashes
 _U = np.uint64
 
