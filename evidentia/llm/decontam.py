@@ -32,8 +32,14 @@ NUMBERS = [
 ]
 
 
+#: Punctuation, but for a point or comma inside a number and a sign before one.
+PUNCTUATION = r"(?:(?!(?<=\p{N})[.,](?=\p{N})|(?<![\p{L}\p{N}])-(?=\p{N}))[^\p{L}\p{N}\s])+"
+
+
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")
+    """Without punctuation; points and commas inside numbers and a sign before
+    one stay."""
+    return F.regexp_replace(text, PUNCTUATION, "")
 
 
 def _split(text: Column) -> Column:
@@ -51,30 +57,46 @@ def with_templates(df: DataFrame, text: str = "t") -> DataFrame:
     """Adds tw, the template, and cw, the template whose names are words: arrays
     of words in lower case, of equal length. Digits and units after them are
     typed in the text, number words and units after those word by word."""
-    digits = F.regexp_replace(_bare(F.col(text)), r"\p{N}+", NUMBER)
-    digits = F.regexp_replace(digits, rf"(?i)({NUMBER}\s*)(?:{'|'.join(UNITS)})(?!\S)", f"$1{UNIT}")
+    digits = F.regexp_replace(_bare(F.col(text)), r"-?\p{N}+(?:[.,]\p{N}+)*", NUMBER)
+    digits = F.regexp_replace(digits, rf"{NUMBER}(\s*)(?i:{'|'.join(UNITS)})(?!\S)", f"{NUMBER}$1{UNIT}")
     rows = df.withColumn("__typed", digits).withColumn("__words", _split(F.lower("__typed")))
     rows = rows.withColumn("__named", _split(F.lower(F.regexp_replace("__typed", r"\p{Lu}(?<!\S.)\p{Ll}\p{L}*", NAME))))
 
     def typed(w: Column, i: Column) -> Column:
         unit = w.isin(*UNITS) & F.coalesce(F.get("__words", i - 1).isin(*NUMBERS), F.lit(False))
-        return F.when(w.isin(*NUMBERS), NUMBER).when(unit, UNIT)
+        return F.when(w.isin(*NUMBERS, *UNITS), F.when(w.isin(*NUMBERS), NUMBER).when(unit, UNIT).otherwise(w)).otherwise(w)
 
-    rows = rows.withColumn("__kinds", F.transform("__words", typed))
-    pick = lambda column: F.zip_with("__kinds", column, lambda k, w: F.coalesce(k, w))
-    return rows.withColumns({"tw": pick("__named"), "cw": pick("__words")}).drop("__typed", "__words", "__named", "__kinds")
+    rows = rows.withColumn("cw", F.transform("__words", typed))
+    either = F.zip_with("__named", "cw", lambda n, c: F.when((c == NUMBER) | (c == UNIT), c).otherwise(n))
+    return rows.withColumn("tw", either).drop("__typed", "__words", "__named")
 
 
 def _windows(tokens: Column, sizes: list[int]) -> Column:
-    """Array of (h, at, w): the hash of each window of each size."""
+    """Array of (h, at, w): the hash of each window of each size. Words are
+    hashed once, windows from the words' hashes."""
     none = F.array().cast("array<struct<h:bigint,at:int,w:int>>")
 
-    def of(w: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(tokens) - (w - 1)), lambda i: F.struct(F.xxhash64(F.slice(tokens, i, w)).alias("h"), i.alias("at"), F.lit(w).alias("w")))
-        return F.when(F.size(tokens) >= w, found).otherwise(none)
+    def of(hashes: Column, w: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(hashes) - (w - 1)), lambda i: F.struct(F.xxhash64(F.slice(hashes, i, w)).alias("h"), i.alias("at"), F.lit(w).alias("w")))
+        return F.when(F.size(hashes) >= w, found).otherwise(none)
+
+    def each(hashes: Column) -> Column:
+        found = [of(hashes, w) for w in sizes]
+        return F.concat(*found) if len(found) > 1 else found[0]
+
+    return bound(F.transform(tokens, lambda t: F.xxhash64(t)), each)
+
 
-    each = [of(w) for w in sizes]
-    return F.concat(*each) if len(each) > 1 else each[0]
+def _slots(template: Column, plain: Column, at: Column, w: Column) -> Column:
+    """Array of (slot, value) of the slots in a window, slots counted from 0."""
+    each = F.transform(F.sequence(F.lit(0), w - 1), lambda k: F.struct(F.element_at(template, at + k).rlike(f"[{NAME}-{UNIT}]").alias("is_slot"), k.alias("slot"), F.element_at(plain, at + k).alias("value")))
+    return F.transform(F.filter(each, lambda y: y["is_slot"]), lambda y: F.struct(y["slot"].alias("slot"), y["value"].alias("value")))
+
+
+def _shared_slots(slots: Column, w: Column) -> Column:
+    """The first slots of a window, one more than may differ: in windows that can
+    match, one of them has the same value."""
+    return F.slice(slots, 1, F.floor(w / 2).cast("int") + 1)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, cover: float = 0.5, broadcast_rows: int = 1_000_000, by_text: bool = False) -> DataFrame:
@@ -95,24 +117,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     give one row; texts are used whole. Extra columns are ignored, whatever
     their names. Either table empty gives an empty table.
 
-    Windows of the documents are exploded and joined to those of the benchmark,
-    which are broadcast if they are counted to be few and else shuffled; the
-    texts of documents with hits are then read again."""
+    Windows of the documents are exploded and looked up among the hashes of
+    those of the benchmark, which are broadcast if they are counted to be few and
+    else shuffled; so a document's window gives one row at most. Windows in which
+    more than half of the words are slots share a template with any others, a
+    table of numbers with all of a numeric item: of those, only pairs are joined
+    that have the same value in one of their first slots (of one slot more than
+    may differ), which loses none that can count. The texts of documents with
+    hits are read again for their values. What is gathered for a stretch is at
+    most two hits for each window of the item."""
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_col, item_text_col).alias("ih"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))
     items = checkpoint(with_templates(items).select("item", "ih", "tw", "cw", plain_words(F.col("t")).alias("pw")).filter(F.size("tw") > 0).dropDuplicates(["ih"]))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("tw"), F.lit(window)).alias("w")).distinct().collect()) or [window]  # at most `window` numbers
-    keys = items.select("item", "ih", F.size("tw").alias("item_words"), F.explode(F.array_distinct(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes)))).alias("x")).filter(F.col("x.w") == F.least(F.col("item_words"), F.lit(window)))
-    keys = checkpoint(keys.select(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "item", "ih", F.col("x.at").alias("item_at"), "item_words"))
-    ident = F.col(id_col)
-    source = docs.select(ident.alias("i"), F.xxhash64(text_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    keys = items.select("item", "ih", "tw", "pw", F.size("tw").alias("item_words"), F.explode(F.array_distinct(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes)))).alias("x")).filter(F.col("x.w") == F.least(F.col("item_words"), F.lit(window)))
+    keys = keys.select(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "item", "ih", F.col("x.at").alias("item_at"), "item_words", _slots(F.col("tw"), F.col("pw"), F.col("x.at"), F.col("x.w")).alias("slots"))
+    # Of a window whose names are words only the others are slots.
+    keys = checkpoint(keys.withColumn("heavy", F.size("slots") * 2 > F.col("w")))
+    known = checkpoint(keys.groupBy("h", "w").agg(F.bool_or("heavy").alias("any_heavy"), F.bool_and("heavy").alias("all_heavy")))
+    source = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     exploded = with_templates(source).select("i", "d", F.explode(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes))).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
-    hits = exploded.join(broadcast_if_small(keys, broadcast_rows), ["h", "w"]).select("i", "d", "item", "ih", "at", "item_at", "w", "item_words").distinct()
+    found = stage(exploded.join(broadcast_if_small(known, broadcast_rows), ["h", "w"]), "windows")
+    held = checkpoint(found.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct())
+    again = source.join(broadcast_if_small(held, broadcast_rows), F.col("i").eqNullSafe(F.col("hi")) & (F.col("d") == F.col("hd")), "left_semi").dropDuplicates(["i", "d"])
+    again = stage(with_templates(again).select("i", "d", F.col("tw").alias("dt"), plain_words(F.col("t")).alias("dp")), "held")
+    texts = again.withColumnsRenamed({"i": "i2", "d": "d2"})
+    same_text = F.col("i").eqNullSafe(F.col("i2")) & (F.col("d") == F.col("d2"))
+    hit = ["i", "d", "item", "ih", "at", "item_at", "w", "item_words"]
+    light = found.filter("not all_heavy").join(broadcast_if_small(keys.filter("not heavy").drop("slots", "heavy"), broadcast_rows), ["h", "w"]).select(*hit)
+    slots = found.filter("any_heavy").join(texts, same_text).select("i", "d", "h", "at", "w", F.explode(_shared_slots(_slots(F.col("dt"), F.col("dp"), F.col("at"), F.col("w")), F.col("w"))).alias("x")).select("i", "d", "h", "at", "w", "x.*")
+    heavy = keys.filter("heavy").select("h", "w", "item", "ih", "item_at", "item_words", F.explode(_shared_slots(F.col("slots"), F.col("w"))).alias("x")).select("h", "w", "item", "ih", "item_at", "item_words", "x.*")
+    heavy = slots.join(broadcast_if_small(checkpoint(heavy), broadcast_rows), ["h", "w", "slot", "value"]).select(*hit)
+    hits = light.unionByName(heavy).distinct()
     stretch = (F.col("at") - F.col("item_at")).alias("stretch")
     hits = checkpoint(hits.groupBy("i", "d", "item", "ih", stretch).agg(F.min("item_words").alias("item_words"), F.collect_list(F.struct("at", "item_at", "w")).alias("hits")))
-    held = checkpoint(hits.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct())
-    again = source.join(broadcast_if_small(held, broadcast_rows), F.col("i").eqNullSafe(F.col("hi")) & (F.col("d") == F.col("hd")), "left_semi").dropDuplicates(["i", "d"])
-    again = with_templates(again).select("i", "d", F.col("tw").alias("dt"), plain_words(F.col("t")).alias("dp"))
-    both = hits.join(again.withColumnsRenamed({"i": "i2", "d": "d2"}), F.col("i").eqNullSafe(F.col("i2")) & (F.col("d") == F.col("d2"))).join(items.select("ih", "pw"), "ih")
+    both = hits.join(texts, same_text).join(items.select("ih", "pw"), "ih")
 
     def pairs(x: Column) -> Column:
         """(place, value in the item, value in the document) of a hit's slots."""
