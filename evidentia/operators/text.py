@@ -210,39 +210,6 @@ def pipe_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.filter("rn > 1").select(id_col, "line_no", "headers", "cells")
 
 
-def front_matter(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, field, value of `field: value` lines between leading --- lines."""
-    head = F.regexp_extract(F.col(text_col), r"(?s)\A---\n(.*?)\n---", 1)
-    rows = df.select(id_col, F.explode(F.split(head, "\n")).alias("line")).filter(F.col("line").rlike(r"^[A-Za-z_]+:"))
-    value = F.trim(F.regexp_extract("line", r"^[A-Za-z_]+:(.*)$", 1))
-    values = F.when(value.rlike(r"^\[.*\]$"), F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda v: F.trim(v))).otherwise(F.array(value))
-    return rows.select(id_col, F.regexp_extract("line", r"^([A-Za-z_]+):", 1).alias("field"), F.posexplode(values).alias("ord", "value"))
-
-
-def html_text(html: Column) -> Column:
-    """Text of HTML by a chain of replacements: comments, script, style and nav
-    removed, block ends as line feeds, cells as tabs, tags removed, the five
-    named references decoded, blanks squeezed."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "nav", "footer"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    t = F.regexp_replace(t, r"(?i)</t[dh]>", "\t")
-    t = F.regexp_replace(t, r"(?i)<br */?>|</(p|h[1-6]|div|li|ul|tr|title)>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ ]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(t, r"\n+", "\n"))
-
-
-def html_links(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, ord, href, label of links, the first of each href."""
-    pattern = r'<a href="([^"]*)">([^<]*)</a>'
-    pairs = F.arrays_zip(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(2)).alias("label"))
-    rows = df.select(id_col, F.posexplode(pairs).alias("ord", "x")).select(id_col, (F.col("ord") + 1).alias("ord"), "x.href", "x.label")
-    return rows.groupBy(id_col, "href").agg(F.min("ord").alias("ord"), F.min_by("label", "ord").alias("label"))
-
-
 def doc_meta(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """id, title, number, edition: from the page title; ? without an edition."""
     title = F.regexp_extract(F.col(html_col), r"<title>([^<]*)</title>", 1)

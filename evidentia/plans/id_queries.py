@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from evidentia.functions import checks as C
 from evidentia.functions import text as T
 from evidentia.functions.words import check_amount_words, spell_number
+from evidentia.operators import html as H
 from evidentia.operators import ids as I
 from evidentia.operators import rates as R
-from evidentia.operators import text as X
 from evidentia.sources import files
 from evidentia.sources.shared import shared_dir
 from evidentia.sources.tables import table
@@ -188,9 +188,11 @@ def s07_statement(spark, d):
 
 @q("""select doc_id, field, cast(ord as int) as ord, value from (select doc_id, 'lang' as field, 0 as ord, lang as value from documents where doc_id % 3 <> 0 union all select doc_id, 'tags', 0, source from documents where doc_id % 3 <> 0 union all select doc_id, 'tags', 1, cast(n_chars as varchar) from documents where doc_id % 3 <> 0)""")
 def s10_front_matter(spark, d):
-    head = F.concat(F.lit("---\nlang: "), "lang", F.lit("\ntags: ["), "source", F.lit(", "), F.col("n_chars").cast("string"), F.lit("]\n---\n"))
+    block = F.concat(F.lit("\ntags:\n  - \""), "source", F.lit("\"\n  - "), F.col("n_chars").cast("string"), F.lit("\n---\n"))
+    inline = F.concat(F.lit("\ntags: ["), "source", F.lit(", '"), F.col("n_chars").cast("string"), F.lit("']\n---\n"))
+    head = F.concat(F.lit("---\nlang: '"), "lang", F.lit("'"), F.when(F.col("doc_id") % 2 == 0, block).otherwise(inline))
     x = table(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "").otherwise(head), "text").alias("text"))
-    return X.front_matter(x, "doc_id", "text").select("doc_id", "field", F.col("ord").cast("int").alias("ord"), F.nullif("value", F.lit("")).alias("value"))
+    return H.front_matter(x, "doc_id", "text").select("doc_id", "field", F.col("ord").cast("int").alias("ord"), F.nullif("value", F.lit("")).alias("value"))
 
 
 @q("select lang, count(*) as n_files from (select distinct lang from documents) group by 1")

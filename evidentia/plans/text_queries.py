@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import checks as C
 from evidentia.functions import text as T
+from evidentia.operators import html as H
 from evidentia.operators import text as X
 from evidentia.sources.tables import table
 
@@ -287,27 +288,38 @@ def s11_pipe_tables(spark, d):
     return rows.select("doc_id", "line_no", F.array_join("headers", "|").alias("headers"), F.array_join("cells", "|").alias("cells"))
 
 
-def _html_sql(x: str) -> str:
-    x = f"regexp_replace({x}, '<!--.*?-->', '', 'gs')"
-    for tag in ("script", "style", "nav", "footer"):
-        x = f"regexp_replace({x}, '<{tag}\\b.*?</{tag}>', '', 'gis')"
-    x = f"regexp_replace({x}, '</t[dh]>', chr(9), 'gi')"
-    x = f"regexp_replace({x}, '<br */?>|</(p|h[1-6]|div|li|ul|tr|title)>', chr(10), 'gi')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'gs')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
-    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '[ ]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g'), ' ')"
+#: Tokens of pages whose boilerplate elements nest properly, as those supplied do; depth counts open ones.
+_RAW = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style|template|noscript|textarea|title)\\b[^>]*>.*?</(script|style|template|noscript|textarea|title)>', '', 'gis')"
+_PAGE_TEXT = f"""with t as (select page_id, unnest(x) as x, unnest(range(len(x))) as i from (select page_id, regexp_extract_all({_RAW}, '<[^>]*>|[^<]+') as x from pages)),
+n as (select *, lower(regexp_extract(x, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) as name, starts_with(x, '</') as close from t),
+s as (select *, sum(case when name in ({", ".join(repr(x) for x in H.SKIPPED)}) then case when close then -1 else 1 end else 0 end) over (partition by page_id order by i) as depth from n),
+o as (select page_id, i, case when depth > 0 then '' when starts_with(x, '<') then case when name in ('td', 'th') then case when close then chr(9) else '' end when name in ({", ".join(repr(x) for x in [*H.SKIPPED, *H.BLOCKS, "br"])}) then chr(10) else '' end
+  else regexp_replace(x, '[\n\r\t\f ]+', ' ', 'g') end as piece from s),
+j as (select page_id, string_agg(piece, '' order by i) as text from o group by page_id)
+select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' +', ' ', 'g'), ' ?\t[ \t]*(\n|$)', '\\1', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from j"""
 
 
-@q(f"select page_id, {_html_sql('html')} as text from pages")
+@q(_PAGE_TEXT)
 def s08_html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+    return table(spark, d, "pages").select("page_id", H.html_text(F.col("html")).alias("text"))
 
 
-@q("""select page_id, href, cast(min(ord) as int) as ord, min_by(label, ord) as label from (select page_id, unnest(h) as href, unnest(l) as label, unnest(range(1, len(h) + 1)) as ord
-from (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as l from pages)) group by page_id, href""")
+_LINKS = """select page_id, href, cast(min(ord) as int) as ord, min_by(label, ord) as label from (select page_id, unnest(h) as href, unnest(l) as label, unnest(range(1, len(h) + 1)) as ord
+from (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as l from pages)) group by page_id, href"""
+
+
+@q(_LINKS)
 def s09_html_links(spark, d):
-    return X.html_links(table(spark, d, "pages"), "page_id", "html")
+    return H.html_links(table(spark, d, "pages"), "page_id", "html")
+
+
+@q(_LINKS)
+def s09_anchor_forms(spark, d):
+    """The same links, their anchors written in other ways: a class first, single
+    quotes, tags inside, no quotes and capitals with rel after."""
+    form = F.element_at(F.array(*[F.lit(x) for x in ("<a class=\"x > y\" data-href=no href=\"$1\">$2</a>", "<a\n href = '$1' rel=nofollow>$2</a >", "<A HREF=\"$1\"><b>$2</b><!-- x --></A>", "<a id=a1 href=$1 rel='next'> $2\n</a>")]), (F.col("page_id") % 4 + 1).cast("int"))
+    html = F.regexp_replace(F.col("html"), F.lit('<a href="([^"]*)">([^<]*)</a>'), form)
+    return H.html_links(table(spark, d, "pages").select("page_id", html.alias("html")), "page_id", "html")
 
 
 @q("""with t as (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from evidentia.functions import checks as C
 from evidentia.functions import text as X
 from evidentia.operators import graph as G
+from evidentia.operators import html as H
 from evidentia.operators import ledger as L
 from evidentia.operators import pii as P
 from evidentia.operators import rates as R
@@ -186,7 +187,7 @@ def test_tables_and_front_matter(spark):
     text = "intro\n| a | b |\n|---|---|\n| 1 | 2 |\n\n| c |\n| 3 |"
     got = O.pipe_tables(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").orderBy("line_no").collect()
     assert [(r.headers, r.cells) for r in got] == [(["a", "b"], ["1", "2"]), (["c"], ["3"])]
-    meta = O.front_matter(spark.createDataFrame([(1, "---\ntitle: T x\ntags: [a, b]\n---\nbody: no")], "id long, t string"), "id", "t").collect()
+    meta = H.front_matter(spark.createDataFrame([(1, "---\ntitle: T x\ntags: [a, b]\n---\nbody: no")], "id long, t string"), "id", "t").collect()
     assert [(r.field, r.value) for r in meta] == [("title", "T x"), ("tags", "a"), ("tags", "b")]
 
 
