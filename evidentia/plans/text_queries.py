@@ -296,7 +296,7 @@ s as (select *, sum(case when name in ({", ".join(repr(x) for x in H.SKIPPED)})
 o as (select page_id, i, case when depth > 0 then '' when starts_with(x, '<') then case when name in ('td', 'th') then case when close then chr(9) else '' end when name in ({", ".join(repr(x) for x in [*H.SKIPPED, *H.BLOCKS, "br"])}) then chr(10) else '' end
   else regexp_replace(x, '[\n\r\t\f ]+', ' ', 'g') end as piece from s),
 j as (select page_id, string_agg(piece, '' order by i) as text from o group by page_id)
-select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' +', ' ', 'g'), ' ?\t[ \t]*(\n|$)', '\\1', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from j"""
+select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), ' +', ' ', 'g'), ' ?\\t ?', chr(9), 'g'), ' ?\\t[ \\t]*(\\n|$)', '\\1', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10) || chr(9)) as text from j"""
 
 
 @q(_PAGE_TEXT)
