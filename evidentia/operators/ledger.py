@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.sources.shared import cut
+
 COUNTERS = ("tokens_in", "tokens_out", "cache_write", "cache_read")
 
 
@@ -216,19 +218,32 @@ def assignment_state(log: DataFrame, key: str, opened: Column, closed: Column, t
 
 def roots(edges: DataFrame, child: str, parent: str, depth: int = 20) -> DataFrame:
     """child, root: the top of each child's chain of parents, by doubling, so a
-    chain of 2 ** r takes r joins. root is NULL where no top is reached: on a
-    cycle, or on a chain longer than depth."""
-    up = edges.select(F.col(child).alias("n"), F.col(parent).alias("r"))
+    chain of 2 ** r takes r joins. Each round is checkpointed and reads the last
+    one's table alone. root is NULL where no top is reached: on a cycle, or on a
+    chain longer than depth."""
+    up = cut(edges.select(F.col(child).alias("n"), F.col(parent).alias("r")))
+    has_parent = up.select(F.col("n").alias("m")).distinct().withColumn("below", F.lit(True))
     steps = 1
     while steps < depth:
         nxt = up.select(F.col("n").alias("m"), F.col("r").alias("r2"))
-        up = up.join(nxt, up["r"] == nxt["m"], "left").select("n", F.coalesce("r2", "r").alias("r"))
+        up = cut(up.join(nxt, up["r"] == nxt["m"], "left").select("n", F.coalesce("r2", "r").alias("r")))
         steps *= 2
-    has_parent = edges.select(F.col(child).alias("m")).distinct().withColumn("below", F.lit(True))
     up = up.join(has_parent, up["r"] == has_parent["m"], "left")
     return up.select(F.col("n").alias(child), F.when(F.col("below").isNull(), F.col("r")).alias("root"))
 
 
+def latest_family(nodes: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
+    """grp, root, id: the newest root of each group and all that descend from it.
+    nodes: id, grp, ts; edges: child, parent. A node without a parent is a root
+    and a member of its own family; equal times go to the greater id; a node on a
+    cycle belongs to no family."""
+    found = roots(edges, "child", "parent", depth).select(F.col("child").alias("id"), "root")
+    tops = nodes.join(edges.select(F.col("child").alias("id")), "id", "left_anti")
+    newest = tops.groupBy("grp").agg(F.max(F.struct("ts", "id")).alias("x")).select("grp", F.col("x.id").alias("root"))
+    family = found.filter("root is not null").union(tops.select("id", F.col("id").alias("root"))).distinct()
+    return family.join(newest, "root").select("grp", "root", "id")
+
+
 def fingerprint(df: DataFrame, parts: list[str]) -> DataFrame:
     """rows, print: independent of order, and no list of rows is gathered: two
     hashes of each row are summed as decimals."""
