@@ -33,7 +33,7 @@ NUMBERS = [
 
 
 #: Punctuation, but for a point or comma inside a number and a sign before one.
-PUNCTUATION = r"(?:(?!(?<=\p{N})[.,](?=\p{N})|(?<![\p{L}\p{N}])-(?=\p{N}))[^\p{L}\p{N}\s])+"
+PUNCTUATION = r"[^\p{L}\p{N}\s](?<!\p{N}[.,](?=\p{N}))(?<![^\p{L}\p{N}]-(?=\p{N}))(?<!^-(?=\p{N}))"
 
 
 def _bare(text: Column) -> Column:
@@ -53,38 +53,60 @@ def plain_words(text: Column) -> Column:
     return _split(F.lower(_bare(text)))
 
 
-def with_templates(df: DataFrame, text: str = "t") -> DataFrame:
+def with_templates(df: DataFrame, text: str = "t", hashed: bool = False) -> DataFrame:
     """Adds tw, the template, and cw, the template whose names are words: arrays
     of words in lower case, of equal length. Digits and units after them are
-    typed in the text, number words and units after those word by word."""
+    typed in the text, number words and units after those word by word. With
+    hashed the words are given by their hashes."""
+    out = (lambda x: F.xxhash64(x)) if hashed else (lambda x: x)
     digits = F.regexp_replace(_bare(F.col(text)), r"-?\p{N}+(?:[.,]\p{N}+)*", NUMBER)
     digits = F.regexp_replace(digits, rf"{NUMBER}(\s*)(?i:{'|'.join(UNITS)})(?!\S)", f"{NUMBER}$1{UNIT}")
-    rows = df.withColumn("__typed", digits).withColumn("__words", _split(F.lower("__typed")))
-    rows = rows.withColumn("__named", _split(F.lower(F.regexp_replace("__typed", r"\p{Lu}(?<!\S.)\p{Ll}\p{L}*", NAME))))
+    # Names are marked and keep their letters, so one split gives both templates.
+    marked = F.regexp_replace(digits, r"\p{Lu}(?<!\S.)\p{Ll}\p{L}*", f"{NAME}$0")
+    rows = df.withColumn("__words", _split(F.lower(marked)))
+    numbers = [*NUMBERS, *[NAME + x for x in NUMBERS]]
 
     def typed(w: Column, i: Column) -> Column:
-        unit = w.isin(*UNITS) & F.coalesce(F.get("__words", i - 1).isin(*NUMBERS), F.lit(False))
-        return F.when(w.isin(*NUMBERS, *UNITS), F.when(w.isin(*NUMBERS), NUMBER).when(unit, UNIT).otherwise(w)).otherwise(w)
+        unit = w.isin(*UNITS) & F.coalesce(F.get("__words", i - 1).isin(*numbers), F.lit(False))
+        word = F.when(w.startswith(NAME), F.substring(w, 2, 2**31 - 1)).otherwise(w)
+        return out(F.when(w.isin(*numbers, *UNITS), F.when(w.isin(*numbers), NUMBER).when(unit, UNIT).otherwise(word)).otherwise(word))
 
     rows = rows.withColumn("cw", F.transform("__words", typed))
-    either = F.zip_with("__named", "cw", lambda n, c: F.when((c == NUMBER) | (c == UNIT), c).otherwise(n))
-    return rows.withColumn("tw", either).drop("__typed", "__words", "__named")
+    named = F.zip_with("__words", "cw", lambda w, c: F.when(w.startswith(NAME) & (c != out(F.lit(NUMBER))), out(F.lit(NAME))).otherwise(c))
+    return rows.withColumn("tw", named).drop("__words")
 
 
-def _windows(tokens: Column, sizes: list[int]) -> Column:
-    """Array of (h, at, w): the hash of each window of each size. Words are
-    hashed once, windows from the words' hashes."""
-    none = F.array().cast("array<struct<h:bigint,at:int,w:int>>")
+def _windows(hashes: Column, sizes: list[int]) -> Column:
+    """Array of (w, hs): the hashes of the windows of each size, in order, from
+    the hashes of the words. They
+    are made by doubling: of two neighbours, of two pairs, of two fours."""
 
-    def of(hashes: Column, w: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(hashes) - (w - 1)), lambda i: F.struct(F.xxhash64(F.slice(hashes, i, w)).alias("h"), i.alias("at"), F.lit(w).alias("w")))
-        return F.when(F.size(hashes) >= w, found).otherwise(none)
+    def joined(a: Column, b: Column, k: int) -> Column:
+        """Hashes of a[i] and b[i + k]; the last k mean nothing."""
+        return F.zip_with(a, F.slice(b, k + 1, F.greatest(F.size(b) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
-    def each(hashes: Column) -> Column:
-        found = [of(hashes, w) for w in sizes]
-        return F.concat(*found) if len(found) > 1 else found[0]
+    def of(levels: dict[int, Column], w: int) -> Column:
+        out, done = None, 0
+        for power in sorted(levels, reverse=True):
+            if w & power:
+                out = levels[power] if out is None else joined(out, levels[power], done)
+                done += power
+        n = F.size(levels[1])
+        return F.when(n >= w, F.slice(out, 1, n - (w - 1))).otherwise(F.array().cast("array<bigint>"))
 
-    return bound(F.transform(tokens, lambda t: F.xxhash64(t)), each)
+    def build(levels: dict[int, Column]) -> Column:
+        top = max(levels)
+        if 2 * top > max(sizes):
+            return F.array(*[F.struct(F.lit(w).alias("w"), of(levels, w).alias("hs")) for w in sizes])
+        return bound(joined(levels[top], levels[top], top), lambda x: build(levels | {2 * top: x}))
+
+    return bound(hashes, lambda x: build({1: x}))
+
+
+def _exploded(df: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """keep, h, w, at (from 1): a row for each window of tw and cw (hashes)."""
+    rows = df.select(*keep, F.inline(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes))))
+    return rows.select(*keep, "w", F.posexplode("hs").alias("at", "h")).withColumn("at", F.col("at") + 1)
 
 
 def _slots(template: Column, plain: Column, at: Column, w: Column) -> Column:
@@ -129,14 +151,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item"), F.xxhash64(item_col, item_text_col).alias("ih"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t"))
     items = checkpoint(with_templates(items).select("item", "ih", "tw", "cw", plain_words(F.col("t")).alias("pw")).filter(F.size("tw") > 0).dropDuplicates(["ih"]))
     sizes = sorted(r[0] for r in items.select(F.least(F.size("tw"), F.lit(window)).alias("w")).distinct().collect()) or [window]  # at most `window` numbers
-    keys = items.select("item", "ih", "tw", "pw", F.size("tw").alias("item_words"), F.explode(F.array_distinct(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes)))).alias("x")).filter(F.col("x.w") == F.least(F.col("item_words"), F.lit(window)))
-    keys = keys.select(F.col("x.h").alias("h"), F.col("x.w").alias("w"), "item", "ih", F.col("x.at").alias("item_at"), "item_words", _slots(F.col("tw"), F.col("pw"), F.col("x.at"), F.col("x.w")).alias("slots"))
+    word = lambda t: F.xxhash64(t)
+    keys = items.select("item", "ih", F.col("tw").alias("named"), "pw", F.size("tw").alias("item_words"), F.transform("tw", word).alias("tw"), F.transform("cw", word).alias("cw"))
+    keys = _exploded(keys, sizes, "item", "ih", "named", "pw", "item_words").filter(F.col("w") == F.least(F.col("item_words"), F.lit(window))).dropDuplicates(["ih", "h", "at", "w"])
+    keys = keys.select("h", "w", "item", "ih", F.col("at").alias("item_at"), "item_words", _slots(F.col("named"), F.col("pw"), F.col("at"), F.col("w")).alias("slots"))
     # Of a window whose names are words only the others are slots.
     keys = checkpoint(keys.withColumn("heavy", F.size("slots") * 2 > F.col("w")))
     known = checkpoint(keys.groupBy("h", "w").agg(F.bool_or("heavy").alias("any_heavy"), F.bool_and("heavy").alias("all_heavy")))
     source = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    exploded = with_templates(source).select("i", "d", F.explode(F.concat(_windows(F.col("cw"), sizes), _windows(F.col("tw"), sizes))).alias("x")).select("i", "d", F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.w").alias("w"))
-    found = stage(exploded.join(broadcast_if_small(known, broadcast_rows), ["h", "w"]), "windows")
+    found = stage(_exploded(with_templates(source, hashed=True), sizes, "i", "d").join(broadcast_if_small(known, broadcast_rows), ["h", "w"]), "windows")
     held = checkpoint(found.select(F.col("i").alias("hi"), F.col("d").alias("hd")).distinct())
     again = source.join(broadcast_if_small(held, broadcast_rows), F.col("i").eqNullSafe(F.col("hi")) & (F.col("d") == F.col("hd")), "left_semi").dropDuplicates(["i", "d"])
     again = stage(with_templates(again).select("i", "d", F.col("tw").alias("dt"), plain_words(F.col("t")).alias("dp")), "held")
