@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left
+from collections import Counter
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 
 def crosscheck(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Bags (keys, n) compared: only_a, only_b, common counts of each key."""
@@ -116,6 +123,78 @@ def paragraph_diff(before: DataFrame, after: DataFrame, id_col: str, text_col: s
     return every.groupBy(id_col, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+DIFF = "pos int, status string, before string, after string"
+
+
+def _patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of kept paragraphs, rising in both: those that stand once in each
+    text, by the longest rising run of their places, then the same between two of
+    them; equal heads and tails of what is left over."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        once_a, once_b = Counter(a[i:n]), Counter(b[j:m])
+        place = {x: k for k, x in enumerate(b[j:m], j)}
+        pairs = [(k, place[x]) for k, x in enumerate(a[i:n], i) if once_a[x] == 1 and once_b.get(x) == 1]
+        ends, last, back = [], [], []
+        for k, (_, y) in enumerate(pairs):
+            at = bisect_left(ends, y)
+            ends[at:], last[at:] = [y, *ends[at + 1 :]], [k, *last[at + 1 :]]
+            back.append(last[at - 1] if at else None)
+        k, run = (last[-1] if last else None), []
+        while k is not None:
+            run.append(pairs[k])
+            k = back[k]
+        if run:
+            low_i, low_j = i, j
+            for x, y in [*reversed(run), (n, m)]:
+                todo.append((low_i, x, low_j, y))
+                low_i, low_j = x + 1, y + 1
+            out += run
+    return sorted(out)
+
+
+def sequence_diff(before: DataFrame, after: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pos, status, before, after: paragraphs kept, rewritten, removed and
+    added, in order. A paragraph that moved is removed in one place and added in
+    the other. Between kept ones the paragraphs of both sides are rewritten in
+    turn, the rest removed or added. A text that is missing or null has no
+    paragraphs. Two texts of an id are one row of an Arrow batch."""
+    from pyspark.sql import types as T
+
+    a = before.select(F.col(id_col).alias("__i"), F.split(text_col, "\n", -1).alias("__a"))
+    b = after.select(F.col(id_col).alias("__j"), F.split(text_col, "\n", -1).alias("__b"))
+    rows = a.join(b, F.col("__i") == F.col("__j"), "full").select(F.coalesce("__i", "__j").alias(id_col), "__a", "__b")
+    schema = T.StructType([rows.schema[id_col], *T.StructType.fromDDL(DIFF).fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for ident, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a, b, found, i, j = a or [], b or [], [], 0, 0
+                for x, y in [*_patience(a, b), (len(a), len(b))]:
+                    for k in range(max(x - i, y - j)):
+                        old, new = (a[i + k] if i + k < x else None), (b[j + k] if j + k < y else None)
+                        found.append(("rewritten" if old is not None and new is not None else "removed" if new is None else "added", old, new))
+                    if x < len(a):
+                        found.append(("kept", a[x], b[y]))
+                    i, j = x + 1, y + 1
+                if found:
+                    columns = [pa.array([ident.as_py()] * len(found), ident.type), pa.array(range(len(found)), pa.int32()), *[pa.array([f[k] for f in found], pa.string()) for k in range(3)]]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def contained_in(a: DataFrame, b: DataFrame, id_col: str, text_col: str, least: int = 60, low: float = 0.7, high: float = 1.4, digits: int = 5) -> DataFrame:
     """id, ok, first_missing, numbers_missing: whether every paragraph of `least`
     characters of a stands in b, the lengths agree, and b has every number of

@@ -116,6 +116,16 @@ def j20_paragraph_diff(spark, d):
     return K.paragraph_diff(x.filter("doc_id % 2 = 0"), x.filter("doc_id % 2 = 1"), "pair", "text")
 
 
+@q("""with l as (select doc_id, text, string_split(text, chr(10)) as p from documents), m as (select doc_id, p, len(p) as n from l where len(list_distinct(p)) = len(p) and len(p) >= 2)
+select doc_id, 'kept' as status, n - 1 as n from m union all select doc_id, 'removed', 1 from m union all select doc_id, 'added', 1 from m""")
+def j20_moved_paragraph(spark, d):
+    """Texts of different paragraphs whose first one is moved to their end."""
+    x = docs(spark, d).select("doc_id", "text", F.split("text", "\n", -1).alias("p")).filter((F.size(F.array_distinct("p")) == F.size("p")) & (F.size("p") >= 2))
+    moved = F.array_join(F.concat(F.slice("p", 2, F.size("p") - 1), F.slice("p", 1, 1)), "\n")
+    found = K.sequence_diff(x, x.select("doc_id", moved.alias("text")), "doc_id", "text")
+    return found.groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q("""with t as (select doc_id, text, lag(text) over (order by doc_id) as b from documents where doc_id % 2 >= 0), m as (select doc_id, text, b, list_filter(string_split(text, chr(10)), lambda p: length(p) >= 60 and not contains(b, p)) as miss from t where b is not null)
 select doc_id, len(miss) = 0 and length(b) / nullif(length(text), 0) between 0.7 and 1.4 and lost = 0 as ok, left(miss[1], 40) as first_missing, lost as numbers_missing
 from (select *, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]{5,}')), lambda x: not list_contains(regexp_extract_all(b, '[0-9]{5,}'), x))) as lost from m) where doc_id - 1 in (select doc_id from documents)""")
