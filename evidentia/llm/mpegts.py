@@ -98,21 +98,47 @@ def mux(payload: bytes) -> bytes:
     return np.concatenate(out).tobytes()
 
 
-def _read_section(p: np.ndarray, table: int) -> bytes | None:
-    """The first section of a packet that starts one; None if its checksum or
-    number of table is wrong."""
-    at = 5 + int(p[4]) if not p[3] & 0x20 else 6 + int(p[4]) + int(p[min(5 + int(p[4]), PACKET - 1)])
-    if at + 3 > PACKET:
+def _payload(p: np.ndarray) -> bytes:
+    """A packet's bytes after its header and adaptation field."""
+    return p[4 + (1 + int(p[4]) if p[3] & 0x20 else 0) :].tobytes() if p[3] & 0x10 else b""
+
+
+def _read_section(packets: np.ndarray, table: int) -> bytes | None:
+    """The section that begins in the first of the packets of a PID, which may
+    go on in those after it; None if it ends too soon, or its checksum or number
+    of table is wrong."""
+    first = _payload(packets[0])
+    body = first[1 + first[0] :] if first else b""
+    for p in packets[1:]:
+        if len(body) >= 3 and len(body) >= 3 + ((body[1] & 15) << 8 | body[2]):
+            break
+        if p[1] & 0x40:  # the next section's packet: what stands before its pointer
+            rest = _payload(p)
+            body += rest[1 : 1 + rest[0]] if rest else b""
+            break
+        body += _payload(p)
+    if len(body) < 3:
         return None
-    size = (int(p[at + 1]) & 15) << 8 | int(p[at + 2])
-    section = p[at : at + 3 + size].tobytes()
+    section = body[: 3 + ((body[1] & 15) << 8 | body[2])]
     return section if section[0] == table and len(section) > 7 and section[-4:] == struct.pack(">I", crc32_mpeg(section[:-4])) else None
 
 
+def _lost(rows: np.ndarray) -> tuple[np.ndarray, int]:
+    """The packets of a PID without those sent twice, which a stream may do, and
+    the breaks in their counter."""
+    counter = rows[:, 3].astype(np.int64) & 15
+    twice = np.zeros(len(rows), bool)
+    twice[1:] = (counter[1:] == counter[:-1]) & (rows[1:] == rows[:-1]).all(axis=1)
+    twice[1:] &= ~twice[:-1]  # once more at most
+    kept = ~twice
+    return kept, int((np.diff(counter[kept]) % 16 != 1).sum())
+
+
 def demux(media: bytes) -> dict:
     """payload; programs {number: map pid}, streams {pid: type}, packets,
-    pes (packets reassembled), pts (timestamps), random_access (their numbers),
-    lost (breaks of continuity), clipped (PES packets with a wrong length)."""
+    pes (packets reassembled), pts (timestamps), random_access (timestamp and
+    number of the packet of each point), lost (breaks of continuity, those of the
+    tables among them), clipped (PES packets with a wrong length)."""
     found = {"payload": b"", "programs": {}, "streams": {}, "packets": 0, "pes": 0, "pts": [], "random_access": [], "lost": 0, "clipped": 0}
     if not media or len(media) % PACKET:
         return found | {"lost": 1 if media else 0}
@@ -120,39 +146,52 @@ def demux(media: bytes) -> dict:
     found["packets"] = len(rows)
     found["lost"] += int((rows[:, 0] != 0x47).sum())
     pid = (rows[:, 1].astype(np.int64) & 31) << 8 | rows[:, 2]
-    starts = (rows[:, 1] & 0x40) > 0
-    pat = _first_section(rows[(pid == PAT_PID) & starts], 0)
+
+    def section(of: int, table: int) -> bytes | None:
+        mine = rows[(pid == of) & ((rows[:, 3] & 0x10) > 0)]
+        if len(mine):
+            kept, lost = _lost(mine)
+            found["lost"] += lost
+            mine = mine[kept]
+        return _first_section(mine, table)
+
+    pat = section(PAT_PID, 0)
     for i in range(8, len(pat or b"") - 4, 4):
         found["programs"][pat[i] << 8 | pat[i + 1]] = (pat[i + 2] & 31) << 8 | pat[i + 3]
     for map_pid in found["programs"].values():
-        pmt = _first_section(rows[(pid == map_pid) & starts], 2)
+        pmt = section(map_pid, 2)
         at = 12 + ((pmt[10] & 15) << 8 | pmt[11]) if pmt else 0
         while pmt and at < len(pmt) - 4:
             found["streams"][(pmt[at + 1] & 31) << 8 | pmt[at + 2]] = pmt[at]
             at += 5 + ((pmt[at + 3] & 15) << 8 | pmt[at + 4])
     whole = []
     for es in found["streams"]:
-        mine = rows[(pid == es) & ((rows[:, 3] & 0x10) > 0)]
-        if not len(mine):
+        places = np.flatnonzero((pid == es) & ((rows[:, 3] & 0x10) > 0))
+        if not len(places):
             continue
-        steps = np.diff(mine[:, 3].astype(np.int64) & 15) % 16
-        found["lost"] += int((steps != 1).sum())
+        kept, lost = _lost(rows[places])
+        found["lost"] += lost
+        places = places[kept]
+        mine = rows[places]
         has = (mine[:, 3] & 0x20) > 0
         skip = np.where(has, 1 + mine[:, 4].astype(np.int64), 0)
         data = mine[np.arange(PACKET) >= (4 + skip)[:, None]]
         at = np.concatenate([[0], np.cumsum(BODY - skip)])
         new = np.flatnonzero((mine[:, 1] & 0x40) > 0)
+        if not len(new):  # no packet begins one
+            continue
         point = has & (mine[:, 4] > 0) & ((mine[:, 5] & 0x40) > 0)
         for k, (low, high) in enumerate(zip(at[new], np.append(at[new[1:]], at[-1]), strict=True)):
             pes = data[low:high]
-            head = pes[:14].tobytes()
+            head = pes[:14].tobytes().ljust(14, b"\0")
             size = head[4] << 8 | head[5]
             if head[:3] != b"\x00\x00\x01" or len(pes) != size + 6:
                 found["clipped"] += 1
-            if head[7] & 0x80:
-                found["pts"].append((head[9] & 14) << 29 | head[10] << 22 | (head[11] & 254) << 14 | head[12] << 7 | head[13] >> 1)
+            pts = (head[9] & 14) << 29 | head[10] << 22 | (head[11] & 254) << 14 | head[12] << 7 | head[13] >> 1 if head[7] & 0x80 else None
+            if pts is not None:
+                found["pts"].append(pts)
             if point[new[k]]:
-                found["random_access"].append(k)
+                found["random_access"].append({"pts": pts, "packet": int(places[new[k]])})
             whole.append(pes[9 + head[8] :])
         found["pes"] += len(new)
     found["payload"] = np.concatenate(whole).tobytes() if whole else b""
@@ -163,24 +202,24 @@ _CHECKED: dict[tuple[bytes, int], bytes | None] = {}
 
 
 def _first_section(packets: np.ndarray, table: int) -> bytes | None:
-    """The first section that is whole among packets that start one. Packets
-    are remembered: nearly all streams have the same tables."""
-    for p in packets:
-        key = (p.tobytes(), table)
+    """The first section that is whole. Sections of one packet are remembered:
+    nearly all streams have the same tables."""
+    for i in np.flatnonzero((packets[:, 1] & 0x40) > 0):
+        key = (packets[i].tobytes(), table)
         if key not in _CHECKED:
             if len(_CHECKED) > 1000:
                 _CHECKED.clear()
-            _CHECKED[key] = _read_section(p, table)
-        if _CHECKED[key]:
-            return _CHECKED[key]
+            _CHECKED[key] = _read_section(packets[i : i + 1], table)
+        if found := _CHECKED[key] or _read_section(packets[i : i + 8], table):  # a section has 1024 bytes at most
+            return found
     return None
 
 
 _PAT = _section(0, 1, struct.pack(">HH", 1, 0xE000 | PMT_PID))
 _PMT = _section(2, 1, struct.pack(">HH", 0xE000 | ES_PID, 0xF000) + bytes([STREAM_TYPE]) + struct.pack(">HH", 0xE000 | ES_PID, 0xF000))
 
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, n_programs int, n_packets long, n_pes long, first_pts long, last_pts long, random_access array<int>, lost long, clipped long, streams string"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, n_programs int, n_packets long, n_pes long, first_pts long, last_pts long, random_access array<struct<pts:bigint,packet:int>>, lost long, clipped long, streams string"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<struct<pts:bigint,packet:int>>": pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int32())]))}
 _READ = pa.struct([(name, _ARROW[kind]) for name, kind in (c.split() for c in READ.split(", "))])
 
 

@@ -62,7 +62,7 @@ def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = mpegts.add_streams(docs).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     r = F.col("read")
-    points = F.array_join(F.transform(r["random_access"], lambda k: k.cast("string")), "+")
+    points = F.array_join(F.transform(r["random_access"], lambda k: F.concat_ws("@", k["packet"], k["pts"])), "+")
     feature = F.concat_ws(";", F.concat(F.lit("streams="), r["streams"]), F.concat(F.lit("packets="), r["n_packets"]), F.concat(F.lit("pes="), r["n_pes"]), F.concat(F.lit("pts="), r["first_pts"], F.lit("-"), r["last_pts"]), F.concat(F.lit("rap="), points), F.concat(F.lit("lost="), r["lost"]))
     return made.select("doc_id", "n_bytes", r["payload_bytes"].alias("payload_bytes"), r["payload_sha256"].alias("payload_sha256"), r["tail_crc32"].alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 

@@ -579,12 +579,40 @@ def test_stream_round_trip(size):
     x = mpegts.demux(media)
     units = -(-size // mpegts.UNIT)
     assert x["payload"] == payload and x["lost"] == x["clipped"] == 0 and x["pes"] == units
-    assert x["pts"] == [i * mpegts.TICKS for i in range(units)] and x["random_access"] == list(range(0, units, mpegts.RAP))
+    assert x["pts"] == [i * mpegts.TICKS for i in range(units)] and [r["pts"] for r in x["random_access"]] == [i * mpegts.TICKS for i in range(0, units, mpegts.RAP)]
+    assert all(media[188 * r["packet"] + 5] & 0x40 for r in x["random_access"])
     assert x["programs"] == {1: mpegts.PMT_PID} and x["streams"] == {mpegts.ES_PID: mpegts.STREAM_TYPE}
     dropped = media[: 188 * 3] + media[188 * 4 :]
     assert mpegts.demux(dropped)["lost"] >= 1 or units == 1 and size < 1200
 
 
+def test_damaged_and_foreign_streams():
+    import struct
+
+    import numpy as np
+
+    media = mpegts.mux(mpegts.pad(b"hello world " * 40_000))
+    whole, rows = mpegts.demux(media), np.frombuffer(media, np.uint8).reshape(-1, 188)
+    pid = (rows[:, 1].astype(int) & 31) << 8 | rows[:, 2]
+    twice = mpegts.demux(np.insert(rows, 10, rows[9], axis=0).tobytes())
+    assert (twice["lost"], twice["payload"]) == (0, whole["payload"])
+    assert mpegts.demux(np.delete(rows, 9, axis=0).tobytes())["lost"] == 1
+    assert mpegts.demux(np.delete(rows, np.flatnonzero(pid == mpegts.PAT_PID)[1], axis=0).tobytes())["lost"] == 1
+    # a program map of 60 streams, over two packets
+    es = b"".join(bytes([6]) + struct.pack(">HH", 0xE000 | (mpegts.ES_PID if k == 0 else 0x1000 + k), 0xF000) for k in range(60))
+    body = b"\0" + mpegts._section(2, 1, struct.pack(">HH", 0xE000 | mpegts.ES_PID, 0xF000) + es)
+    parts = [body[i : i + 184] for i in range(0, len(body), 184)]
+    packets = [bytes([0x47, (0x40 if i == 0 else 0) | mpegts.PMT_PID >> 8, mpegts.PMT_PID & 255, 0x10 | i]) + c.ljust(184, b"\xff") for i, c in enumerate(parts)]
+    long = mpegts.demux(b"".join(packets) + rows[pid != mpegts.PMT_PID].tobytes())
+    assert len(packets) == 2 and len(long["streams"]) == 60 and (long["lost"], long["payload"]) == (0, whole["payload"])
+    rng = np.random.default_rng(1)
+    for _ in range(1_000):
+        bad = bytearray(media[: 188 * 40])
+        for _ in range(rng.integers(1, 30)):
+            bad[rng.integers(0, len(bad))] = rng.integers(0, 256)
+        mpegts.demux(bytes(bad))
+
+
 def test_known_crc():
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
