@@ -9,8 +9,9 @@ A tree needs many pages with the same template, and boilerplate whose words
 change from page to page looks important to it. So what a node says about
 itself weighs its importance: tags, roles, classes and ids that name menus,
 headers, footers, adverts, comments and so on weigh little, and what stands in
-an article or main element weighs more. Nothing is cut, and nothing kept, by
-its name or place alone. Pages with equal texts count once, so that copies
+an article or main element weighs more. With the weights below a node that names
+itself is always cut, as importance is one at most; a node without such a name
+is judged by its entropies. Pages with equal texts count once, so that copies
 don't make a text look unimportant.
 """
 
