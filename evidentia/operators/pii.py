@@ -91,17 +91,22 @@ def mask(df: DataFrame, text_col: str, find=find_spans, token_form: str = "[{}_{
     spans of a text, of the names of categories (find_spans or case_file_spans)."""
     text = F.col(text_col)
     names = R.CATEGORIES if find is case_file_spans else CATEGORIES
-    rows = df.withColumn("spans", resolve_spans(find(text)))
     before, between, after = token_form.split("{}")
 
-    def numbered(cat: str) -> Column:
-        return F.transform(F.filter("spans", lambda m: m["cat"] == cat), lambda m, i: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit(f"{before}{cat}{between}"), (i + 1).cast("string"), F.lit(after)).alias("token"), F.substring(text, m["s"] + 1, m["e"] - m["s"]).alias("original")))
+    def numbered(spans: Column, cat: str) -> Column:
+        return F.transform(F.filter(spans, lambda m: m["cat"] == cat), lambda m, i: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit(f"{before}{cat}{between}"), (i + 1).cast("string"), F.lit(after)).alias("token"), F.substring(text, m["s"] + 1, m["e"] - m["s"]).alias("original")))
 
-    rows = rows.withColumn("__t", F.array_sort(F.concat(*[numbered(c) for c in names])))
-    rows = rows.withColumn("__at", F.concat(F.array(F.lit(0)), F.transform("__t", lambda m: m["e"])))
-    pieces = F.transform(F.arrays_zip("__at", "__t"), lambda z: F.concat(F.substring(text, z["__at"] + 1, F.coalesce(z["__t"]["s"], F.length(text)) - z["__at"]), F.coalesce(z["__t"]["token"], F.lit(""))))
-    rows = rows.withColumn("masked", F.when(F.size("spans") > 0, F.array_join(pieces, "")))
-    return rows.withColumn("mapping", F.transform("__t", lambda m: F.struct(m["token"].alias("token"), m["original"].alias("original")))).drop("__t", "__at")
+    def replaced(spans: Column, tokens: Column) -> Column:
+        at = F.concat(F.array(F.lit(0)), F.transform(tokens, lambda m: m["e"]))
+        pieces = F.transform(F.arrays_zip(at.alias("at"), tokens.alias("t")), lambda z: F.concat(F.substring(text, z["at"] + 1, F.coalesce(z["t"]["s"], F.length(text)) - z["at"]), F.coalesce(z["t"]["token"], F.lit(""))))
+        mapping = F.transform(tokens, lambda m: F.struct(m["token"].alias("token"), m["original"].alias("original")))
+        return F.struct(spans.alias("spans"), F.when(F.size(spans) > 0, F.array_join(pieces, "")).alias("masked"), mapping.alias("mapping"))
+
+    def build(spans: Column) -> Column:
+        return bound(F.array_sort(F.concat(*[numbered(spans, c) for c in names])), lambda t: replaced(spans, t))
+
+    # A generated row, so that whatever uses these columns, patterns run once.
+    return df.drop("spans", "masked", "mapping").select("*", F.inline(F.array(bound(resolve_spans(find(text)), build))))
 
 
 def unmask(masked: Column, mapping: Column) -> Column:
