@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import checks as C
 from evidentia.functions import text as T
 from evidentia.operators import html as H
+from evidentia.operators import terms as N
 from evidentia.operators import text as X
 from evidentia.sources.tables import table
 
@@ -187,6 +188,15 @@ def p23_apply_rules(spark, d):
     return X.apply_rules(docs(spark, d), "doc_id", "text", spark.createDataFrame(RULES, "rule_id string, expect string, terms array<string>"))
 
 
+@q("""with t as (select distinct lower(left(text, 9)) as term from documents where length(text) > 20 union select distinct lower(substr(text, 30, 12)) from documents where length(text) > 50)
+select doc_id, term from documents join t on contains(lower(text), term)""")
+def p23_term_hits(spark, d):
+    """Texts that contain the beginnings or a piece of others."""
+    x = docs(spark, d)
+    terms = x.filter("length(text) > 20").select(F.left("text", F.lit(9)).alias("term")).union(x.filter("length(text) > 50").select(F.substring("text", 30, 12)))
+    return N.term_hits(x, "doc_id", "text", terms, "term")
+
+
 @q(f"""with f as (select doc_id, rule_id as kind, left(sha256(rule_id || chr(31) || doc_id), 16) as finding_id from documents, (values {RULE_ROWS}) r(rule_id, expect, terms)
 where (expect = 'absent') = (len(list_filter(terms, lambda t: contains(lower(text), t))) > 0)), s as (select finding_id from f where doc_id % 3 = 0)
 select finding_id, doc_id, unnest(case when s.finding_id is null then [kind] when kind = 'r1' then [kind, 'suppressed_' || kind] end) as kind from f left join s using (finding_id)""")
@@ -252,6 +262,18 @@ def p09_dictionary_hits(spark, d):
     return X.dictionary_hits(docs(spark, d), "doc_id", "text", table(spark, d, "part"), "p_name")
 
 
+@q(f"""with w as (select doc_id, string_split({NORM.format('text')}, ' ') as tw from documents), n as (select distinct tw[1] || ' ' || tw[2] as name, 2 as w from w where len(tw) >= 9 and doc_id % 3 = 0 union select distinct tw[1], 1 from w where len(tw) >= 9 and doc_id % 2 = 0),
+k as (select * from n where length(name) >= 5), r as (select doc_id, i, tw[i] as one, case when i < len(tw) then tw[i] || ' ' || tw[i + 1] end as two from (select doc_id, tw, unnest(range(1, len(tw) + 1)) as i from w)),
+h as (select doc_id, i, one as name, 1 as w from r where one in (select name from k) union all select doc_id, i, two, 2 from r where two in (select name from k))
+select doc_id, name, length(name) as size, count(*) as n from h where w = 2 or not exists (select 1 from h g where g.doc_id = h.doc_id and g.i = h.i and g.w = 2) group by 1, 2""")
+def p09_name_hits(spark, d):
+    """Names of one and two words, taken from the beginnings of texts."""
+    x = docs(spark, d)
+    words = x.select("doc_id", F.split(T.norm_words("text"), " ").alias("tw")).filter(F.size("tw") >= 9)
+    two = words.filter("doc_id % 3 = 0").select(F.concat_ws(" ", F.col("tw")[0], F.col("tw")[1]).alias("name"))
+    return N.name_hits(x, "doc_id", "text", two.union(words.filter("doc_id % 2 = 0").select(F.col("tw")[0])), "name")
+
+
 NUMBERS_SQL = """(select doc_id, token, count(*) as n from (select doc_id, replace(regexp_replace(unnest(list_concat(regexp_extract_all(text, '(?:№|No\\.?) ?([0-9]+(?:[-/][0-9]+)*)', 1),
 regexp_extract_all(regexp_replace(text, '(?:№|No\\.?) ?([0-9]+(?:[-/][0-9]+)*)', ' # ', 'g'), '([0-9]{1,3}(?:[ \\x{A0}\\x{202F}][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)', 1))), '[ \\x{A0}\\x{202F}]', '', 'g'), ',', '.') as token
 from documents) where length(regexp_replace(token, '[^0-9]', '', 'g')) >= 2 group by all)"""
