@@ -40,19 +40,19 @@ def audited(spark, texts):
 def test_audit(spark):
     D = Decimal
     cases = {
-        "взыскать 1 000 (одну тысячу) рублей": [(D("1000.00"), "рубль", "ok")],
-        "взыскать 1 000 (сто тысяч) рублей": [(D("1000.00"), "рубль", "mismatch")],
+        "получить 1 000 (одну тысячу) рублей": [(D("1000.00"), "рубль", "ok")],
+        "доплатить 3 000 (триста тысяч) рублей": [(D("3000.00"), "рубль", "mismatch")],
         "1 000 (одна тысяча рублей)": [(D("1000.00"), "рубль", "ok")],
         "сумма 1000 рублей (одна тысяча рублей 00 копеек)": [(D("1000.00"), "рубль", "ok")],
-        "38 998,29 (тридцать восемь тысяч девятьсот девяносто восемь) руб.": [(D("38998.29"), "рубль", "ok")],
+        "47 120,35 (сорок семь тысяч сто двадцать) руб.": [(D("47120.35"), "рубль", "ok")],
         "5 (одна тысяча одной) евро": [(D("5.00"), "евро", "mismatch")],
         "1 001 (одной тысячу один) рубль": [(D("1001.00"), "рубль", "mixed_cases")],
         "7 (несколько) долларов": [(D("7.00"), "доллар", "unreadable")],
         "100 руб.": [(D("100.00"), "рубль", "no_words")],
         "500 тыс. руб. и 12 млн ₽": [(D("500000.00"), "рубль", "abbreviated"), (D("12000000.00"), "рубль", "abbreviated")],
         "суд указал: «взыскать 100 руб. и 5 (шесть) рублей»": [(D("100.00"), "рубль", "quoted"), (D("5.00"), "рубль", "mismatch")],
-        "двести тысяч (100 000) рублей, полтора миллиона (1 500 000) рублей": [(D("100000.00"), "рубль", "mismatch"), (D("1500000.00"), "рубль", "ok")],
-        "расчет (100 000) рублей; 5 штук (пять); дом 7": [],
+        "триста тысяч (400 000) рублей, полтора миллиона (1 500 000) рублей": [(D("400000.00"), "рубль", "mismatch"), (D("1500000.00"), "рубль", "ok")],
+        "смета (700 000) рублей; 5 штук (пять); дом 7": [],
         "10 USD, $ и 3 коп.": [(D("10.00"), "доллар", "no_words"), (D("3.00"), "копейка", "no_words")],
     }
     more = [None, "", "100 руб. " * 3_000]
