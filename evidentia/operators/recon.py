@@ -80,12 +80,14 @@ def symdiff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return rows.filter("a is null or b is null").select(key, F.when(F.col("a"), "a").otherwise("b").alias("side"))
 
 
-def supplement(catalog: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """The catalog and the known rows it doesn't list today. A key that stands
-    twice among the known rows is an error."""
-    twice = known.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+def supplement(catalog: DataFrame, known: DataFrame, key: str, row: str | None = None) -> DataFrame:
+    """The catalog and the known rows whose key it doesn't list today. A source
+    that stands twice among the known rows is an error: a key, or a value of the
+    column row where several known rows may share a key."""
+    row = row or key
+    twice = known.groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
     if twice:
-        raise ValueError(f"{key} {twice[0][key]!r} stands {twice[0]['n']} times")
+        raise ValueError(f"{row} {twice[0][row]!r} stands {twice[0]['n']} times")
     return catalog.unionByName(known.join(catalog.select(key), key, "left_anti"))
 
 

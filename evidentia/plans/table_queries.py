@@ -184,7 +184,8 @@ def u01_bag_diff(spark, d):
 @q("""select url, page_id from pages where page_id % 3 <> 0 union all select url, page_id from pages where page_id % 3 = 0 and url not in (select url from pages where page_id % 3 <> 0)""")
 def u03_supplement(spark, d):
     p = table(spark, d, "pages").select("url", "page_id")
-    return K.supplement(p.filter("page_id % 3 <> 0"), p.filter("page_id % 3 = 0"), "url")
+    # Several pages may share a url, each with its own page_id.
+    return K.supplement(p.filter("page_id % 3 <> 0"), p.filter("page_id % 3 = 0"), "url", "page_id")
 
 
 @q("""select 'page_id' as column_name, cast(page_id as varchar) as value, count(*) as n from pages group by page_id having count(*) > 1 union all select 'url', url, count(*) from pages group by url having count(*) > 1 union all select 'html', html, count(*) from pages group by html having count(*) > 1""")
