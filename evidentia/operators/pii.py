@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import pii_patterns as R
-from evidentia.functions.arrays import bound, placed, scan
+from evidentia.functions.arrays import bound, placed, replace_matches, scan
 
 #: Category -> pattern, in order of priority.
 CATEGORIES = {
@@ -20,20 +20,36 @@ CATEGORIES = {
 }
 #: Matches that are no finding: amounts of money, and mask tokens themselves.
 VETO = r"^0+$"
+#: What stands for a found value while others are looked for; in no pattern.
+TAKEN = "|"
 #: Looser patterns of the last gate.
 LOOSE = {"AT": r"[^\s@]+@[^\s@]+\.[a-z]{2,}", "DIGITS": r"[0-9]{12,}"}
 SPANS = "array<struct<s:int,e:int,cat:string>>"
 
 
 def find_spans(text: Column, categories: dict[str, str] = CATEGORIES) -> Column:
-    """All matches (s, e, cat), code points, vetoed ones left out."""
+    """All matches (s, e, cat), code points, vetoed ones left out. Categories go
+    in order of priority, each over what the ones before have left, so that a
+    match which begins inside an earlier one's doesn't hide what stands behind."""
     none = F.array().cast(SPANS)
 
-    def of(cat: str, pattern: str) -> Column:
-        found = placed(text, pattern, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        return F.coalesce(F.transform(F.filter(found, lambda m: ~m["t"].rlike(VETO)), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.lit(cat).alias("cat"))), none)
+    def blank(m: Column) -> Column:
+        return F.when(m.rlike(VETO), m).otherwise(F.repeat(F.lit(TAKEN), F.length(m)))
 
-    return F.concat(*[of(k, p) for k, p in categories.items()])
+    def of(at: Column, cat: str, pattern: str) -> Column:
+        t = at["t"]
+        found = F.filter(placed(t, pattern, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), lambda m: ~m["t"].rlike(VETO))
+        spans = F.transform(found, lambda m: F.struct(m["s"].cast("int").alias("s"), m["e"].cast("int").alias("e"), F.lit(cat).alias("cat")))
+        more = F.struct(replace_matches(t, pattern, blank).alias("t"), F.concat(at["spans"], F.coalesce(spans, none)).alias("spans"))
+        return F.when(t.rlike(pattern), more).otherwise(at)
+
+    def after(out: Column, cat: str, pattern: str) -> Column:
+        return bound(out, lambda at: of(at, cat, pattern))
+
+    out = F.struct(text.alias("t"), none.alias("spans"))
+    for k, p in categories.items():
+        out = after(out, k, p)
+    return out["spans"]
 
 
 #: A masked value, of either kind of mask.

@@ -37,14 +37,25 @@ def folder(spark) -> str:
 ANY = "|".join(f"(?:{p})" for p in P.CATEGORIES.values())
 
 
-def _starts(category: str, pattern: str) -> str:
+def _starts(category: str, pattern: str, source: str) -> str:
     """SQL: doc_id, cat, s, e of a pattern's matches; what stands between them,
     and the matches, add up."""
     return f"""select doc_id, '{category}' as cat, cast(s as int) as s, cast(s + length(m) as int) as e from (select doc_id, m, sum(length(g)) over w + coalesce(sum(length(m)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s
-from (select doc_id, unnest(regexp_split_to_array(text, '{pattern}')) as g, unnest(regexp_extract_all(text, '{pattern}')) as m, generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) as i from documents) window w as (partition by doc_id order by i)) where m is not null"""
+from (select doc_id, unnest(regexp_split_to_array(text, '{pattern}')) as g, unnest(regexp_extract_all(text, '{pattern}')) as m, generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) as i from {source}) window w as (partition by doc_id order by i)) where m is not null"""
 
 
-@q(f"""with f as ({" union all ".join(_starts(k, p) for k, p in P.CATEGORIES.items())}) select doc_id, cat, s, e from f""")
+def _left(pattern: str, source: str) -> str:
+    """SQL: texts with each match of a pattern blanked, their lengths kept."""
+    blanked = f"array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{pattern}'), regexp_extract_all(text, '{pattern}')), lambda z: z[1] || repeat('{P.TAKEN}', length(coalesce(z[2], '')))), '')"
+    return f"select doc_id, case when regexp_matches(text, '{pattern}') then {blanked} else text end as text from {source}"
+
+
+#: Matches of each category in what those before it have left.
+_LEFT = ", ".join(f"t{i} as materialized ({_left(p, 'documents' if i == 1 else f't{i - 1}')})" for i, p in enumerate(P.CATEGORIES.values(), 1))
+_SPANS = " union all ".join(_starts(k, p, f"t{i}" if i else "documents") for i, (k, p) in enumerate(P.CATEGORIES.items()))
+
+
+@q(f"""with {_LEFT}, f as ({_SPANS}) select doc_id, cat, s, e from f""")
 def p02_pii_spans(spark, d):
     return docs(spark, d).select("doc_id", F.inline(P.resolve_spans(P.find_spans(F.col("text"))))).select("doc_id", "cat", "s", "e")
 
