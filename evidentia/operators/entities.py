@@ -3,7 +3,9 @@
 Two names are near within two edits where both have six letters, else within
 one, or where one of six letters and more begins the other (inflected forms).
 Only distinct normal forms are compared, so a name that very many rows bear is
-one form; the keys of a name are its segments, not all of its shortened forms.
+one form. The keys of a form are hashes of it less up to two characters: many,
+but only near forms share one, whatever beginnings all names have in common.
+Forms of over MOST_SHORTENED characters go by their segments instead.
 """
 
 from __future__ import annotations
@@ -16,6 +18,27 @@ from evidentia.operators.graph import connected_components
 
 #: Letters from which a name is long.
 LONG = 6
+#: Characters up to which a form's keys are all of its shortened forms.
+MOST_SHORTENED = 48
+
+
+def _less(name: Column) -> Column:
+    """Array of a name less each of its characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+
+
+def shortened(name: Column, most: int) -> Column:
+    """Hashes of a name that isn't empty and of it less up to most (1 or 2)
+    characters; two names within most edits share one at least."""
+    out = F.array(name)
+    if most == 1:
+        out = F.concat(out, _less(name))
+    else:
+        # Two at once: what stands before, between and after them.
+        n = F.length(name)
+        pairs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, j - i - 1), F.substring(name, j + 1, n)))))
+        out = F.concat(out, _less(name), F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.array_distinct(out), lambda k: F.xxhash64(k))
 
 
 def _segments(name: Column, parts: int) -> Column:
@@ -48,23 +71,38 @@ def _at(name: Column, low: Column, width: Column, far: int, size: Column, seg: i
     return F.filter(found, lambda x: F.length(x["text"]) == width)
 
 
-def near_forms(left: DataFrame, right: DataFrame) -> DataFrame:
+def edited_forms(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b: pairs of forms (column form, distinct and not empty) of two tables
-    that are near or equal."""
+    within two edits where both are long, else within one; equal ones too."""
     out = left.select(F.col("form").alias("a")).join(right.select(F.col("form").alias("b")), F.col("a") == F.col("b"))
-    for parts, own in ((3, F.length("form") >= LONG), (2, F.length("form") <= LONG)):
-        a = left.filter(own).select(F.col("form").alias("a"), F.inline(_probes(F.col("form"), parts)))
-        b = right.filter(own).select(F.col("form").alias("b"), F.inline(_segments(F.col("form"), parts)))
-        most = 2 if parts == 3 else F.when((F.length("a") >= LONG) & (F.length("b") >= LONG), 2).otherwise(1)
-        out = out.union(a.join(b, ["len", "seg", "text"]).select("a", "b").filter(F.levenshtein("a", "b") <= most))
+    # Within two edits of a long form are forms of LONG and more; within one of
+    # a short form those of LONG at most.
+    n = F.length("form")
+    for most, own in ((2, n >= LONG), (1, n <= LONG)):
+        a = left.filter(own & (n <= MOST_SHORTENED + most)).select(F.col("form").alias("a"), F.explode(shortened(F.col("form"), most)).alias("key"))
+        b = right.filter(own & (n <= MOST_SHORTENED)).select(F.col("form").alias("b"), F.explode(shortened(F.col("form"), most)).alias("key"))
+        out = out.union(a.join(b, "key").select("a", "b").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", most) >= 0)))
+    a = left.filter(n >= MOST_SHORTENED - 1).select(F.col("form").alias("a"), F.inline(_probes(F.col("form"), 3)))
+    b = right.filter(n > MOST_SHORTENED).select(F.col("form").alias("b"), F.inline(_segments(F.col("form"), 3)))
+    return out.union(a.join(b, ["len", "seg", "text"]).select("a", "b").filter(F.levenshtein("a", "b", 2) >= 0)).distinct()
+
+
+def begun_forms(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """a, b: pairs of different forms, of least characters each, one of which
+    begins the other."""
 
     def begins(df: DataFrame, name: str) -> DataFrame:
-        starts = F.transform(F.sequence(F.lit(LONG), F.length("form")), lambda i: F.substring(F.col("form"), F.lit(1), i))
-        return df.filter(F.length("form") >= LONG).select(F.col("form").alias(name), F.explode(starts).alias("start"))
+        starts = F.transform(F.sequence(F.lit(least), F.length("form") - 1), lambda i: F.substring(F.col("form"), F.lit(1), i))
+        return df.filter(F.length("form") > least).select(F.col("form").alias(name), F.explode(starts).alias("start"))
 
-    out = out.union(begins(left, "a").join(right.select(F.col("form").alias("b")), F.col("start") == F.col("b")).select("a", "b"))
-    out = out.union(begins(right, "b").join(left.select(F.col("form").alias("a")), F.col("start") == F.col("a")).select("a", "b"))
-    return out.distinct()
+    out = begins(left, "a").join(right.select(F.col("form").alias("b")), F.col("start") == F.col("b")).select("a", "b")
+    return out.union(begins(right, "b").join(left.select(F.col("form").alias("a")), F.col("start") == F.col("a")).select("a", "b"))
+
+
+def near_forms(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b: pairs of forms (column form, distinct and not empty) of two tables
+    that are near or equal."""
+    return edited_forms(left, right).union(begun_forms(left, right, LONG)).distinct()
 
 
 def form_of(name: Column) -> Column:
