@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import norm_words
+from evidentia.operators.entities import edited_forms
 
 
 def resolve_citations(queries: DataFrame, sections: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -28,23 +29,23 @@ def reference_edges(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def conflict_check(queries: DataFrame, parties: DataFrame) -> DataFrame:
     """queries: qid, name; parties: pid, name, role. qid, hits, unknown: parties
-    within 2 edits where both names have 6 letters, else 1, by keys with up to
-    two characters deleted; rows with blank names are counted as unknown, so
+    within 2 edits where both names have 6 letters, else 1, found among different
+    names and counted by them; rows with blank names are counted as unknown, so
     nothing is called free of conflict on their account."""
-
-    def keys(df: DataFrame, ident: str) -> DataFrame:
-        n = df.select(F.col(ident), norm_words("name").alias("n")).filter("n <> ''")
-        less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        one = n.withColumn("k1", less(F.col("n")))
-        two = F.flatten(F.transform("k1", lambda s: F.when(F.length(s) > 0, less(s)).otherwise(F.array().cast("array<string>"))))
-        return one.select(ident, "n", F.explode(F.array_distinct(F.concat(F.array("n"), F.col("k1"), two))).alias("key"))
-
-    a, b = keys(queries, "qid"), keys(parties, "pid").withColumnRenamed("n", "m")
-    bound = F.when((F.length("n") >= 6) & (F.length("m") >= 6), 2).otherwise(1)
-    pairs = a.join(b, "key").select("qid", "pid", "n", "m").distinct().filter(F.levenshtein("n", "m") <= bound)
-    hits = pairs.groupBy("qid").agg(F.countDistinct("pid").alias("hits"))
-    blank = parties.agg(F.count_if(F.coalesce(norm_words("name"), F.lit("")) == "").alias("unknown"))
-    return queries.select("qid").join(hits, "qid", "left").crossJoin(F.broadcast(blank)).select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "unknown")
+    form = F.coalesce(norm_words("name"), F.lit(""))
+    asked = queries.select("qid", form.alias("form"))
+    known = parties.select("pid", form.alias("form"))
+    # A party with several rows of one name, or of several near names, is one hit.
+    owned = known.filter("form <> ''").distinct()
+    single = owned.groupBy("pid").agg(F.min("form").alias("form"), F.count("*").alias("names"))
+    counts = single.filter("names = 1").groupBy("form").agg(F.count("*").alias("n"))
+    several = owned.join(single.filter("names > 1").select("pid"), "pid", "left_semi")
+    near = edited_forms(asked.select("form").filter("form <> ''").distinct(), owned.select("form").distinct())
+    by_one = near.join(counts, F.col("b") == F.col("form")).groupBy("a").agg(F.sum("n").alias("n"))
+    by_several = near.join(several, F.col("b") == F.col("form")).groupBy("a").agg(F.countDistinct("pid").alias("n"))
+    hits = by_one.union(by_several).groupBy(F.col("a").alias("form")).agg(F.sum("n").alias("hits"))
+    blank = known.agg(F.count_if(F.col("form") == "").alias("unknown"))
+    return asked.join(hits, "form", "left").crossJoin(F.broadcast(blank)).select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "unknown")
 
 
 def license_gate(items: DataFrame, exceptions: DataFrame) -> DataFrame:
