@@ -53,20 +53,30 @@ def match_starts(text: Column, pattern: str, found: Column) -> Column:
         before = running_sums(F.transform(pairs, lambda z: z["g"] + F.length(z["m"])))
         return F.transform(F.arrays_zip(before.alias("b"), pairs.alias("z")), lambda y: y["b"] + y["z"]["g"])
 
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
-    return bound(F.arrays_zip(gaps.alias("g"), found.alias("m")), starts)
+    def of(m: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(m)), F.length)
+        return bound(F.arrays_zip(gaps.alias("g"), m.alias("m")), starts)
+
+    return bound(found, of)
 
 
 def placed(text: Column, pattern: str, found: Column) -> Column:
     """Array of (t, s, e): text, start and end of each match; see match_starts.
     Null without a match."""
-    spans = F.transform(F.arrays_zip(found.alias("m"), match_starts(text, pattern, found).alias("s")), lambda z: F.struct(z["m"].alias("t"), z["s"].alias("s"), (z["s"] + F.length(z["m"])).alias("e")))
-    return F.when(F.size(found) > 0, spans)
+
+    def of(m: Column) -> Column:
+        spans = F.transform(F.arrays_zip(m.alias("m"), match_starts(text, pattern, m).alias("s")), lambda z: F.struct(z["m"].alias("t"), z["s"].alias("s"), (z["s"] + F.length(z["m"])).alias("e")))
+        return F.when(F.size(m) > 0, spans)
+
+    return bound(found, of)
 
 
 def replace_matches(text: Column, pattern: str, new) -> Column:
     """text with each match m of pattern replaced by new(m)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("m"))
-    whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(new(x["m"]), F.lit("")))), "")
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+
+    def of(t: Column) -> Column:
+        parts = F.arrays_zip(F.split(t, pattern, -1).alias("g"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"))
+        whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(new(x["m"]), F.lit("")))), "")
+        return F.when(t.rlike(pattern), whole).otherwise(t)
+
+    return bound(text, of)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.functions.arrays import replace_matches
+from evidentia.functions.arrays import bound, replace_matches
 
 #: Patterns of typed values: kind -> expression; group 1 is the value where there is one.
 TYPED = {
@@ -243,9 +243,12 @@ def unfold(text: Column) -> Column:
     attributes kept and tags dropped, invisible characters dropped, words that
     are broken over lines joined, marks of lists and headings dropped, and
     words spelt with dots or spaces (three letters and more) joined."""
-    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    torn = text.rlike("[ÐÑÂ]") & ~text.rlike(r"[^\x{00}-\x{FF}]") & (F.regexp_count(again, F.lit("[А-Яа-яЁё]")) > F.regexp_count(text, F.lit("[А-Яа-яЁё]")))
-    t = F.when(torn, again).otherwise(text)
+    def mended(x: Column) -> Column:
+        again = F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")
+        torn = x.rlike("[ÐÑÂ]") & ~x.rlike(r"[^\x{00}-\x{FF}]") & (F.regexp_count(again, F.lit("[А-Яа-яЁё]")) > F.regexp_count(x, F.lit("[А-Яа-яЁё]")))
+        return F.when(torn, again).otherwise(x)
+
+    t = bound(text, mended)
     t = F.regexp_replace(t, r"""(?is)\b(?:alt|title|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)')""", "> $1$2 <")
     t = F.regexp_replace(F.regexp_replace(t, "<!--|-->", " "), r"<[^>]+>", " ")
     t = F.regexp_replace(t, r"[\p{Cf}]", "")
@@ -257,8 +260,11 @@ def unfold(text: Column) -> Column:
 
 def pattern_flags(text: Column, patterns: Mapping[str, str]) -> Column:
     """Names of the patterns that match, in order of the table."""
-    hits = [F.when(text.rlike(p), F.lit(k)) for k, p in patterns.items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    def of(t: Column) -> Column:
+        return F.filter(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull())
+
+    return bound(text, of)  # however the text is computed, it is so once
 
 
 def speaker_of(df: DataFrame, id_col: str, text_col: str, names: list[str]) -> DataFrame:
