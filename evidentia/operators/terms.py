@@ -9,26 +9,40 @@ from evidentia.functions.text import norm_words
 from evidentia.sources.shared import broadcast_if_small, cut
 
 
-def term_hits(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str, gram: int = 6) -> DataFrame:
+#: Lengths of keys: a term's is the greatest that it has (fixed values).
+KEY_SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32)
+#: Characters of a text that are cut into keys at once.
+PIECE = 256
+
+
+def term_hits(df: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str) -> DataFrame:
     """id, term: the terms that a text contains anywhere, upper and lower case
     alike. ids are unique; null texts and empty or null terms give nothing.
 
-    Terms are keyed by their first `gram` characters (all, where they have
-    fewer). A text's different substrings of those lengths, gram lengths at most,
-    are joined to the keys, so the cost of a text grows with its length and what
-    it may contain, not with the number of terms; only candidates are compared."""
-    t = cut(terms.select(F.lower(F.col(term_col)).alias("term")).filter("term <> ''").distinct().withColumn("size", F.least(F.length("term"), F.lit(gram))).withColumn("key", F.expr("left(term, size)")))
-    sizes = sorted(r[0] for r in t.select("size").distinct().collect())  # gram numbers at most
+    Terms are keyed by a beginning nearly as long as they are, so a key's terms
+    are few. A text goes in overlapping pieces (to find a place in a long text
+    takes time by its length) whose different substrings of those lengths are
+    joined to the keys; the cost of a text grows with its length and what it may
+    contain, not with the number of terms. Terms that are their own key are hits
+    at once; only the others are looked for in the text."""
+    size = F.greatest(*[F.when(F.length("term") >= k, k) for k in KEY_SIZES])
+    t = cut(terms.select(F.lower(F.col(term_col)).alias("term")).filter("term <> ''").distinct().withColumn("size", size).withColumn("key", F.expr("left(term, size)")))
+    sizes = sorted(r[0] for r in t.select("size").distinct().collect())  # as many as KEY_SIZES at most
     texts = df.select(F.col(id_col).alias("__id"), F.lower(F.col(text_col)).alias("__low")).filter("__low <> ''")
-
-    def grams(size: int):
-        each = F.transform(F.sequence(F.lit(1), F.length("__low") - (size - 1)), lambda i: F.substring("__low", i, F.lit(size)))
-        return F.when(F.length("__low") >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
-
-    keys = F.flatten(F.array(*[grams(s) for s in sizes])) if sizes else F.array().cast("array<string>")
-    found = texts.select("__id", F.explode(keys).alias("key")).join(broadcast_if_small(t.select("key").distinct(), 1_000_000), "key", "left_semi")
-    pairs = found.join(t.select("key", "term"), "key").select("__id", "term").distinct()
-    return pairs.join(texts, "__id").filter(F.contains("__low", F.col("term"))).select(F.col("__id").alias(id_col), "term")
+    most = max(sizes, default=1)
+    pieces = texts.select("__id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("__low") - 1) / PIECE).cast("int")), lambda i: F.substring("__low", i * PIECE + 1, F.lit(PIECE + most - 1)))).alias("piece"))
+
+    def grams(k: int):
+        n = F.length("piece")
+        each = F.transform(F.sequence(F.lit(1), F.least(n - (k - 1), F.lit(PIECE))), lambda i: F.substring("piece", i, F.lit(k)))
+        return F.when(n >= k, each).otherwise(F.array().cast("array<string>"))
+
+    keys = F.array_distinct(F.flatten(F.array(*[grams(k) for k in sizes]))) if sizes else F.array().cast("array<string>")
+    found = pieces.select("__id", F.explode(keys).alias("key")).join(broadcast_if_small(t.select("key").distinct(), 1_000_000), "key", "left_semi").distinct()
+    pairs = found.join(t.select("key", "term"), "key").select("__id", "term", (F.col("key") == F.col("term")).alias("whole"))
+    sure = pairs.filter("whole").select("__id", "term")
+    rest = pairs.filter("not whole").join(texts, "__id").filter(F.contains("__low", F.col("term"))).select("__id", "term")
+    return sure.union(rest).select(F.col("__id").alias(id_col), "term")
 
 
 def name_hits(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_col: str, least: int = 5) -> DataFrame:
