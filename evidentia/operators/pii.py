@@ -60,19 +60,20 @@ def case_file_spans(text: Column) -> Column:
     """All matches (s, e, cat) of the categories of case files, in order of
     priority, without impersonal words for parties, parts of institutions'
     names, amounts of money that look like a passport, and anything inside a
-    mask token. Texts without Cyrillic letters skip the patterns that need one."""
+    mask token. Patterns that need a Cyrillic letter, or what NEEDS says, are
+    tried only on texts that have it."""
     none = F.array().cast(SPANS)
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     parts = F.arrays_zip(F.split(text, TOKEN, -1).alias("g"), tokens.alias("m"))
     plain = F.when(F.size(tokens) > 0, F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.repeat(F.lit(" "), F.length(x["m"])), F.lit("")))), "")).otherwise(text)
 
     def of(t: Column, cyrillic: Column, cat: str, nth: int, pattern: str) -> Column:
-        grouped = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern)).groups > 0
+        grouped = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), pattern.replace(r"\G", ""))).groups > 0
         pattern = "(?U)" + pattern  # \\w, \\b and \\s as of all alphabets
         found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
         spans = placed(t, pattern, found)
         if grouped:
-            values = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+            values = F.when(t.rlike(pattern), F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
             shift = lambda x: F.instr(x["m"]["t"], x["v"]) - 1
             spans = F.transform(F.arrays_zip(spans.alias("m"), values.alias("v")), lambda x: F.struct(x["v"].alias("t"), (x["m"]["s"] + shift(x)).alias("s"), (x["m"]["s"] + shift(x) + F.length(x["v"])).alias("e")))
         tail = lambda m, n: F.substring(t, m["e"] + 1, F.lit(n))
@@ -82,13 +83,15 @@ def case_file_spans(text: Column) -> Column:
                 spans = F.filter(spans, lambda m: ~F.lower(F.regexp_extract(m["t"], r"^\S+", 0)).isin(*sorted(R.COURT_WORDS)))
         if cat == "ПАСПОРТ":
             spans = F.filter(spans, lambda m: ~(m["t"].rlike("[ \\x{A0}\\x{202F}]") & tail(m, 16).rlike(R.MONEY_TAIL)))
-        if any("а" <= c <= "я" for c in pattern.split("[")[0]) or (cat == "ФИО" and nth < 6):
+        need = R.NEEDS.get((cat, nth))
+        if (cat, nth) not in R.NEEDS:
             spans = F.when(cyrillic, spans)
+        elif need:
+            spans = F.when(t.rlike(f"(?U){need}"), spans)
         return F.coalesce(F.transform(spans, lambda m: F.struct(m["s"].cast("int").alias("s"), m["e"].cast("int").alias("e"), F.lit(cat).alias("cat"))), none)
 
     def every(t: Column) -> Column:
-        cyrillic = t.rlike("[А-Яа-яЁё]")
-        return F.concat(*[of(t, cyrillic, k, i, p) for k, patterns in R.CATEGORIES.items() for i, p in enumerate(patterns)])
+        return bound(t.rlike(r"\p{IsCyrillic}"), lambda c: F.concat(*[of(t, c, k, i, p) for k, patterns in R.CATEGORIES.items() for i, p in enumerate(patterns)]))
 
     return bound(F.coalesce(plain, F.lit("")), every)
 
@@ -96,6 +99,10 @@ def case_file_spans(text: Column) -> Column:
 def resolve_spans(spans: Column) -> Column:
     """By start, the longest first, of equal ones the first found; each span
     that overlaps none kept before."""
+    return bound(spans, _resolved)
+
+
+def _resolved(spans: Column) -> Column:
     ordered = F.transform(F.array_sort(F.transform(spans, lambda m, i: F.struct(m["s"], (-m["e"]).alias("x"), i, m["e"], m["cat"]))), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["cat"].alias("cat")))
     kept = scan(ordered, F.lit(0), lambda at, m: F.when(m["s"] >= at, m), lambda at, m: F.when(m["s"] >= at, m["e"]).otherwise(at), "struct<s:int,e:int,cat:string>")
     return F.when(F.size(spans) > 0, F.filter(kept, lambda m: m.isNotNull())).otherwise(F.array().cast(SPANS))
