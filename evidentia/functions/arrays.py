@@ -15,6 +15,25 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def as_row(value: Column, name: str) -> Column:
+    """value in a column of a generated row. What is exploded from a computed
+    array Spark computes again, for the filter of its size; from this it doesn't."""
+    return F.inline(F.array(F.struct(value.alias(name))))
+
+
+#: Marks in match_groups, in no text (Unicode reserves them for such a use).
+MATCH, GROUP, OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def match_groups(text: Column, pattern: str, groups: int) -> Column:
+    """Array of string arrays, by one pass of the pattern: [text before the first
+    match], then for each match [match, its groups up to `groups` ('' for one
+    that took no part), text up to the next match]."""
+    marked = "".join(f"${i}{GROUP}" for i in range(groups + 1))
+    t = F.regexp_replace(F.translate(text, MATCH + GROUP, OTHER * 2), pattern, MATCH + marked)
+    return F.transform(F.split(t, MATCH, -1), lambda x: F.split(x, GROUP, -1))
+
+
 def scan(items: Column, first: Column, emit, move, kind: str) -> Column:
     """Array (elements of SQL type kind) of emit(state, item) for each item, the
     state going from first on by move(state, item).

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.arrays import bound, match_starts, scan
+from evidentia.functions.arrays import as_row, bound, match_groups, running_sums, scan
 from evidentia.sources.shared import broadcast_if_small
 
 #: Words of the grammar.
@@ -27,6 +27,7 @@ ACT = r"(?:постановлени\p{L}*\s+)?пленума\s+(?:вс|вас)\s
 FLAGS = "(?iuU)"
 LEFT = r"(?<![\p{L}\p{N}.])"
 MATCHES = "array<struct<at:int,kind:string,list:string,chapter:string,named:string,day:string,act_number:string>>"
+MENTIONS = "array<struct<ord:int,kind:string,number:string,chapter:string,code:string,day:date,act_number:string>>"
 #: Numbers in a range at most; a longer one is a slip and gives its two ends.
 MOST_RANGE = 1000
 
@@ -47,17 +48,27 @@ def numbers_of(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, expand)))
 
 
-def _named(kind: str):
-    """A match's fields by kind: its groups mean a chapter and a code, or a day
-    and a number."""
+def _named(kind: str, z: Column) -> tuple[Column, ...]:
+    """A match's fields (groups list, second, third) by kind: they mean a chapter
+    and a code, or a day and a number."""
     point = F.lit(kind == "point")
+    return (
+        F.lit(kind).alias("kind"), z[1].alias("list"),
+        F.when(~point, F.nullif(z[2], F.lit(""))).alias("chapter"), F.when(~point, z[3]).alias("named"),
+        F.when(point, z[2]).alias("day"), F.when(point, F.nullif(z[3], F.lit(""))).alias("act_number"),
+    )
+
+
+def _placed(kind: str):
+    """Matches with their places, of what match_groups gives."""
 
-    def of(z: Column) -> Column:
-        return F.struct(
-            z["at"].alias("at"), F.lit(kind).alias("kind"), z["list"].alias("list"),
-            F.when(~point, F.nullif(z["second"], F.lit(""))).alias("chapter"), F.when(~point, z["third"]).alias("named"),
-            F.when(point, z["second"]).alias("day"), F.when(point, F.nullif(z["third"], F.lit(""))).alias("act_number"),
-        )
+    def of(pieces: Column) -> Column:
+        def at_places(at: Column) -> Column:
+            return F.transform(F.slice(F.arrays_zip(pieces.alias("z"), at.alias("at")), 2, F.size(pieces)), lambda x: F.struct(x["at"].alias("at"), *_named(kind, x["z"])))
+
+        # A match begins where the match before it and the text between them end.
+        before = running_sums(F.transform(pieces, lambda z: F.length(F.element_at(z, -1)) + F.when(F.size(z) > 1, F.length(z[0])).otherwise(0)))
+        return F.when(F.size(pieces) > 1, bound(before, at_places)).otherwise(F.array().cast(MATCHES))
 
     return of
 
@@ -69,6 +80,13 @@ def mentions(df: DataFrame, text_col: str, codes: Mapping[str, str], own: str |
     codes: alias -> code; an alias is met with or without `РФ`, in any case. own
     is the column of the document's code, for `this code`. A number without a
     code or act is no mention. Null texts name nothing."""
+    rows = df.select("*", as_row(mentioned(F.col(text_col), codes, None if own is None else F.col(own)), "__m"))
+    return rows.select(*df.columns, F.inline("__m"))
+
+
+def mentioned(t: Column, codes: Mapping[str, str], this: Column | None = None) -> Column:
+    """The mentions of a text (see mentions) as an array of structs."""
+    this = F.lit(None).cast("string") if this is None else this
     known = "|".join(sorted((rf"{a}(?:\s*рф)?" for a in codes), key=len, reverse=True))
     table = F.create_map(*[F.lit(x) for a, c in codes.items() for x in (a.lower().replace(" ", "").replace(".", ""), c)])
     tail = rf"\s+({known}|{THIS}|{SAME})(?!\p{{L}})"
@@ -77,14 +95,8 @@ def mentions(df: DataFrame, text_col: str, codes: Mapping[str, str], own: str |
         "chapter": rf"{FLAGS}{LEFT}(?<!\d\s)(?:{CHAPTER})\s*({LIST})(){tail}",
         "point": rf"{FLAGS}{LEFT}(?:{POINT})\s*({LIST})\s+{ACT}",
     }
-    t, arrays = F.col(text_col), []
-    for kind, p in patterns.items():
-        parts = [F.regexp_extract_all(t, F.lit(p), F.lit(i)).alias(n) for i, n in ((0, "whole"), (1, "list"), (2, "second"), (3, "third"))]
-
-        each = F.transform(F.arrays_zip(*parts, match_starts(t, p, parts[0]).alias("at")), _named(kind))
-        arrays.append(F.when(t.rlike(p), each).otherwise(F.array().cast(MATCHES)))
+    arrays = [bound(match_groups(t, p, 3), _placed(kind)) for kind, p in patterns.items()]
     found = F.array_sort(F.concat(*arrays))
-    this = F.lit(None).cast("string") if own is None else F.col(own)
 
     def code_of(at: Column, x: Column) -> Column:
         name = x["named"]
@@ -93,10 +105,15 @@ def mentions(df: DataFrame, text_col: str, codes: Mapping[str, str], own: str |
     def codes_of(xs: Column) -> Column:
         return scan(xs, F.lit(None).cast("string"), code_of, lambda at, x: F.coalesce(code_of(at, x), at), "string")
 
-    rows = df.withColumn("__m", F.when(t.isNotNull(), bound(found, lambda xs: F.arrays_zip(xs.alias("x"), codes_of(xs).alias("code")))))
-    rows = rows.select(*df.columns, F.posexplode("__m").alias("ord", "m"))
-    rows = rows.select(*df.columns, (F.col("ord") + 1).alias("ord"), F.col("m.x.kind").alias("kind"), F.explode(numbers_of(F.col("m.x.list"))).alias("number"), F.col("m.x.chapter").alias("chapter"), F.col("m.code").alias("code"), F.try_to_date("m.x.day", "dd.MM.yyyy").alias("day"), F.col("m.x.act_number").alias("act_number"))
-    return rows.filter("code is not null or day is not null")
+    def each(z: Column, i: Column) -> Column:
+        x, day = z["x"], F.try_to_date(z["x"]["day"], "dd.MM.yyyy")
+        one = lambda n: F.struct((i + 1).alias("ord"), x["kind"].alias("kind"), n.alias("number"), x["chapter"].alias("chapter"), z["code"].alias("code"), day.alias("day"), x["act_number"].alias("act_number"))
+        return F.when(z["code"].isNotNull() | day.isNotNull(), F.transform(numbers_of(x["list"]), one)).otherwise(F.array().cast(MENTIONS))
+
+    def all_of(xs: Column) -> Column:
+        return F.when(F.size(xs) > 0, F.flatten(F.transform(F.arrays_zip(xs.alias("x"), codes_of(xs).alias("code")), each)))
+
+    return F.when(t.isNotNull(), bound(found, all_of))
 
 
 def resolve(queries: DataFrame, text_col: str, codes: Mapping[str, str], sections: DataFrame, acts: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -110,10 +127,12 @@ def resolve(queries: DataFrame, text_col: str, codes: Mapping[str, str], section
     code without sections); known_missing; missing; repealed; heading_only (a
     chapter with a body under 40 characters); found. Numbers match as a whole.
     An alias that codes lack isn't recognised: unparsed."""
-    rank = F.when(F.col("kind") == "point", 1).when(F.col("kind") == "chapter", 2).otherwise(3)
-    one = queries.withColumn("__q", F.monotonically_increasing_id())
-    found = mentions(one, text_col, codes)
-    first = found.groupBy("__q").agg(F.min(F.struct(rank.alias("r"), "ord", F.struct("kind", "number", "chapter", "code", "day", "act_number").alias("m"))).alias("x")).select("__q", "x.m.*")
+    def ranked(m: Column) -> Column:
+        rank = F.when(m["kind"] == "point", 1).when(m["kind"] == "chapter", 2).otherwise(3)
+        return F.struct(rank.alias("r"), m["ord"].alias("ord"), F.struct(*[m[c].alias(c) for c in ("kind", "number", "chapter", "code", "day", "act_number")]).alias("m"))
+
+    least = F.array_min(F.transform(mentioned(F.col(text_col), codes), ranked))["m"]
+    first = queries.select(F.struct(*queries.columns).alias("__q"), as_row(least, "m")).select("__q", "m.*")
     days = acts.groupBy("day").agg(F.count("*").alias("n_acts"), F.min("code").alias("only"))
     exact = acts.groupBy("day", F.col("act_number").cast("string").alias("act_number")).agg(F.min("code").alias("exact"))
     rows = first.join(broadcast_if_small(days, 1_000_000), "day", "left").join(broadcast_if_small(exact, 1_000_000), ["day", "act_number"], "left")
@@ -126,11 +145,11 @@ def resolve(queries: DataFrame, text_col: str, codes: Mapping[str, str], section
     rows = rows.join(exported, "code", "left").join(own, ["code", "kind", "number"], "left").join(lost, ["code", "number"], "left")
     there = F.coalesce(F.col("there"), F.lit(False)) & (F.col("chapter").isNull() | F.col("chapter").eqNullSafe(F.col("in_chapter")))
     status = (
-        F.when(point & F.col("act_number").isNull() & (F.col("n_acts") > 1), "ambiguous_date").when(point & F.col("code").isNull(), "unknown_act").when(F.col("exported").isNull(), "not_exported")
+        F.when(F.col("kind").isNull(), "unparsed").when(point & F.col("act_number").isNull() & (F.col("n_acts") > 1), "ambiguous_date").when(point & F.col("code").isNull(), "unknown_act").when(F.col("exported").isNull(), "not_exported")
         .when((F.col("kind") == "article") & F.col("lost"), "known_missing").when(~there, "missing").when(F.col("repealed"), "repealed").when((F.col("kind") == "chapter") & (F.col("body_chars") < 40), "heading_only").otherwise("found")
     )
     rows = rows.select("__q", "kind", "number", "chapter", "code", status.alias("status"))
-    return one.join(rows, "__q", "left").select(*queries.columns, "kind", "number", "chapter", "code", F.coalesce("status", F.lit("unparsed")).alias("status"))
+    return rows.select("__q.*", "kind", "number", "chapter", "code", "status")
 
 
 def reference_edges(nodes: DataFrame, text_col: str, codes: Mapping[str, str], targets: DataFrame) -> DataFrame:
