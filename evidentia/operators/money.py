@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.arrays import bound
+from evidentia.functions.arrays import as_row, bound, match_groups
 from evidentia.functions.words import CASES, FORMS
 
 #: Words beside the forms of numbers, as hundredths or roles.
@@ -113,8 +113,18 @@ CUR = "|".join(CURRENCIES.values())
 AFTER = rf"(?iuU)(?<![\d.,])({NUM})([.,]\d{{1,2}})?(?!\d)\s*(тыс|млн|млрд)?\.?\s*({CUR})?(?![\p{{L}}])\s*(?:\(([^()]*\p{{L}}[^()]*)\)\s*({CUR})?(?![\p{{L}}]))?"
 
 
+def _either(words: set[str]) -> str:
+    """A pattern of any of the words, longer ones first, that tries each
+    beginning once."""
+    heads = sorted({w[0] for w in words if w})
+    tails = [h + _either({w[1:] for w in words if w[:1] == h}) for h in heads]
+    if not tails:
+        return ""
+    return f"(?:{'|'.join(tails)})" + ("?" if "" in words else "") if "" in words or len(tails) > 1 else tails[0]
+
+
 def _before() -> str:
-    numerals = "|".join(sorted(_table(), key=len, reverse=True))
+    numerals = _either(set(_table()))
     return rf"(?iuU)(?<!\p{{L}})((?:(?:{numerals})\s+)+)\(\s*({NUM})([.,]\d{{1,2}})?\s*\)\s*({CUR})(?![\p{{L}}])"
 
 
@@ -138,17 +148,25 @@ def audit_money(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     quotes = F.array_join(F.regexp_extract_all(text, F.lit("«[^»]*»"), F.lit(0)), " ; ")
     sides = F.array(F.struct(F.lit(False).alias("quoted"), F.regexp_replace(text, "«[^»]*»", " ; ").alias("t")), F.struct(F.lit(True).alias("quoted"), quotes.alias("t")))
     rows = df.select(id_col, F.inline(sides)).filter(F.col("t").rlike(r"\d"))
-    before = _before()
-    later = [F.regexp_extract_all("t", F.lit(before), F.lit(i)).alias(n) for i, n in ((1, "w"), (2, "n"), (3, "frac"), (4, "cur"))]
-    first = F.transform(F.arrays_zip(*later), lambda z: F.struct(z["n"].alias("n"), z["frac"].alias("frac"), F.lit("").alias("abbr"), z["cur"].alias("cur"), F.trim(z["w"]).alias("words")))
-    rest = F.regexp_replace("t", before, " ; ")
-    groups = [F.regexp_extract_all(rest, F.lit(AFTER), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "frac"), (3, "abbr"), (4, "cur"), (5, "words"), (6, "cur2"))]
     among = rf"(?iuU)(?<!\p{{L}})({CUR})(?!\p{{L}})"  # the currency in the brackets
-    second = F.transform(
-        F.arrays_zip(*groups),
-        lambda z: F.struct(z["n"].alias("n"), z["frac"].alias("frac"), z["abbr"].alias("abbr"), F.coalesce(F.nullif(z["cur"], F.lit("")), F.nullif(z["cur2"], F.lit("")), F.nullif(F.regexp_extract(z["words"], among, 1), F.lit("")), F.lit("")).alias("cur"), z["words"].alias("words")),
-    )
-    rows = rows.select(id_col, "quoted", F.posexplode(F.filter(F.concat(first, second), lambda z: z["cur"] != "")).alias("ord", "z")).select(id_col, "quoted", "ord", "z.*")
+    blank = lambda c: F.nullif(c, F.lit(""))
+
+    def first(z: Column) -> Column:
+        return F.struct(z[2].alias("n"), z[3].alias("frac"), F.lit("").alias("abbr"), z[4].alias("cur"), F.trim(z[1]).alias("words"))
+
+    def second(z: Column) -> Column:
+        cur = F.coalesce(blank(z[4]), blank(z[6]), blank(F.regexp_extract(z[5], among, 1)), F.lit(""))
+        return F.struct(z[1].alias("n"), z[2].alias("frac"), z[3].alias("abbr"), cur.alias("cur"), z[5].alias("words"))
+
+    def found(pieces: Column) -> Column:
+        rest = F.array_join(F.transform(pieces, lambda z: F.element_at(z, -1)), " ; ")
+        later = bound(match_groups(rest, AFTER, 6), lambda x: F.transform(F.slice(x, 2, F.size(x)), second))
+        return F.concat(F.transform(F.slice(pieces, 2, F.size(pieces)), first), later)
+
+    pieces = F.when(F.contains("t", F.lit("(")), match_groups(F.col("t"), _before(), 4)).otherwise(F.array(F.array("t")))
+    each = F.filter(bound(pieces, found), lambda z: z["cur"] != "")
+    rows = rows.select(id_col, "quoted", as_row(each, "each"))
+    rows = rows.select(id_col, "quoted", F.posexplode("each").alias("ord", "z")).select(id_col, "quoted", "ord", "z.*")
     scale = F.lit(1)
     for name, times in ABBREVIATIONS.items():
         scale = F.when(F.lower("abbr") == name, times).otherwise(scale)
