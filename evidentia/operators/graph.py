@@ -54,17 +54,36 @@ def neighbours(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.select("id").distinct().join(both, "id").groupBy("id").agg(F.array_sort(F.collect_set("o")).alias("neighbours"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Rows of one join key that go to one task at most; keys with more are broadcast.
+HEAVY = 100_000
+#: Rows of edges in one partition, about.
+PART = 500_000
+
+
+def _beside_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m, the least v of each u. A hub's edges are not brought
+    together: hubs are few (one for HEAVY edges at most) and their minima are
+    broadcast; the other edges go to n partitions by u."""
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")))
+    hubs = F.broadcast(least.filter(F.col("k") > HEAVY).select("u", "m"))
+    rest = edges.join(hubs, "u", "left_anti").repartition(n, "u").join(least.filter(F.col("k") <= HEAVY).select("u", "m").repartition(n, "u"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
+def _distinct(edges: DataFrame, n: int) -> DataFrame:
+    return edges.repartition(n, "u", "v").distinct()
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    near = _beside_least(both, 2 * n).withColumn("m", F.least("u", "m"))
+    return _distinct(near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), n)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    down = _beside_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n)
+    # An edge to the least itself stays; another goes from its end to the least.
+    return _distinct(down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), n)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -78,12 +97,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     are ignored; an empty table gives an empty table. Raises where most_rounds
     don't suffice."""
     edges = cut(edges.filter("u <> v").select("u", "v").distinct())
+    n = max(1, -(-edges.count() // PART))
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003))
     seen = edges.agg(mark).first()[0]
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges, n)), n))
         now = edges.agg(mark).first()[0]
         if now == seen:
             break
