@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.functions.arrays import bound, replace_matches
+from evidentia.functions.arrays import as_row, bound, replace_matches
+from evidentia.sources.shared import broadcast_if_small
 
 #: Patterns of typed values: kind -> expression; group 1 is the value where there is one.
 TYPED = {
@@ -140,7 +141,10 @@ def dictionary_hits(df: DataFrame, id_col: str, text_col: str, names: DataFrame,
         return F.when(F.size("tw") >= w, F.transform(F.sequence(F.lit(1), F.size("tw") - (w - 1)), lambda i: F.array_join(F.slice(F.col("tw"), i, w), " "))).otherwise(F.array().cast("array<string>"))
 
     keys = F.concat(*[runs(w) for w in sizes]) if sizes else F.array().cast("array<string>")
-    counts = tokens.select(id_col, F.explode(keys).alias("key")).groupBy(id_col, "key").agg(F.count(F.lit(1)).alias("n"))
+    rows = tokens.select(id_col, as_row(keys, "keys")).select(id_col, F.explode("keys").alias("key"))
+    # Runs that are no name go before runs are counted, so they are not shuffled.
+    rows = rows.join(broadcast_if_small(norm.select("key").distinct(), 1_000_000), "key", "left_semi")
+    counts = rows.groupBy(id_col, "key").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(norm, "key").select(id_col, "name", "n")
 
 
