@@ -120,6 +120,21 @@ def test_jaccard_frequent_tokens(spark):
         assert r["links"] == sum(i != r["id"] and 100 * len(mine & x) >= 85 * len(mine | x) for i, x in sets.items())
 
 
+def test_jaccard_prefixes_are_not_shuffled_to_find_few_sets(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(8)] + [(100 + i, " ".join(f"t{i}x{j}" for j in range(40))) for i in range(20)]
+    df, plans = spark.createDataFrame(items, "doc_id long, text string"), []
+    real = jaccard_join.checkpoint
+    monkeypatch.setattr(jaccard_join, "checkpoint", lambda x: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or real(x))
+    want = brute_components(items, 4, 85)
+    for most in (500_000, 0):  # sent to all tasks, or shuffled
+        plans.clear()
+        got = rows(jaccard_join.jaccard_components(df, percent=85, broadcast_rows=most))
+        assert {r["id"]: (r["n"], r["component"]) for r in got} == want
+        semi = [line for p in plans for line in p.splitlines() if "Join LeftSemi" in line]
+        assert semi and all(("strategy=broadcast" in line) == (most > 0) for line in semi)
+
+
 def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
     items = [(1, a, "s"), (2, a + " more", "s"), (2, b, "s"), (None, c, "s"), (None, c, "t"), (None, a, "s"), (None, "quite other words here in this row", "s"), (7, b, "s"), (7, b, "s"), (None, None, "s"), (None, None, "s")]
