@@ -49,13 +49,28 @@ def name_hits(df: DataFrame, id_col: str, text_col: str, names: DataFrame, name_
     """id, name, size, n: names found as whole runs of words, separators alike.
     size is the length of the match; the name itself is for joins, not for
     reports. A name of one word does not count where the next words make it a
-    longer name of the list. Names under `least` characters are left out."""
+    longer name of the list. Names under `least` characters are left out.
+
+    Places are not compared: where a longer name stands, so do those that it
+    begins with. A longer name that begins with no other longer name thus takes
+    one off its first word, and hits are summed before they are shuffled."""
     norm = names.select(norm_words(name_col).alias("name")).filter(F.length("name") >= least).distinct()
     norm = cut(norm.withColumn("w", F.size(F.split("name", " "))))
-    most = norm.agg(F.max("w")).first()[0] or 0
+    sizes = sorted(r[0] for r in norm.select("w").distinct().collect())  # a handful of word counts
+    starts = norm.filter("w > 2").select("name", F.explode(F.expr("transform(sequence(2, w - 1), k -> substring_index(name, ' ', k))")).alias("start"))
+    begun = starts.join(norm.select(F.col("name").alias("start")), "start", "left_semi").select("name")
+    off = norm.filter("w > 1").join(begun, "name", "left_anti").select(F.col("name").alias("run"), F.substring_index("name", " ", 1).alias("name"), F.lit(-1).alias("d"))
+    off = off.join(norm.filter("w = 1").select("name"), "name", "left_semi").select("run", "name", "d")
+    effect = cut(norm.select(F.col("name").alias("run"), "name", F.lit(1).alias("d")).union(off))
     words = df.select(F.col(id_col).alias("__id"), F.split(norm_words(text_col), " ").alias("tw"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("tw")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max(most, 1)), F.size("tw") - i + 1)), lambda k: F.struct(i.alias("at"), F.array_join(F.slice("tw", i, k), " ").alias("name")))))
-    rows = words.select("__id", F.inline(runs)).join(broadcast_if_small(norm, 1_000_000), "name")
-    longest = rows.groupBy("__id", "at").agg(F.max("w").alias("longest"), F.collect_list(F.struct("name", "w")).alias("x"))  # names of one place: as many as words in a name
-    kept = longest.select("__id", "longest", F.inline("x")).filter((F.col("w") > 1) | (F.col("longest") == 1))
-    return kept.groupBy(F.col("__id").alias(id_col), "name").agg(F.count("*").alias("n")).withColumn("size", F.length("name"))
+
+    def runs(k: int):
+        if k == 1:
+            return F.col("tw")
+        each = F.transform(F.sequence(F.lit(1), F.size("tw") - (k - 1)), lambda i: F.array_join(F.slice("tw", i, k), " "))
+        return F.when(F.size("tw") >= k, each).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*[runs(k) for k in sizes]) if sizes else F.array().cast("array<string>")
+    rows = words.select("__id", F.explode(every).alias("run")).join(broadcast_if_small(effect, 1_000_000), "run")
+    found = rows.groupBy(F.col("__id").alias(id_col), "name").agg(F.sum("d").alias("n")).filter("n > 0")
+    return found.withColumn("size", F.length("name"))

@@ -21,3 +21,21 @@ def test_names(spark):
     names = [("Ivanova Maria",), ("Ivanova",), ("petrov",), ("Mary",), (None,)]
     got = N.name_hits(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame(names, "n string"), "n").collect()
     assert {(r["id"], r["name"], r["n"], r["size"]) for r in got} == {(1, "ivanova maria", 2, 13), (1, "ivanova", 1, 7), (1, "petrov", 2, 6), (4, "ivanova", 1, 7)}
+
+
+def test_names_by_places_without_a_shuffle_of_them(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(["alpha", "bravo", "gamma", "delta", "no"])
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(60)))) for i in range(30)] + [(90, None)]
+    names = {" ".join(word() for _ in range(rng.choice([1, 2, 3, 3, 4]))) for _ in range(40)} | {"alpha", "bravo", "alpha bravo"}
+    got = N.name_hits(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    listed, want = {n for n in names if len(n) >= 5}, {}
+    for i, t in texts:
+        w = (t or "").split()
+        for at in range(len(w)):
+            here = [n for k in range(1, 5) if at + k <= len(w) and (n := " ".join(w[at : at + k])) in listed]
+            for n in here:
+                if " " in n or len(here) == 1:
+                    want[i, n] = want.get((i, n), 0) + 1
+    assert {(r["id"], r["name"]): (r["n"], r["size"]) for r in got.collect()} == {k: (n, len(k[1])) for k, n in want.items()}
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
