@@ -38,9 +38,21 @@ def clip(col, size: int) -> Column:
     return F.struct(F.left(col, F.lit(size)).alias("text"), (F.length(col) > size).alias("cut"))
 
 
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
+def _folded(col: Column) -> Column:
+    return F.replace(F.lower(col), F.lit("ё"), F.lit("е"))
+
+
 def norm_words(col) -> Column:
     """Lower case, ё as е, runs of anything but letters and digits as a space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(_col(col)), "ё", "е"), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(_folded(_col(col)), NO_WORD, " "))
+
+
+def norm_tokens(*cols) -> Column:
+    """The words of norm_words of all cols, one after another; [] if all are NULL."""
+    return F.array_remove(F.split(_folded(F.concat_ws(" ", *cols)), NO_WORD), F.lit(""))
 
 
 def mixed_script(col) -> Column:
