@@ -526,15 +526,12 @@ def k01_search(spark, d):
     return S.search(nodes, qs, 10)
 
 
-@q(f"""with n as (select c_custkey as id, case when c_custkey % 50 = 0 then '' else {NORM.format('c_name')} end as name from customer),
-f as (select name, min(id) as rep, count(*) as k from n where name <> '' group by 1), m as (select id, rep from n join f using (name)),
-x as (select least(a.rep, b.rep) as a, greatest(a.rep, b.rep) as b, case when a.name = b.name then a.k * (a.k - 1) // 2 else a.k * b.k end as n from f a join f b on a.name <= b.name and (levenshtein(a.name, b.name) <= 1 or starts_with(b.name, a.name))),
-c as (select least(p.rep, r.rep) as a, greatest(p.rep, r.rep) as b, count(*) as k from m p join m r on p.id % 7 = 0 and r.id = p.id + 1 group by 1, 2)
-select 'near' as kind, a, b, cast(n - coalesce(k, 0) as bigint) as n from x left join c using (a, b) where n > coalesce(k, 0) union all select 'same', id, rep, null from m union all select 'blank', id, null, null from n where name = ''""")
+@q(f"""with n as (select c_custkey as id, case when c_custkey % 50 = 0 then '' else {NORM.format('c_name')} end as name from customer) select a.id as a, b.id as b from n a join n b on a.id < b.id and a.name <> '' and b.name <> '' and (levenshtein(a.name, b.name) <= 1 or starts_with(a.name, b.name) or starts_with(b.name, a.name)) where not (a.id % 7 = 0 and b.id = a.id + 1)
+union all select id, null from n where name = ''""")
 def j09_near_twins(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, F.lit("-")).otherwise(F.col("c_name")).alias("c_name"))
     cleared = c.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
-    return S.name_pairs(c, "c_custkey", "c_name", cleared)
+    return S.near_twins(c, "c_custkey", "c_name", cleared)
 
 
 STAR = ({"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}, [("order", "holds", "part"), ("part", "made_by", "supplier")])
