@@ -3,9 +3,7 @@
 Two names are near within two edits where both have six letters, else within
 one, or where one of six letters and more begins the other (inflected forms).
 Only distinct normal forms are compared, so a name that very many rows bear is
-one form. The keys of a form are hashes of it less up to two characters: many,
-but only near forms share one, whatever beginnings all names have in common.
-Forms of over MOST_SHORTENED characters go by their segments instead.
+one form (near.py).
 """
 
 from __future__ import annotations
@@ -15,94 +13,23 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import norm_words, translit
 from evidentia.operators.graph import connected_components
+from evidentia.operators.near import is_near, near_rows, shuffled
+from evidentia.sources.shared import stage
 
 #: Letters from which a name is long.
 LONG = 6
-#: Characters up to which a form's keys are all of its shortened forms.
-MOST_SHORTENED = 48
-
-
-def _less(name: Column) -> Column:
-    """Array of a name less each of its characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
-
-
-def shortened(name: Column, most: int) -> Column:
-    """Hashes of a name that isn't empty and of it less up to most (1 or 2)
-    characters; two names within most edits share one at least."""
-    out = F.array(name)
-    if most == 1:
-        out = F.concat(out, _less(name))
-    else:
-        # Two at once: what stands before, between and after them.
-        n = F.length(name)
-        pairs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, j - i - 1), F.substring(name, j + 1, n)))))
-        out = F.concat(out, _less(name), F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
-    return F.transform(F.array_distinct(out), lambda k: F.xxhash64(k))
-
-
-def _segments(name: Column, parts: int) -> Column:
-    """(length, segment number, text): a name cut into parts of near equal size;
-    of names within parts - 1 edits at least one segment is kept whole."""
-    n = F.length(name)
-    edge = lambda i: F.floor(n * i / parts).cast("int")
-    return F.array(*[F.struct(n.alias("len"), F.lit(i).alias("seg"), F.substring(name, edge(i) + 1, edge(i + 1) - edge(i)).alias("text")) for i in range(parts)])
-
-
-def _probes(name: Column, parts: int) -> Column:
-    """Where the segments of a name within parts - 1 edits can lie in this one."""
-    far = parts - 1
-
-    def of(size: Column) -> Column:
-        each = []
-        for i in range(parts):
-            low = F.floor(size * i / parts).cast("int")
-            width = F.floor(size * (i + 1) / parts).cast("int") - low
-            each.append(_at(name, low, width, far, size, i))
-        return F.concat(*each)
-
-    sizes = F.sequence(F.greatest(F.length(name) - far, F.lit(1)), F.length(name) + far)
-    return F.array_distinct(F.flatten(F.transform(sizes, of)))
-
-
-def _at(name: Column, low: Column, width: Column, far: int, size: Column, seg: int) -> Column:
-    places = F.sequence(F.greatest(low - far, F.lit(0)), low + far)
-    found = F.transform(places, lambda at: F.struct(size.alias("len"), F.lit(seg).alias("seg"), F.substring(name, at + 1, width).alias("text")))
-    return F.filter(found, lambda x: F.length(x["text"]) == width)
 
 
 def edited_forms(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b: pairs of forms (column form, distinct and not empty) of two tables
     within two edits where both are long, else within one; equal ones too."""
-    out = left.select(F.col("form").alias("a")).join(right.select(F.col("form").alias("b")), F.col("a") == F.col("b"))
-    # Within two edits of a long form are forms of LONG and more; within one of
-    # a short form those of LONG at most.
-    n = F.length("form")
-    for most, own in ((2, n >= LONG), (1, n <= LONG)):
-        a = left.filter(own & (n <= MOST_SHORTENED + most)).select(F.col("form").alias("a"), F.explode(shortened(F.col("form"), most)).alias("key"))
-        b = right.filter(own & (n <= MOST_SHORTENED)).select(F.col("form").alias("b"), F.explode(shortened(F.col("form"), most)).alias("key"))
-        out = out.union(a.join(b, "key").select("a", "b").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", most) >= 0)))
-    a = left.filter(n >= MOST_SHORTENED - 1).select(F.col("form").alias("a"), F.inline(_probes(F.col("form"), 3)))
-    b = right.filter(n > MOST_SHORTENED).select(F.col("form").alias("b"), F.inline(_segments(F.col("form"), 3)))
-    return out.union(a.join(b, ["len", "seg", "text"]).select("a", "b").filter(F.levenshtein("a", "b", 2) >= 0)).distinct()
-
-
-def begun_forms(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """a, b: pairs of different forms, of least characters each, one of which
-    begins the other."""
-
-    def begins(df: DataFrame, name: str) -> DataFrame:
-        starts = F.transform(F.sequence(F.lit(least), F.length("form") - 1), lambda i: F.substring(F.col("form"), F.lit(1), i))
-        return df.filter(F.length("form") > least).select(F.col("form").alias(name), F.explode(starts).alias("start"))
-
-    out = begins(left, "a").join(right.select(F.col("form").alias("b")), F.col("start") == F.col("b")).select("a", "b")
-    return out.union(begins(right, "b").join(left.select(F.col("form").alias("a")), F.col("start") == F.col("a")).select("a", "b"))
+    return near_rows(left.select(F.col("form").alias("a")), right.select(F.col("form").alias("b")), LONG, None)
 
 
 def near_forms(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b: pairs of forms (column form, distinct and not empty) of two tables
     that are near or equal."""
-    return edited_forms(left, right).union(begun_forms(left, right, LONG)).distinct()
+    return near_rows(left.select(F.col("form").alias("a")), right.select(F.col("form").alias("b")), LONG, LONG)
 
 
 def form_of(name: Column) -> Column:
@@ -133,17 +60,17 @@ def conflicts(queries: DataFrame, parties: DataFrame, relations: DataFrame) -> D
     met, but opponents are unknown, or the query has no name), none."""
     q = queries.select("qid", F.coalesce(form_of(F.col("name")), F.lit("")).alias("form"))
     p = parties.select(F.coalesce(form_of(F.col("name")), F.lit("")).alias("form"), "role")
-    counts = p.filter("form <> ''").groupBy("form").agg(F.count_if(F.col("role") == "client").alias("client"), F.count_if(F.col("role") == "opponent").alias("opponent"))
-    links = relations.select(form_of(F.col("a")).alias("fa"), form_of(F.col("b")).alias("fb")).groupBy("fa", "fb").agg(F.count("*").alias("n"))
-    asked = q.filter("form <> ''").select("form").distinct()
-    known = counts.select("form").union(links.select("fa")).union(links.select("fb")).filter("form <> ''").distinct()
-    near = near_forms(asked, known)
-    met = near.join(counts, F.col("b") == F.col("form")).groupBy("a").agg(F.sum("client").alias("client"), F.sum("opponent").alias("opponent"))
-    one = near.join(links, F.col("b") == F.col("fa")).select("a", "fa", "fb", "n")
-    other = near.join(links, F.col("b") == F.col("fb")).select("a", "fa", "fb", "n")
-    linked = one.union(other).distinct().groupBy("a").agg(F.sum("n").alias("links"))
+    counts = p.filter("form <> ''").groupBy(F.col("form").alias("b")).agg(F.count_if(F.col("role") == "client").alias("client"), F.count_if(F.col("role") == "opponent").alias("opponent"))
+    counts = stage(counts, "conflict-parties")
+    links = stage(relations.select(form_of(F.col("a")).alias("fa"), form_of(F.col("b")).alias("fb")).groupBy("fa", "fb").agg(F.count("*").alias("n")), "conflict-links")
+    asked = stage(q.filter("form <> ''").select(F.col("form").alias("a")).distinct(), "conflict-asked")
+    met = near_rows(asked, counts, LONG, LONG).groupBy("a").agg(F.sum("client").alias("client"), F.sum("opponent").alias("opponent"))
+    one = near_rows(asked, links.filter("fa <> ''").select(F.col("fa").alias("b"), F.col("fb").alias("other"), "n"), LONG, LONG).select("a", "n")
+    # A link both of whose sides are near is found from its first.
+    two = near_rows(asked, links.filter("fb <> ''").select(F.col("fb").alias("b"), F.col("fa").alias("other"), "n"), LONG, LONG)
+    linked = one.union(two.filter(~is_near("a", "other", LONG, LONG)).select("a", "n")).groupBy("a").agg(F.sum("n").alias("links"))
     unknown = p.filter("form = '' and role = 'opponent'").agg(F.count("*").alias("unknown"))
-    rows = q.join(met, q["form"] == met["a"], "left").drop("a").join(linked, F.col("form") == F.col("a"), "left").drop("a").crossJoin(F.broadcast(unknown))
+    rows = q.join(shuffled(met), q["form"] == met["a"], "left").drop("a").join(shuffled(linked), F.col("form") == F.col("a"), "left").drop("a").crossJoin(F.broadcast(unknown))
     rows = rows.select("qid", "form", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("client", "opponent", "links")], "unknown")
     verdict = F.when(F.col("opponent") > 0, "conflict").when(F.col("client") > 0, "client").when(F.col("links") > 0, "link").when((F.col("unknown") > 0) | (F.col("form") == ""), "no_data").otherwise("none")
     return rows.select("qid", "client", "opponent", "links", "unknown", verdict.alias("verdict"))
