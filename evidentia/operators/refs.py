@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import norm_words
-from evidentia.operators.entities import edited_forms
+from evidentia.operators.entities import LONG
+from evidentia.operators.near import near_rows, shuffled
+from evidentia.sources.shared import stage
 
 
 def resolve_citations(queries: DataFrame, sections: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -38,14 +40,14 @@ def conflict_check(queries: DataFrame, parties: DataFrame) -> DataFrame:
     # A party with several rows of one name, or of several near names, is one hit.
     owned = known.filter("form <> ''").distinct()
     single = owned.groupBy("pid").agg(F.min("form").alias("form"), F.count("*").alias("names"))
-    counts = single.filter("names = 1").groupBy("form").agg(F.count("*").alias("n"))
-    several = owned.join(single.filter("names > 1").select("pid"), "pid", "left_semi")
-    near = edited_forms(asked.select("form").filter("form <> ''").distinct(), owned.select("form").distinct())
-    by_one = near.join(counts, F.col("b") == F.col("form")).groupBy("a").agg(F.sum("n").alias("n"))
-    by_several = near.join(several, F.col("b") == F.col("form")).groupBy("a").agg(F.countDistinct("pid").alias("n"))
+    counts = stage(single.filter("names = 1").groupBy(F.col("form").alias("b")).agg(F.count("*").alias("n")), "check-names")
+    several = owned.join(shuffled(single.filter("names > 1").select("pid")), "pid", "left_semi").select(F.col("form").alias("b"), "pid")
+    forms = stage(asked.select(F.col("form").alias("a")).filter("a <> ''").distinct(), "check-asked")
+    by_one = near_rows(forms, counts, LONG, None).groupBy("a").agg(F.sum("n").alias("n"))
+    by_several = near_rows(forms, stage(several, "check-several"), LONG, None).groupBy("a").agg(F.countDistinct("pid").alias("n"))
     hits = by_one.union(by_several).groupBy(F.col("a").alias("form")).agg(F.sum("n").alias("hits"))
     blank = known.agg(F.count_if(F.col("form") == "").alias("unknown"))
-    return asked.join(hits, "form", "left").crossJoin(F.broadcast(blank)).select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "unknown")
+    return asked.join(shuffled(hits), "form", "left").crossJoin(F.broadcast(blank)).select("qid", F.coalesce("hits", F.lit(0)).alias("hits"), "unknown")
 
 
 def license_gate(items: DataFrame, exceptions: DataFrame) -> DataFrame:
