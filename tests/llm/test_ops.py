@@ -684,3 +684,23 @@ def test_pipeline(spark, docs):
     got = rows(corpus_pipeline.run(spark, SF))
     assert 0 < len(got) <= len(docs) and {"doc_id", "text", "lang", "source", "n_chars", "taken"} <= set(got[0])
     assert len({r["doc_id"] for r in got}) == len(got)
+
+
+def test_jaccard_all_frequent_tokens_are_known(spark):
+    """Their levels, whatever their number; under a bound, whole levels of the most frequent."""
+    import numpy as np
+
+    source = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, 4 * k)),) for k in (1, 10, 100) for _ in range(k * 3)], "text string").coalesce(1)
+    counts = {}
+    for r in source.collect():
+        for h in jaccard_join.shingle_sets([r["text"]], 4)[1]:
+            counts[int(h)] = counts.get(int(h), 0) + 1
+    for most in (jaccard_join.HOT_TOKENS, 100, 0):
+        table = jaccard_join._frequent_tokens(source, 4, most).value
+        known = {h: c for h, c in counts.items() if c >= 4 and sum(d.bit_length() >= c.bit_length() for d in counts.values()) <= most}
+        at = jaccard_join._slot(np.array(list(counts), np.uint64), table)
+        want = np.zeros_like(table)
+        for h, i in zip(counts, at, strict=True):
+            want[i] = max(want[i], counts[h].bit_length() - 1 if h in known else 0)
+        assert (table == want).all() and 4 * len(known) <= len(table) <= max(1024, 8 * len(known))
+    assert jaccard_join.HOT_TOKENS >= 10_000_000  # 6 GB of documents have over two million
