@@ -39,3 +39,21 @@ def test_names_by_places_without_a_shuffle_of_them(spark):
                     want[i, n] = want.get((i, n), 0) + 1
     assert {(r["id"], r["name"]): (r["n"], r["size"]) for r in got.collect()} == {k: (n, len(k[1])) for k, n in want.items()}
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substrings_of_texts_are_not_shuffled(spark, monkeypatch):
+    """More terms than are sent to all tasks: only likely substrings meet them, and no text is shuffled."""
+    monkeypatch.setattr(N, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(N, "PIECE", 50)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij é\U0001f600") for _ in range(n))
+    texts = [(i, text(300)) for i in range(60)] + [(90, None), (91, "")]
+    words = sorted({t[k : k + n].lower() for _, t in texts[:60] for k in (0, 45, 120) for n in (9, 12)} | {text(9) for _ in range(3_000)})
+    df = spark.createDataFrame(texts, "id int, t string")
+    got = N.term_hits(df, "id", "t", spark.createDataFrame([(w,) for w in words], "w string"), "w")
+    want = sorted((i, w) for i, t in texts for w in words if t and w in t.lower())
+    assert sorted(tuple(r) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan and "explode" not in plan
+    seen = N._likely([9, 12], N._key_filter(spark.createDataFrame([(w,) for w in words], "w string")))
+    assert df.filter("t <> ''").mapInArrow(seen, "__id int, key string").count() <= len(want) + 60 * 600 // 100
