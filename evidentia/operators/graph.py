@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.sources.shared import cut
+from evidentia.sources.shared import discard, stage
 
 
 def star_graph(df: DataFrame, nodes: dict[str, str], edges: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
@@ -60,13 +60,13 @@ HEAVY = 100_000
 PART = 500_000
 
 
-def _beside_least(edges: DataFrame, n: int) -> DataFrame:
+def _beside_least(edges: DataFrame, n: int, made: list[str]) -> DataFrame:
     """edges (u, v) with m, the least v of each u. A hub's edges are not brought
     together: hubs are few (one for HEAVY edges at most) and their minima are
     broadcast; the other edges go to n partitions by u."""
-    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")))
+    least = stage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")), "least", made)
     hubs = F.broadcast(least.filter(F.col("k") > HEAVY).select("u", "m"))
-    rest = edges.join(hubs, "u", "left_anti").repartition(n, "u").join(least.filter(F.col("k") <= HEAVY).select("u", "m").repartition(n, "u"), "u")
+    rest = edges.join(hubs, "u", "left_anti").repartition(n, "u").join(least.filter(F.col("k") <= HEAVY).select("u", "m").repartition(n, "u").hint("merge"), "u")
     return edges.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
 
 
@@ -74,14 +74,14 @@ def _distinct(edges: DataFrame, n: int) -> DataFrame:
     return edges.repartition(n, "u", "v").distinct()
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int, made: list[str]) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = _beside_least(both, 2 * n).withColumn("m", F.least("u", "m"))
+    near = _beside_least(both, 2 * n, made).withColumn("m", F.least("u", "m"))
     return _distinct(near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), n)
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    down = _beside_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n)
+def _small_star(edges: DataFrame, n: int, made: list[str]) -> DataFrame:
+    down = _beside_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n, made)
     # An edge to the least itself stays; another goes from its end to the least.
     return _distinct(down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), n)
 
@@ -93,17 +93,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Alternating star joins: each round keeps only minima of neighbourhoods, so
     hubs are never collected; rounds grow with the logarithm of the longest
-    path. Each round is checkpointed to the shared folder. Self-loops and nulls
+    path. Each round is written to the shared folder, and what led to it deleted
+    there, so disk does not grow with the rounds. Self-loops and nulls
     are ignored; an empty table gives an empty table. Raises where most_rounds
     don't suffice."""
-    edges = cut(edges.filter("u <> v").select("u", "v").distinct())
+    spark, made = edges.sparkSession, []
+    edges = stage(edges.filter("u <> v").select("u", "v").distinct(), "edges", made)
     n = max(1, -(-edges.count() // PART))
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003))
     seen = edges.agg(mark).first()[0]
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        edges = cut(_small_star(cut(_large_star(edges, n)), n))
+        edges = stage(_small_star(stage(_large_star(edges, n, made), "stars", made), n, made), "edges", made)
+        discard(spark, made[:-1])
+        made = made[-1:]
         now = edges.agg(mark).first()[0]
         if now == seen:
             break
@@ -117,15 +121,16 @@ def components(edges: DataFrame) -> DataFrame:
     """id, component: the least id reachable over edges (source, target), a row
     for each id of an edge."""
     pairs = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
-    found = cut(connected_components(pairs))
+    found = connected_components(pairs)
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).filter("id is not null").distinct()
-    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    found = ids.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    return stage(found.select("id", F.coalesce("component", "id").alias("component")), "components")
 
 
 def cohesion(edges: DataFrame, label: DataFrame) -> DataFrame:
     """component, nodes, edges, cohesion: edges inside by possible pairs."""
     s = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
-    inside = s.join(label.withColumnsRenamed({"id": "source", "component": "a"}), "source").join(label.withColumnsRenamed({"id": "target", "component": "b"}), "target").filter("a = b")
+    inside = s.join(label.withColumnsRenamed({"id": "source", "component": "a"}).hint("merge"), "source").join(label.withColumnsRenamed({"id": "target", "component": "b"}).hint("merge"), "target").filter("a = b")
     e = inside.groupBy(F.col("a").alias("component")).agg(F.count(F.lit(1)).alias("edges"))
     n = label.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
     return n.join(e, "component", "left").select("component", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.when(F.col("nodes") > 1, F.coalesce("edges", F.lit(0)) / (F.col("nodes") * (F.col("nodes") - 1) / 2)).otherwise(1.0).alias("cohesion"))
